@@ -1,0 +1,19 @@
+"""Size-checked handling of small sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def local_if_small(frame: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """The rows as a local relation when there are at most `max_rows`, else the frame as it is.
+
+    For aggregates on code lists (servers, rank types, days). A local relation
+    has an exact size, so the planner broadcasts it by its own threshold and the
+    large side is not shuffled; beyond the bound the join stays an ordinary
+    shuffled join with adaptive skew handling.
+    """
+    rows = frame.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return frame
+    return frame.sparkSession.createDataFrame(rows, frame.schema)
