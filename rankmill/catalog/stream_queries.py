@@ -41,19 +41,18 @@ def _(i):
     return runner.collect_append(stateful.stream_dedup_requests(requests), "stream_dedup_requests")
 
 
-LIFECYCLE_MAX = """(SELECT max(greatest(created_at, coalesce(started_at, created_at), coalesce(
-    CASE WHEN status = 'failed' AND completed_at IS NULL THEN created_at + INTERVAL 1 SECOND ELSE completed_at END, created_at))) AS m FROM requests)"""
-
-
 @query(
     "stream_timeouts",
-    f"""SELECT request_id, started_at FROM requests, {LIFECYCLE_MAX}
-        WHERE status = 'processing' AND ceil(epoch_us(started_at) / 1000) + 600000 <= epoch_us(m) // 1000""",
+    """SELECT request_id, started_at FROM requests,
+              (SELECT least(max(started_at), max(completed_at) FILTER (started_at IS NOT NULL)) AS m FROM requests)
+       WHERE status = 'processing' AND epoch_ms(started_at) + 600000 < epoch_ms(m)""",
 )
 def _(i):
-    lifecycle = views.with_event_time(stateful.lifecycle_events(requested(i)), "at")
-    found = runner.collect_append(stateful.stream_timeouts(lifecycle), "stream_timeouts")
-    return found.select("request_id", fn.wall_clock_of(F.timestamp_micros("started_us")).alias("started_at"))
+    started = views.with_event_time(requested(i).filter("started_at is not null"), "started_at")
+    ended = views.with_event_time(
+        requested(i).filter("started_at is not null and completed_at is not null"), "completed_at"
+    )
+    return runner.collect_append(aggregates.stream_timeouts(started, ended), "stream_timeouts")
 
 
 @query(

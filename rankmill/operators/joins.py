@@ -27,21 +27,19 @@ def stale_not_in(ranking: DataFrame, as_of: datetime | Column) -> DataFrame:
     other names, so such a server yields nothing. One aggregation replaces the
     subquery: a name is untouched today exactly when its newest row is older.
     """
-    today = fn.day_start(as_of)
-    names = ranking.groupBy("server_name", "character_name").agg(
-        F.max("retrieved_at").alias("last_retrieved"),
-        F.count_if(F.col("retrieved_at") >= today).alias("_today"),
+    now = F.col("retrieved_at") >= fn.day_start(as_of)
+    unnamed = F.col("character_name").isNull()
+    servers = ranking.groupBy("server_name").agg(
+        F.count_if(now).alias("_touched"), F.count_if(now & unnamed).alias("_undecided")
     )
-    undecided = names.filter(F.col("character_name").isNull() & (F.col("_today") > 0)).select("server_name")
-    untouched_today = names.filter((F.col("_today") == 0) & F.col("character_name").isNotNull())
-    # a null name itself is only returned when nothing of its server was touched today
-    touched_servers = names.filter("_today > 0").select("server_name").distinct()
-    null_names = names.filter(F.col("character_name").isNull() & (F.col("_today") == 0)).join(
-        touched_servers, "server_name", "left_anti"
+    names = ranking.groupBy("server_name", "character_name").agg(
+        F.max("retrieved_at").alias("last_retrieved"), F.count_if(now).alias("_today")
     )
+    decided = (F.col("_undecided") == 0) & (F.col("character_name").isNotNull() | (F.col("_touched") == 0))
     return (
-        untouched_today.join(undecided, "server_name", "left_anti")
-        .unionByName(null_names)
+        names.filter("_today = 0")
+        .join(local_if_small(servers), "server_name")
+        .filter(decided)
         .select("server_name", "character_name", "last_retrieved")
     )
 

@@ -132,10 +132,12 @@ def fingerprint_changed(
     versions: DataFrame, keys: Sequence[str], order: str, fingerprint: str = "fingerprint", span: int = 1_000_000
 ) -> DataFrame:
     """Adds `changed`: differs from the version before; the first version counts as changed."""
+    versions = settle(versions)  # read twice below, and computing a fingerprint reads a page
     seen = previous_value(versions, keys, order, fingerprint, "previous", span)
     return seen.withColumn("changed", ~F.col(fingerprint).eqNullSafe(F.col("previous")))
 
 
 def share_of_total(frame: DataFrame, value: str = "population", name: str = "share") -> DataFrame:
+    frame = settle(frame)
     total = frame.agg(F.sum(value)).scalar()
     return frame.withColumn(name, F.col(value) / total)

@@ -75,9 +75,20 @@ def ingest_pages(
 
     pages: page_seq, div, search_server, search_name, page_time, html.
     """
-    kinds = pages.withColumn("kind", filters.page_kind(F.col("html")))
-    listed = kinds.filter("kind = 'rows'").select("page_seq", "div", "page_time", "html")
-    items = page_source.extract_list_items(listed)
+    kind = filters.page_kind(F.col("html"))
+    # the pages are read and parsed once; both branches go on from the parsed form
+    parsed = settle(
+        pages.withColumn("kind", kind).select(
+            "page_seq",
+            "div",
+            "search_server",
+            "search_name",
+            "page_time",
+            "kind",
+            F.when(F.col("kind") == "rows", page_source.list_items(F.col("html"))).alias("items"),
+        )
+    )
+    items = page_source.item_rows(parsed.select("page_seq", "div", "page_time", "items"), "items")
     valid, _ = filters.split_valid_rows(items)
     typed = valid.select(
         "page_seq",
@@ -96,7 +107,7 @@ def ingest_pages(
     newest = [F.desc("retrieved_at"), F.desc("page_seq"), F.desc("pos")]
     merged = mutations.upsert_latest(state, batch, order_by=newest)
 
-    missing = kinds.filter("kind = 'not_found'").select(
+    missing = parsed.filter("kind = 'not_found'").select(
         F.col("search_server").alias("server_name"), F.col("search_name").alias("character_name")
     )
     audit = sinks.audit_rows(mutations.deleted_names(merged, missing), as_of)

@@ -39,46 +39,62 @@ def _all(html: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _found(html: Column, pattern: str) -> Column:
-    """First group, or null when the pattern does not occur."""
-    return F.when(F.regexp_like(html, F.lit(pattern)), F.regexp_extract(html, pattern, 1))
+    """First group of the first match, or null when the pattern does not occur."""
+    return F.get(_all(html, pattern), F.lit(0))
 
 
-def extract_list_items(pages: DataFrame, change_rule: str = "digits") -> DataFrame:
-    """Ranking list page -> one row per item; malformed items and the placeholder name are left out.
+def list_items(html: Column) -> Column:
+    """The items of a ranking list page as an array of structs; a missing part is null.
 
-    change_rule: `digits` reads the first digits and knows up/down/none, `text`
-    keeps the change as shown and knows up and else down, `isdigit` takes whole
-    digit texts only.
+    Everything happens inside one expression per page: the parts of an item are
+    lambda variables, so no pattern runs twice on the same text.
     """
-    items = pages.filter(~F.contains("html", F.lit('class="no_data"'))).select(
-        *[c for c in pages.columns if c != "html"], F.posexplode(_all(F.col("html"), ITEM)).alias("pos", "_item")
-    )
-    cells = items.withColumn("_dl", _all(F.col("_item"), DL)).filter(F.size("_dl") >= 5)
-    cell = [F.get("_dl", i) for i in range(5)]
-    css = F.coalesce(_found(cell[0], DD_CLASS), F.lit(""))
-    rows = cells.select(
-        *[c for c in items.columns if c != "_item"],
-        text_of(_found(cell[0], DT)).alias("rank"),
-        text_of(_found(cell[0], DD)).alias("_change"),
-        css.alias("css"),
-        text_of(_found(cell[1], DD)).alias("server"),
-        fn.clean_text(unescape(_found(cell[2], DD_NAME))).alias("character"),
-        text_of(_found(cell[3], DD)).alias("class"),
-        text_of(_found(cell[4], DD)).alias("power"),
-    ).dropna(subset=["rank", "_change", "server", "character", "class", "power"])
+
+    def parts(cells: Column) -> Column:
+        cell = [F.get(cells, F.lit(i)) for i in range(5)]
+        return F.struct(
+            text_of(_found(cell[0], DT)).alias("rank"),
+            text_of(_found(cell[0], DD)).alias("shown_change"),
+            F.coalesce(_found(cell[0], DD_CLASS), F.lit("")).alias("css"),
+            text_of(_found(cell[1], DD)).alias("server"),
+            fn.clean_text(unescape(_found(cell[2], DD_NAME))).alias("character"),
+            text_of(_found(cell[3], DD)).alias("class"),
+            text_of(_found(cell[4], DD)).alias("power"),
+        )
+
+    items = F.when(~F.contains(html, F.lit('class="no_data"')), _all(html, ITEM))
+    return F.transform(F.transform(items, lambda item: _all(item, DL)), parts)
+
+
+def item_rows(pages: DataFrame, items: str, change_rule: str = "digits") -> DataFrame:
+    """One row per well-formed item of an array made by `list_items`; the placeholder name is left out."""
+    others = [c for c in pages.columns if c != items]
+    rows = pages.select(*others, F.posexplode(items).alias("pos", "_item")).select(*others, "pos", "_item.*")
+    rows = rows.dropna(subset=["rank", "shown_change", "server", "character", "class", "power"])
     named = rows.filter(F.col("character") != fv.PLACEHOLDER_NAME)
     mode = "batch" if change_rule == "text" else "service"
     kind = fn.change_type_of(F.col("css"), mode)
-    shown = F.col("_change")
+    shown = F.col("shown_change")
     change = {
         "digits": fn.parse_change_digits(shown).cast("string"),
         "text": shown,
         "isdigit": fn.parse_change_isdigit(shown, kind).cast("string"),
     }[change_rule]
-    plain = [c for c in named.columns if c not in ("_change", "css")]
+    plain = [c for c in named.columns if c not in ("shown_change", "css")]
     return named.select(*plain, change.alias("change"), kind.alias("change_type"))
 
 
+def extract_list_items(pages: DataFrame, change_rule: str = "digits") -> DataFrame:
+    """Ranking list page -> one row per item.
+
+    change_rule: `digits` reads the first digits and knows up/down/none, `text`
+    keeps the change as shown and knows up and else down, `isdigit` takes whole
+    digit texts only.
+    """
+    others = [c for c in pages.columns if c != "html"]
+    return item_rows(pages.select(*others, list_items(F.col("html")).alias("items")), "items", change_rule)
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
     """Flat list links of any page: (position, href, text)."""
     pairs = F.arrays_zip(

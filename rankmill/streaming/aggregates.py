@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankmill import fixed_values as fv
 from rankmill import functions as fn
 from rankmill.operators.windows import distinct_on_key
 from rankmill.schemas import RANKING_KEY
@@ -67,6 +68,30 @@ def stream_status_counts(requests: DataFrame, watermark: str = "1 hour") -> Data
     )
 
 
+def stream_timeouts(
+    started: DataFrame, ended: DataFrame, watermark: str = "0 seconds", limit: int = fv.PROCESSING_SECONDS
+) -> DataFrame:
+    """Requests not ended within the limit after their start (append mode).
+
+    Both inputs carry request_id and event_time. An outer join of the two
+    streams keeps a start only until the watermark passes its limit, and then
+    gives it out if no end came: the state is bounded by the limit.
+    """
+    start = started.withWatermark("event_time", watermark).select(
+        F.col("request_id"), F.col("event_time").alias("start_time")
+    )
+    end = ended.withWatermark("event_time", watermark).select(
+        F.col("request_id").alias("ended_id"), F.col("event_time").alias("end_time")
+    )
+    in_time = (
+        (F.col("request_id") == F.col("ended_id"))
+        & (F.col("end_time") >= F.col("start_time"))
+        & (F.col("end_time") <= F.col("start_time") + F.expr(f"INTERVAL {int(limit)} SECONDS"))
+    )
+    joined = start.join(end, in_time, "left_outer").filter("ended_id is null")
+    return joined.select("request_id", fn.wall_clock_of(F.col("start_time")).alias("started_at"))
+
+
 def stream_crawl_totals(activity: DataFrame) -> DataFrame:
     """Running totals per server (update mode)."""
     done = F.col("outcome") != "pending"

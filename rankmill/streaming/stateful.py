@@ -62,50 +62,6 @@ def stream_dedup_requests(requests: DataFrame, window: int = fv.DEDUP_SECONDS) -
     )
 
 
-class _Timeouts(StatefulProcessor):
-    """A started request that does not end within the limit is reported when event time passes it."""
-
-    def __init__(self, limit_ms: int):
-        self.limit_ms = limit_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.started = handle.getValueState("started", T.StructType([T.StructField("us", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["us"])
-        for us, state in zip(batch["us"], batch["state"]):
-            if state == "processing":
-                self.started.update((int(us),))
-            elif self.started.exists():
-                self.started.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if self.started.exists():
-            # rounded up to a millisecond, so a timer never fires before the limit
-            self.handle.registerTimer(-(-self.started.get()[0] // 1000) + self.limit_ms)
-        yield pd.DataFrame({"request_id": [], "started_us": []}).astype({"request_id": str, "started_us": "int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.started.exists():
-            yield pd.DataFrame({"request_id": [key[0]], "started_us": [self.started.get()[0]]})
-            self.started.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def stream_timeouts(lifecycle: DataFrame, watermark: str = "0 seconds", limit: int = fv.PROCESSING_SECONDS) -> DataFrame:
-    """Requests that stayed in processing longer than the limit (append mode)."""
-    keyed = with_micros(lifecycle.withWatermark("event_time", watermark))
-    return keyed.select("request_id", "state", "us", "event_time").groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=_Timeouts(limit * 1000),
-        outputStructType="request_id string, started_us bigint",
-        outputMode="append",
-        timeMode="eventtime",
-    )
-
-
 class _Lifecycle(StatefulProcessor):
     """pending -> processing -> completed / failed / timeout, a failed attempt going back to pending or failing."""
 
