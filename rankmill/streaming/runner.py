@@ -10,6 +10,7 @@ one versioned base when there are many.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,29 +21,50 @@ from rankmill.operators.windows import first_per_key
 from rankmill.session import work_path
 from rankmill.sources.sinks import write_version
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state lives in RocksDB on the executors, outside the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+STREAM_CONF = {
+    # state lives in RocksDB on the executors, outside the heap
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # one store per partition for a stream join instead of four
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
+
+
+@contextmanager
+def stream_conf(spark: SparkSession):
+    """Settings a stream takes over when it starts; the session's own settings are put back.
+
+    A stateful stream cannot merge small partitions at run time, so it starts
+    with no more of them than there are cores.
+    """
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wanted = {**STREAM_CONF, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def start_append(frame: DataFrame, root: str, trigger: dict) -> StreamingQuery:
-    use_rocksdb(frame.sparkSession)
-    writer = frame.writeStream.outputMode("append").format("parquet")
-    return writer.option("path", f"{root}/rows").option("checkpointLocation", f"{root}/progress").trigger(**trigger).start()
+    writer = frame.writeStream.outputMode("append").format("parquet").option("path", f"{root}/rows")
+    with stream_conf(frame.sparkSession):
+        return writer.option("checkpointLocation", f"{root}/progress").trigger(**trigger).start()
 
 
 def start_batches(frame: DataFrame, root: str, trigger: dict, mode: str = "update", prepare=None) -> StreamingQuery:
-    use_rocksdb(frame.sparkSession)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
 
     writer = frame.writeStream.outputMode(mode).foreachBatch(save)
-    return writer.option("checkpointLocation", f"{root}/progress").trigger(**trigger).start()
+    with stream_conf(frame.sparkSession):
+        return writer.option("checkpointLocation", f"{root}/progress").trigger(**trigger).start()
 
 
 def finish(query: StreamingQuery) -> None:

@@ -1,7 +1,9 @@
-"""Streams with keyed state that no built-in aggregate expresses.
+"""Streams over keyed histories.
 
-State per key is a few numbers; a micro-batch's rows of a key are handled in
-time order. Times travel as microseconds so that no time zone is involved.
+A request's life cycle is an aggregate. De-duplication and change detection
+depend on the kept row before, so they hold one value per key in group state;
+the values travel with the Arrow batches, not by a call per key. Times are
+microseconds, so no time zone is involved.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankmill import fixed_values as fv
 
@@ -25,131 +26,97 @@ def with_micros(frame: DataFrame, instant: str = "event_time", name: str = "us")
     return frame.withColumn(name, F.unix_micros(F.col(instant)))
 
 
-class _RequestDedup(StatefulProcessor):
-    """Keeps a request unless an open one of the key was kept less than the window before."""
-
-    def __init__(self, window_us: int):
-        self.window_us = window_us
+def stream_dedup_requests(requests: DataFrame, window: int = fv.DEDUP_SECONDS) -> DataFrame:
+    """Ids of the requests that are kept (append mode); needs event_time.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_kept_open", T.StructType([T.StructField("us", T.LongType())]))
+    State per key: the time of the last kept open request. A micro-batch's
+    rows of a key are taken in time order.
+    """
+    window_us = window * 1_000_000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def keep(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["us", "request_id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        last = state.get[0] if state.exists else None
         kept = []
         for us, status in zip(batch["us"], batch["status"]):
-            keep = last is None or us - last >= self.window_us
-            kept.append(keep)
-            if keep and status in fv.OPEN_STATUSES:
-                last = us
+            fresh = last is None or us - last >= window_us
+            kept.append(fresh)
+            if fresh and status in fv.OPEN_STATUSES:
+                last = int(us)
         if last is not None:
-            self.last.update((int(last),))
-        yield pd.DataFrame({"request_id": batch["request_id"][kept]})
-
-    def close(self) -> None:
-        pass
+            state.update((last,))
+        yield batch.loc[kept, ["request_id"]]
 
-
-def stream_dedup_requests(requests: DataFrame, window: int = fv.DEDUP_SECONDS) -> DataFrame:
-    """Ids of the requests that are kept (append mode); needs event_time."""
     keyed = with_micros(requests).select("server", "character_name", "request_id", "status", "us")
-    return keyed.groupBy("server", "character_name").transformWithStateInPandas(
-        statefulProcessor=_RequestDedup(window * 1_000_000),
-        outputStructType="request_id string",
-        outputMode="append",
-        timeMode="none",
+    return keyed.groupBy("server", "character_name").applyInPandasWithState(
+        keep, "request_id string", "last_kept bigint", "append", GroupStateTimeout.NoTimeout
     )
 
 
-class _Lifecycle(StatefulProcessor):
-    """pending -> processing -> completed / failed / timeout, a failed attempt going back to pending or failing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [
-            T.StructField("status", T.StringType()),
-            T.StructField("retry_count", T.IntegerType()),
-            T.StructField("steps", T.IntegerType()),
-        ]
-        self.current = handle.getValueState("current", T.StructType(fields))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["us", "step"])
-        status, retries, steps = self.current.get() if self.current.exists() else (None, None, 0)
-        for state, tried, most in zip(batch["state"], batch["retry_count"], batch["max_retries"]):
-            if status in fv.CLOSED_STATUSES:
-                continue
-            retries = int(tried) if retries is None else retries
-            if state == "attempt_failed":
-                status = "pending" if retries < most else "failed"
-                retries += 1
-            else:
-                status = state
-            steps += 1
-        self.current.update((status, retries, steps))
-        yield pd.DataFrame(
-            {"request_id": [key[0]], "status": [status], "retry_count": [retries], "steps": [steps]}
-        )
+def stream_fingerprint_change(versions: DataFrame) -> DataFrame:
+    """List versions whose fingerprint differs from the one before (append mode); state: the last fingerprint."""
 
-    def close(self) -> None:
-        pass
+    def changes(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch = _in_order(rows, ["page_id"])
+        last = state.get[0] if state.exists else None
+        before = batch["fingerprint"].shift(1)
+        before.iloc[0] = last
+        state.update((batch["fingerprint"].iloc[-1],))
+        yield batch.loc[batch["fingerprint"] != before, ["list_key", "page_id", "fingerprint"]]
+
+    return versions.groupBy("list_key").applyInPandasWithState(
+        changes,
+        "list_key string, page_id bigint, fingerprint string",
+        "fingerprint string",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def stream_request_lifecycle(lifecycle: DataFrame) -> DataFrame:
-    """Current state per request after its transitions (update mode)."""
-    keyed = with_micros(lifecycle).select("request_id", "state", "step", "retry_count", "max_retries", "us")
-    return keyed.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=_Lifecycle(),
-        outputStructType="request_id string, status string, retry_count int, steps int",
-        outputMode="update",
-        timeMode="none",
+    """Current state per request after its transitions (update mode).
+
+    The first closing transition decides; before it the latest one does. A
+    failed attempt goes back to pending while retries are left, else it fails.
+    """
+    at = F.struct("us", "step")
+    closing = F.col("state").isin(*fv.CLOSED_STATUSES)
+    attempt = F.col("state") == "attempt_failed"
+    history = (
+        with_micros(lifecycle)
+        .groupBy("request_id")
+        .agg(
+            F.min_by(F.when(closing, F.col("state")), F.when(closing, at)).alias("closed"),
+            F.max_by("state", at).alias("latest"),
+            F.min_by("retry_count", at).alias("tried"),
+            F.max("max_retries").alias("most"),
+            F.count_if(attempt).cast("int").alias("attempts"),
+            F.count(F.lit(1)).cast("int").alias("steps"),
+        )
+    )
+    again = F.when(F.col("tried") + F.col("attempts") - 1 < F.col("most"), "pending").otherwise("failed")
+    latest = F.when(F.col("latest") == "attempt_failed", again).otherwise(F.col("latest"))
+    return history.select(
+        "request_id",
+        F.coalesce("closed", latest).alias("status"),
+        (F.col("tried") + F.col("attempts")).alias("retry_count"),
+        "steps",
     )
 
 
 def lifecycle_events(requests: DataFrame) -> DataFrame:
     """Request records as the transitions they went through: (request_id, step, state, at, retry counts)."""
     status = F.col("status")
+    retried_out = (status == "failed") & F.col("completed_at").isNull()
     second = F.col("created_at") + F.expr("INTERVAL 1 SECOND")
     steps = F.array(
         F.struct(F.lit(1).alias("step"), F.lit("pending").alias("state"), F.col("created_at").alias("at")),
         F.struct(F.lit(2).alias("step"), F.lit("processing").alias("state"), F.col("started_at").alias("at")),
         F.struct(
             F.lit(3).alias("step"),
-            F.when((status == "failed") & F.col("completed_at").isNull(), "attempt_failed").otherwise(status).alias("state"),
-            F.when((status == "failed") & F.col("completed_at").isNull(), second)
-            .when(status.isin(*fv.CLOSED_STATUSES), F.col("completed_at"))
-            .alias("at"),
+            F.when(retried_out, "attempt_failed").otherwise(status).alias("state"),
+            F.when(retried_out, second).when(status.isin(*fv.CLOSED_STATUSES), F.col("completed_at")).alias("at"),
         ),
     )
     rows = requests.select("request_id", "retry_count", "max_retries", F.explode(steps).alias("s"))
     return rows.select("request_id", "retry_count", "max_retries", "s.*").filter("at is not null")
-
-
-class _FingerprintChange(StatefulProcessor):
-    """Remembers the last fingerprint of a list and reports versions that differ."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("fingerprint", T.StringType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["page_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        changed = []
-        for fingerprint in batch["fingerprint"]:
-            changed.append(fingerprint != last)
-            last = fingerprint
-        self.last.update((last,))
-        yield batch.loc[changed, ["list_key", "page_id", "fingerprint"]]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_fingerprint_change(versions: DataFrame) -> DataFrame:
-    """List versions whose fingerprint differs from the one before (append mode)."""
-    return versions.groupBy("list_key").transformWithStateInPandas(
-        statefulProcessor=_FingerprintChange(),
-        outputStructType="list_key string, page_id bigint, fingerprint string",
-        outputMode="append",
-        timeMode="none",
-    )
