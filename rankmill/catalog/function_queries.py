@@ -334,12 +334,12 @@ def _(i):
 )
 def _(i):
     counts = i.ranking.groupBy("server_name", "class_name").agg(F.count(F.lit(1)).alias("n"))
-    total = i.ranking.agg(F.count(F.lit(1))).scalar()
+    counts = counts.withColumn("t", i.ranking.agg(F.count(F.lit(1))).scalar())
     return counts.select(
         "server_name",
         "class_name",
-        fn.percent_half_even(F.col("n"), total).alias("pct"),
-        fn.rescale_half_even(F.col("n"), total, F.lit(1000)).alias("persons"),
+        fn.percent_half_even(F.col("n"), F.col("t")).alias("pct"),
+        fn.rescale_half_even(F.col("n"), F.col("t"), F.lit(1000)).alias("persons"),
     )
 
 

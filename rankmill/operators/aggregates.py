@@ -83,13 +83,16 @@ def choose_total(from_servers: Column, stored: Column, from_classes: Column) ->
 
 
 def class_share(classes: DataFrame, total: Column) -> DataFrame:
-    """Share of each class and its head count rescaled to `total`."""
+    """Share of each class and its head count rescaled to `total` (a value or a scalar subquery)."""
     class_sum = classes.agg(F.sum("population")).scalar()
-    return classes.select(
+    # the totals become columns once; the exact division below names them several times
+    placed = classes.select("class_name", "population", class_sum.alias("_sum"), total.alias("_total"))
+    people, part_sum = F.col("population"), F.col("_sum")
+    return placed.select(
         "class_name",
-        fn.rescale_half_even(F.col("population"), class_sum, total).alias("population"),
-        fn.percent_half_even(F.col("population"), class_sum).alias("percentage"),
-        total.alias("total_population"),
+        fn.rescale_half_even(people, part_sum, F.col("_total")).alias("population"),
+        fn.percent_half_even(people, part_sum).alias("percentage"),
+        F.col("_total").alias("total_population"),
     )
 
 

@@ -13,7 +13,7 @@ def local_if_small(frame: DataFrame, max_rows: int = 10_000) -> DataFrame:
     large side is not shuffled; beyond the bound the join stays an ordinary
     shuffled join with adaptive skew handling.
     """
-    rows = frame.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = frame.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return frame
     return frame.sparkSession.createDataFrame(rows, frame.schema)

@@ -30,12 +30,15 @@ def class_report(ranking: DataFrame) -> DataFrame:
     )
     snapshot = aggregates.cube_counts(base)
     per_server = base.groupBy("server_name").agg(F.max("bottom").alias("population"))
-    from_servers = aggregates.total_population(per_server).scalar()
     is_grand = (F.col("server_name") == fv.ALL_LABEL) & (F.col("class_name") == fv.ALL_LABEL)
-    stored = snapshot.filter(is_grand).agg(F.max("population")).scalar()
-    classes = filters.class_rows_only(snapshot)
-    from_classes = classes.agg(F.sum("population")).scalar()
-    shares = aggregates.class_share(classes, aggregates.choose_total(from_servers, stored, from_classes))
+    totals = per_server.agg(F.sum("population").alias("from_servers")).select(
+        aggregates.choose_total(
+            F.col("from_servers"),
+            snapshot.filter(is_grand).agg(F.max("population")).scalar(),
+            base.agg(F.sum("n")).scalar(),
+        )
+    )
+    shares = aggregates.class_share(filters.class_rows_only(snapshot), totals.scalar())
     return report_rows(shares)
 
 
