@@ -137,7 +137,7 @@ def _(i):
 @query(
     "incremental_articles",
     f"""SELECT id, title, post_date, CAST(to_json({{'id': id, 'title': title, 'post_date': post_date, 'url': url, 'content_html': content_html,
-               'attachments': attachments, 'videos': videos}}) AS VARCHAR) AS contents_json, (SELECT as_of FROM now_at) AS scraped_at
+               'attachments': attachments, 'videos': videos, 'scraped_at': scraped_at}}) AS VARCHAR) AS contents_json, (SELECT as_of FROM now_at) AS scraped_at
         FROM ({ARTICLE_SQL}) WHERE title NOT IN (SELECT title FROM article_titles WHERE starts_with(url, 'https:'))
         AND id IN (SELECT page_id FROM versions QUALIFY coalesce(fingerprint <> lag(fingerprint) OVER (PARTITION BY list_key ORDER BY page_id), true))""",
 )

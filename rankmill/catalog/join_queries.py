@@ -41,7 +41,7 @@ def _(i):
 
 def _articles(i):
     return page_source.extract_article(
-        i.table("pages"), base_url=F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), fallback=i.as_of
+        i.table("pages"), base_url=F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), scraped_at=i.as_of
     )
 
 

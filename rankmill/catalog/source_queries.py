@@ -55,23 +55,23 @@ def _(i):
 
 ENTITIES = "trim(replace(replace(replace(replace(replace(replace(%s, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))"
 ARTICLE_SQL = f"""
-    SELECT id, title, strftime(as_of, '%Y-%m-%dT%H:%M:%S') AS post_date, url, content_html,
+    SELECT id, title, strftime(as_of, '%Y-%m-%dT%H:%M:%S+09:00') AS post_date, url, content_html,
            list_transform(list_zip(regexp_extract_all(nav, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1),
                                    regexp_extract_all(nav, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)),
                           lambda p: {{'name': {ENTITIES % "p[2]"}, 'url': CASE WHEN starts_with(p[1], 'http') THEN p[1] ELSE base || p[1] END}}) AS attachments,
-           CAST([] AS VARCHAR[]) AS videos
+           CAST([] AS VARCHAR[]) AS videos, strftime(as_of, '%Y-%m-%dT%H:%M:%S+09:00') AS scraped_at
     FROM article_titles, now_at"""
 
 
 def articles(i):
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    return page_source.extract_article(i.table("pages"), base_url=base, fallback=i.as_of)
+    return page_source.extract_article(i.table("pages"), base_url=base, scraped_at=i.as_of)
 
 
 @query(
     "sink_articles_json",
     f"""SELECT id, title, post_date, CAST(to_json({{'id': id, 'title': title, 'post_date': post_date, 'url': url, 'content_html': content_html,
-               'attachments': attachments, 'videos': videos}}) AS VARCHAR) AS contents_json, (SELECT as_of FROM now_at) AS scraped_at
+               'attachments': attachments, 'videos': videos, 'scraped_at': scraped_at}}) AS VARCHAR) AS contents_json, (SELECT as_of FROM now_at) AS scraped_at
         FROM ({ARTICLE_SQL})""",
 )
 def _(i):

@@ -73,6 +73,7 @@ HOURS_AGO = "시간 전"
 IDLE_LABEL = "대기중"
 ZONE_LABEL = " KST"
 LOCAL_ZONE = "Asia/Seoul"
+LOCAL_OFFSET = "+09:00"
 DEFAULT_FRONTIER_NAME = "힝트"
 
 # Answer messages.

@@ -95,6 +95,11 @@ def format_ts(then: Column, zone_label: str = fv.ZONE_LABEL) -> Column:
     return F.concat(F.date_format(then, "yyyy-MM-dd HH:mm:ss"), F.lit(zone_label))
 
 
+def iso_local(then: Column) -> Column:
+    """`2025-05-15T09:40:00+09:00`"""
+    return F.concat(F.date_format(then, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(fv.LOCAL_OFFSET))
+
+
 def compact_date(then: Column) -> Column:
     return F.date_format(then, "yyyyMMdd")
 

@@ -13,39 +13,42 @@ from rankmill import functions as fn
 from rankmill.schemas import CHARACTER_KEY
 
 
-def population_cube(
-    rows: DataFrame, extra_keys: Sequence[str] = (), extra: Sequence[Column] = ()
-) -> DataFrame:
+def population_cube(rows: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Counts by (), class, server and (server, class) in one scan, `all` marking the roll-up.
 
     Rows are counted per (server, class) first and the few counts are cubed, so
     the grouping sets do not multiply the scanned rows. `grouping()` and not a
     null test tells a roll-up from a missing class. Every rank type counts.
     """
-    base = rows.groupBy(*extra_keys, "server_name", "class_name").agg(F.count(F.lit(1)).alias("n"), *extra)
+    base = rows.groupBy(*extra_keys, "server_name", "class_name").agg(F.count(F.lit(1)).alias("n"))
     return cube_counts(base, extra_keys)
 
 
-def cube_counts(base: DataFrame, extra_keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
-    """The cube over pre-aggregated counts `n`."""
+def cube_counts(base: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """The cube over pre-aggregated counts `n`. Without rows the grand total is 0 and stands alone."""
     pair = ["server_name", "class_name"]
+    counts = base.select(*extra_keys, *pair, "n")
+    if not extra_keys:
+        # a row that counts nothing keeps the grand total alive on empty input
+        nobody = base.sparkSession.range(1).select(
+            *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in pair], F.lit(0).cast("bigint").alias("n")
+        )
+        counts = counts.unionByName(nobody)
     sets = [[*extra_keys, *chosen] for chosen in ([], ["class_name"], ["server_name"], pair)]
-    cubed = base.groupingSets(
+    cubed = counts.groupingSets(
         [[F.col(c) for c in chosen] for chosen in sets], *[F.col(c) for c in [*extra_keys, *pair]]
     ).agg(
         F.sum("n").alias("population"),
         F.grouping("server_name").alias("_all_servers"),
         F.grouping("class_name").alias("_all_classes"),
-        *extra,
     )
-    # an empty input has no rows to count for the grand total either
-    return cubed.filter(F.col("population").isNotNull()).select(
+    every_server, every_class = F.col("_all_servers") == 1, F.col("_all_classes") == 1
+    return cubed.filter((F.col("population") > 0) | (every_server & every_class)).select(
         *extra_keys,
-        F.when(F.col("_all_servers") == 1, fv.ALL_LABEL).otherwise(F.col("server_name")).alias("server_name"),
-        F.when(F.col("_all_classes") == 1, fv.ALL_LABEL).otherwise(F.col("class_name")).alias("class_name"),
+        F.when(every_server, fv.ALL_LABEL).otherwise(F.col("server_name")).alias("server_name"),
+        F.when(every_class, fv.ALL_LABEL).otherwise(F.col("class_name")).alias("class_name"),
         "population",
         F.lit(1).alias("div"),
-        *[c for c in cubed.columns if c not in {*extra_keys, *pair, "population", "_all_servers", "_all_classes"}],
     )
 
 

@@ -207,5 +207,9 @@ def challenge_page(html: Column) -> Column:
     for text in fv.CHALLENGE_TITLES:
         blocked = blocked | F.contains(title, F.lit(text))
     low = F.lower(html)
-    marked = html.rlike(r'<ul[^>]*class="list"') | (low.contains("ranking") & low.contains("list"))
+    marked = (
+        html.rlike(r'<ul[^>]*class="([^"]* )?list( [^"]*)?"')
+        | html.rlike(r'class="([^"]* )?list_area( [^"]*)?"')
+        | (low.contains("ranking") & low.contains("list"))
+    )
     return blocked | ~marked

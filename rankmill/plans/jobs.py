@@ -150,7 +150,7 @@ def request_maintenance(requests: DataFrame, as_of: datetime | Column, days: int
 
 
 def incremental_articles(
-    list_pages: DataFrame, stored: DataFrame, fallback: datetime | Column, span: int = 1_000_000
+    list_pages: DataFrame, stored: DataFrame, scraped_at: datetime | Column, span: int = 1_000_000
 ) -> DataFrame:
     """Records of new articles from list versions that changed.
 
@@ -163,9 +163,9 @@ def incremental_articles(
     articles = page_source.extract_article(
         fresh.select("page_id", "url", "html"),
         base_url=F.regexp_extract("url", r"^(https?://[^/?#]+)", 1),
-        fallback=fallback,
+        scraped_at=scraped_at,
     )
-    return sinks.article_rows(joins.new_titles(articles, stored), fallback)
+    return sinks.article_rows(joins.new_titles(articles, stored), scraped_at)
 
 
 def ops_dashboard(activity: DataFrame, as_of: datetime | Column) -> DataFrame:

@@ -50,8 +50,3 @@ RANKING_KEY = ["character_name", "server_name", "div"]
 CHARACTER_KEY = ["server_name", "character_name"]
 SNAPSHOT_KEY = ["date", "server_name", "class_name", "div"]
 REQUEST_KEY = ["server", "character_name"]
-
-ARTICLE_RECORD = (
-    "struct<id:bigint,title:string,post_date:string,url:string,content_html:string,"
-    "attachments:array<struct<name:string,url:string>>,videos:array<string>>"
-)

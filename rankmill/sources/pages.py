@@ -148,9 +148,9 @@ FRAME = r'(?s)<iframe[^>]*src="([^"]*)"'
 
 
 def extract_article(
-    pages: DataFrame, *, base_url: Column | str, fallback: datetime | Column, layout: str = "article"
+    pages: DataFrame, *, base_url: Column | str, scraped_at: datetime | Column, layout: str = "article"
 ) -> DataFrame:
-    """Page -> article record: title, date, body, attachments, videos. A bad or missing date becomes `fallback`."""
+    """Page -> article record: title, date, body, attachments, videos. A bad or missing date becomes `scraped_at`."""
     parts = LAYOUTS[layout]
     html = F.col("html")
     base = F.lit(base_url) if isinstance(base_url, str) else base_url
@@ -163,15 +163,16 @@ def extract_article(
         url = F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(base, href))
         return F.struct(text_of(link["name"]).alias("name"), url.alias("url"))
 
-    date = fn.parse_datetime_or(text_of(F.coalesce(_found(html, parts["date"]), F.lit(""))), fallback)
+    date = fn.parse_datetime_or(text_of(F.coalesce(_found(html, parts["date"]), F.lit(""))), scraped_at)
     return pages.select(
         F.col("page_id").alias("id"),
         F.coalesce(text_of(_found(html, parts["title"])), F.lit("")).alias("title"),
-        F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss").alias("post_date"),
+        fn.iso_local(date).alias("post_date"),
         "url",
         content.alias("content_html"),
         F.transform(links, attachment).alias("attachments"),
         F.filter(_all(content, FRAME), lambda src: src != "").alias("videos"),
+        fn.iso_local(fn.moment(scraped_at)).alias("scraped_at"),
     )
 
 

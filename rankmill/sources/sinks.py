@@ -14,8 +14,8 @@ from rankmill.operators.mutations import upsert_latest
 from rankmill.schemas import SNAPSHOT_KEY, STAGING
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Folder of the newest version, by the pointer entries (one tiny row per version)."""
+def current_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Number and folder of the newest version, by the pointer entries (one tiny row per version)."""
     if not _exists(spark, f"{root}/pointer"):
         return None
     row = (
@@ -24,15 +24,15 @@ def current_version(spark: SparkSession, root: str) -> str | None:
         .orderBy(F.desc("version"))
         .first()
     )
-    return f"{root}/{row['folder']}" if row else None
+    return (row["version"], f"{root}/{row['folder']}") if row else None
 
 
 def read_version(spark: SparkSession, root: str, schema) -> DataFrame:
     """The current version, or an empty state before the first one."""
-    folder = current_version(spark, root)
-    if folder is None:
+    current = current_version(spark, root)
+    if current is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    return spark.read.schema(schema).parquet(current[1])
 
 
 def write_version(state: DataFrame, root: str, version: int) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rankmill.operators.windows import first_per_key
 from rankmill.session import work_path
-from rankmill.sources.sinks import write_version
+from rankmill.sources.sinks import current_version, write_version
 
 STREAM_CONF = {
     # state lives in RocksDB on the executors, outside the heap
@@ -91,14 +91,24 @@ def collect_latest(
     return latest_rows(frame.sparkSession, root, frame.schema, keys, order_by)
 
 
-def latest_rows(spark: SparkSession, root: str, schema, keys: Sequence[str], order_by: Sequence[Column] = ()) -> DataFrame:
-    """Newest row per key over all batch folders; `order_by` comes before the batch number."""
+def _stored(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The folded base, if there is one, and the batch folders after it."""
     stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(stored).parquet(f"{root}/rows")
-    order = [*order_by, F.desc("batch")]
-    return first_per_key(rows, keys, order).drop("batch")
+    deltas = spark.read.schema(stored).parquet(f"{root}/rows")
+    base = current_version(spark, f"{root}/base")
+    if base is None:
+        return deltas
+    folded, folder = base
+    return spark.read.schema(stored).parquet(folder).unionByName(deltas.filter(F.col("batch") > folded))
+
+
+def latest_rows(spark: SparkSession, root: str, schema, keys: Sequence[str], order_by: Sequence[Column] = ()) -> DataFrame:
+    """Newest row per key over base and batch folders; `order_by` comes before the batch number."""
+    return first_per_key(_stored(spark, root, schema), keys, [*order_by, F.desc("batch")]).drop("batch")
 
 
-def compact(spark: SparkSession, root: str, schema, keys: Sequence[str], version: int, order_by: Sequence[Column] = ()) -> str:
-    """Folds the batch folders into one base version and returns its folder."""
-    return write_version(latest_rows(spark, root, schema, keys, order_by), f"{root}/base", version)
+def compact(spark: SparkSession, root: str, schema, keys: Sequence[str], order_by: Sequence[Column] = ()) -> str:
+    """Folds everything so far into one base version; the batch folders it covers are not read again."""
+    stored = _stored(spark, root, schema)
+    newest = stored.agg(F.max("batch")).first()[0]
+    return write_version(first_per_key(stored, keys, [*order_by, F.desc("batch")]), f"{root}/base", newest)

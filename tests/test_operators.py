@@ -86,6 +86,18 @@ def test_cube_labels_and_union_agree(spark):
     assert ("all", None, 1, 1) in counts and ("all", "all", 4, 1) in counts and ("all", "all", 1, 1) in counts
 
 
+def test_cube_without_rows_has_a_zero_total(spark):
+    out = aggregates.population_cube(ranking(spark, []))
+    assert [tuple(r) for r in out.collect()] == [("all", "all", 0, 1)]
+    assert [tuple(r) for r in sets.union_rollups(ranking(spark, [])).collect()] == [("all", "all", 0, 1)]
+
+
+def test_rank_type_document(spark):
+    rows = [("A", "x", "c", 1, 9, NOW), ("A", "x", "c", 3, 4, NOW)]
+    document = aggregates.rank_type_document(ranking(spark, rows)).first()["rankings"]
+    assert {k: [r["rank_position"] for r in v] for k, v in document.items()} == {"전투력": [9], "매력": [], "생활력": [4]}
+
+
 def test_choose_total_and_shares(spark):
     frame = spark.createDataFrame([(0, 0, 5), (0, 4, 5), (3, 4, 5), (None, None, 5)], "a long, b long, c long")
     out = frame.select(aggregates.choose_total(F.col("a"), F.col("b"), F.col("c")).alias("t")).collect()

@@ -102,9 +102,9 @@ def test_article(spark):
       <div class="board-files"><a href="/f.zip">File</a><a href="http://o/g.zip">Other</a></div>"""
     frame = spark.createDataFrame([(1, "u", board), (2, "u", "<p>none</p>")], "page_id long, url string, html string")
     first, second = (
-        ps.extract_article(frame, base_url="https://b.example", fallback=NOW, layout="board").orderBy("id").collect()
+        ps.extract_article(frame, base_url="https://b.example", scraped_at=NOW, layout="board").orderBy("id").collect()
     )
-    assert (first["title"], first["post_date"]) == ("News & more", "2025-05-15T09:40:00")
+    assert (first["title"], first["post_date"]) == ("News & more", "2025-05-15T09:40:00+09:00")
     assert [tuple(a) for a in first["attachments"]] == [("File", "https://b.example/f.zip"), ("Other", "http://o/g.zip")]
     assert first["videos"] == ["https://v/1"]
-    assert (second["title"], second["post_date"], second["content_html"], second["attachments"]) == ("", "2024-05-02T12:00:00", "", [])
+    assert (second["title"], second["post_date"], second["content_html"], second["attachments"]) == ("", "2024-05-02T12:00:00+09:00", "", [])

@@ -48,8 +48,13 @@ def test_upsert_event_time_and_arrival(spark):
     # started again without new input nothing changes
     runner.finish(aggregates.stream_upsert(stream, root, runner.AVAILABLE_NOW))
     assert state() == {"a": 4, "b": 3}
-    folder = runner.compact(spark, root, stream.schema, ["character_name", "server_name", "div"], 1, aggregates.newest_first())
+    folder = runner.compact(spark, root, stream.schema, ["character_name", "server_name", "div"], aggregates.newest_first())
     assert spark.read.schema(stream.schema).parquet(folder).count() == 2
+    assert state() == {"a": 4, "b": 3}
+    # batches after the base count on top of it
+    later = spark.createDataFrame([obs(6, "b", 6, 7), obs(7, "c", 7, 0)], OBS)
+    later.write.parquet(f"{root}/rows/batch=2")
+    assert state() == {"a": 4, "b": 6, "c": 7}
 
 
 def test_latest_value_ignores_late_rows(spark):
