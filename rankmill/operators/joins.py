@@ -12,6 +12,7 @@ from rankmill import functions as fn
 from rankmill.operators.aggregates import complete_types
 from rankmill.operators.sizing import local_if_small
 from rankmill.schemas import CHARACTER_KEY, RANKING_KEY, REQUEST_KEY
+from rankmill.session import settle
 
 
 def bottom_per_server(ranking: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def prefer_source(primary: DataFrame, secondary: DataFrame, not_found: DataFrame
 
     A name the primary source definitely does not know gets no fallback.
     """
-    complete = complete_types(primary).filter("all_present").select(*CHARACTER_KEY)
+    complete = settle(complete_types(primary).filter("all_present").select(*CHARACTER_KEY))
     fallback = secondary.join(complete, CHARACTER_KEY, "left_anti")
     if not_found is not None:
         fallback = fallback.join(not_found.select(*CHARACTER_KEY).distinct(), CHARACTER_KEY, "left_anti")

@@ -1,9 +1,9 @@
 """Table mutations as pure functions: state and changes in, new state out.
 
 Plain parquet has no MERGE, so a mutation never edits in place. Changes are
-reduced to one row per key first; the state is then only joined on its key and
-is not sorted or windowed, so a small set of changes is broadcast by size and
-the state passes through without a shuffle.
+reduced to one row per key and settled first: they are computed once, and their
+size is known when the join is planned, so a small set of changes is broadcast
+and the state passes through without a shuffle, a sort or a window.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ def upsert_latest(
     """
     newest = first_per_key(changes, keys, order_by).select(state.columns)
     if event_time is None:
+        newest = settle(newest)
         return state.join(newest, list(keys), "left_anti").select(state.columns).unionByName(newest)
     both = state.withColumn("_v", F.lit(0)).unionByName(newest.withColumn("_v", F.lit(1)))
     return first_per_key(both, keys, [F.desc(event_time), F.desc("_v")]).select(state.columns)
@@ -51,7 +52,7 @@ def insert_if_absent(state: DataFrame, rows: DataFrame, keys: Sequence[str]) ->
 
 def delete_key(state: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(state without the keys, number of rows deleted)."""
-    unique = doomed.select(*keys).distinct()
+    unique = settle(doomed.select(*keys).distinct())
     left = state.join(unique, list(keys), "left_anti").select(state.columns)
     gone = state.join(unique, list(keys), "left_semi").agg(F.count(F.lit(1)).alias("deleted"))
     return left, gone
@@ -71,7 +72,7 @@ def _update(
     """Left join with one change per key; `columns` are evaluated where a change exists."""
     marked = changes.withColumn("_hit", F.lit(True))
     renamed = marked.select(*keys, *[F.col(c).alias(f"new_{c}") for c in marked.columns if c not in keys])
-    joined = state.join(renamed, list(keys), "left")
+    joined = state.join(settle(renamed), list(keys), "left")
     hit = F.col("new__hit")
     return joined.select(
         *[

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -52,12 +52,16 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df):
-    """Write an intermediate result once to the checkpoint folder and go on from the files.
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared folder and go on from the files.
 
     Used where a result is read several times (an aggregate feeding several
     totals, a loop round) so that neither a retry nor a second reader repeats
-    the scan below it, and where row identity must not change between readers.
+    the work below it, and where row identity must not change between readers.
+    A columnar table instead of a checkpoint: readers take the columns they
+    need, and its size is known, so a small one can be broadcast.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = work_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
