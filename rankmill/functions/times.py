@@ -118,6 +118,11 @@ def weekly_slot(then: Column, last_done: Column | None = None) -> Column:
     return due & F.coalesce(F.to_date(last_done) != F.to_date(then), F.lit(True))
 
 
+def time_slot(wall_clock: Column, width: int) -> Column:
+    """Number of the `width` seconds long slot a time falls into; plain interval arithmetic, no zone."""
+    return F.call_function("div", wall_clock - F.expr(EPOCH), F.expr(f"INTERVAL '{int(width)}' SECOND"))
+
+
 def instant_of(wall_clock: Column, zone: str = fv.LOCAL_ZONE) -> Column:
     """Local wall clock -> instant (timestamp), whatever the session time zone is."""
     in_utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), wall_clock)

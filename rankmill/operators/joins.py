@@ -79,7 +79,7 @@ def open_request_within(incoming: DataFrame, stored: DataFrame, window: int = fv
     takes part in its own slot and in the next one, so each (key, slot) is a
     group of its own however hot the key is, and no pairs are formed.
     """
-    slot = F.floor(F.unix_micros(fn.instant_of(F.col("created_at"))) / (window * 1_000_000))
+    slot = fn.time_slot(F.col("created_at"), window)
     opened = stored.filter(F.col("status").isin(*fv.OPEN_STATUSES)).select(
         *REQUEST_KEY, "created_at", "request_id", F.explode(F.array(slot, slot + 1)).alias("_slot")
     )

@@ -273,10 +273,11 @@ def enqueue_dedup(requests: DataFrame, window: int = fv.DEDUP_SECONDS) -> DataFr
     heads = nodes.filter("open_request_id is null").select("request_id")
     inner = nodes.filter("open_request_id is not null").select(F.col("request_id").alias("next_id"))
     steps = settle(nodes.filter("next_id is not null").join(inner, "next_id").select("request_id", "next_id"))
+    # a head begins a stretch no pointer leaves or enters, so no request is reached twice
     kept = heads
     while not steps.isEmpty():
         hop = steps.join(kept, "request_id").select(F.col("next_id").alias("request_id"))
-        kept = settle(kept.union(hop).distinct())
+        kept = kept.union(settle(hop))
         after = steps.select(F.col("request_id").alias("next_id"), F.col("next_id").alias("_after"))
         steps = settle(steps.join(after, "next_id").select("request_id", F.col("_after").alias("next_id")))
 
@@ -294,21 +295,24 @@ def _successors(opened: DataFrame, window: int) -> DataFrame:
     is a head, so it needs no pointer. Read backwards in time, the successor is
     the last request met before the probe at created_at + window.
     """
-    step = window * 1_000_000
-    timed = opened.withColumn("_us", F.unix_micros(fn.instant_of(F.col("created_at"))))
-    slot = F.floor(F.col("_us") / step)
-    targets = timed.select(
-        *REQUEST_KEY, "_us", "request_id", F.lit(0).alias("_probe"), F.explode(F.array(slot, slot - 1)).alias("_slot")
+    reach = fn.seconds(window)
+    slot = fn.time_slot(F.col("created_at"), window)
+    targets = opened.select(
+        *REQUEST_KEY, "created_at", "request_id", F.lit(0).alias("_probe"), F.explode(F.array(slot, slot - 1)).alias("_slot")
     )
-    probes = timed.select(
-        *REQUEST_KEY, (F.col("_us") + step).alias("_us"), "request_id", F.lit(1).alias("_probe"), (slot + 1).alias("_slot")
+    probes = opened.select(
+        *REQUEST_KEY,
+        (F.col("created_at") + reach).alias("created_at"),
+        "request_id",
+        F.lit(1).alias("_probe"),
+        (slot + 1).alias("_slot"),
     )
     later = (
         Window.partitionBy(*REQUEST_KEY, "_slot")
-        .orderBy(F.desc("_us"), F.asc("_probe"), F.desc("request_id"))
+        .orderBy(F.desc("created_at"), F.asc("_probe"), F.desc("request_id"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    target = F.when(F.col("_probe") == 0, F.struct("_us", "request_id"))
+    target = F.when(F.col("_probe") == 0, F.struct("created_at", "request_id"))
     found = targets.unionByName(probes).withColumn("_next", F.last(target, ignorenulls=True).over(later))
-    near = F.col("_next._us") < F.col("_us") + step
+    near = F.col("_next.created_at") < F.col("created_at") + reach
     return found.filter("_probe = 1").select("request_id", F.when(near, F.col("_next.request_id")).alias("next_id"))
