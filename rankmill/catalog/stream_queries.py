@@ -37,8 +37,9 @@ def _(i):
 
 @query("stream_dedup_requests", (DEDUP % "5 minutes").replace("q.*", "q.request_id"))
 def _(i):
-    requests = views.with_event_time(requested(i), "created_at")
-    return runner.collect_append(stateful.stream_dedup_requests(requests), "stream_dedup_requests")
+    return stateful.collect_rows(
+        stateful.stream_dedup_requests, requested(i), "stream_dedup_requests", "request_id string"
+    )
 
 
 @query(
@@ -112,8 +113,11 @@ def _(i):
     pages = i.stream("pages").select(
         F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("list_key"), "page_id", "html"
     )
-    changed = stateful.stream_fingerprint_change(page_source.list_fingerprints(pages))
-    return runner.collect_append(changed, "stream_fingerprint_change")
+    versions = page_source.list_fingerprints(pages)
+    columns = "list_key string, page_id bigint, fingerprint string"
+    return stateful.collect_rows(
+        stateful.stream_fingerprint_change, versions, "stream_fingerprint_change", columns
+    )
 
 
 @query(

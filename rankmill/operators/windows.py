@@ -65,7 +65,7 @@ def numbered(
 
     A global sort spreads the rows by range; a row's position is its place in
     its slice plus the rows of the slices before. The sorted rows are written
-    to the checkpoint folder first, so a lost executor cannot renumber them.
+    to the shared folder first, so a lost executor cannot renumber them.
     Only the slice counts (one row per slice) meet in one task. Group starts
     are the smallest position of each group.
     """

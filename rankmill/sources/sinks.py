@@ -16,7 +16,7 @@ from rankmill.schemas import SNAPSHOT_KEY, STAGING
 
 def current_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
     """Number and folder of the newest version, by the pointer entries (one tiny row per version)."""
-    if not _exists(spark, f"{root}/pointer"):
+    if not path_exists(spark, f"{root}/pointer"):
         return None
     row = (
         spark.read.schema("version bigint, folder string")
@@ -44,7 +44,7 @@ def write_version(state: DataFrame, root: str, version: int) -> str:
     return f"{root}/{folder}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path)
     except AnalysisException:
@@ -65,7 +65,7 @@ def sink_snapshot(snapshot: DataFrame, path: str) -> None:
     """Appends a snapshot; rows whose key is already stored are left out, so the first run of a day wins."""
     spark = snapshot.sparkSession
     new = snapshot.dropDuplicates(SNAPSHOT_KEY)
-    if _exists(spark, path):
+    if path_exists(spark, path):
         schema = ", ".join(f"`{name}` {kind}" for name, kind in snapshot.dtypes)
         stored = spark.read.schema(schema).parquet(path).select(*SNAPSHOT_KEY)
         new = new.join(stored, SNAPSHOT_KEY, "left_anti").select(snapshot.columns)

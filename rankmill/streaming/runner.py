@@ -62,7 +62,12 @@ def start_batches(frame: DataFrame, root: str, trigger: dict, mode: str = "updat
         rows = prepare(batch) if prepare else batch
         rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
 
-    writer = frame.writeStream.outputMode(mode).foreachBatch(save)
+    return start_steps(frame, root, trigger, save, mode)
+
+
+def start_steps(frame: DataFrame, root: str, trigger: dict, step, mode: str = "append") -> StreamingQuery:
+    """Runs `step(batch, batch_id)` on every micro-batch; a step overwrites only folders named by its batch id."""
+    writer = frame.writeStream.outputMode(mode).foreachBatch(step)
     with stream_conf(frame.sparkSession):
         return writer.option("checkpointLocation", f"{root}/progress").trigger(**trigger).start()
 

@@ -1,76 +1,96 @@
 """Streams over keyed histories.
 
 A request's life cycle is an aggregate. De-duplication and change detection
-depend on the kept row before, so they hold one value per key in group state;
-the values travel with the Arrow batches, not by a call per key. Times are
-microseconds, so no time zone is involved.
+depend on the row kept before; they run the batch operator on every micro-batch
+and carry one row per key from batch to batch in a table. So a hot key is split
+exactly as in the batch form, and no group is handed to one Python worker.
+A repeated micro-batch reads only what earlier batches carried over and
+overwrites its own folders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from rankmill import fixed_values as fv
+from rankmill import functions as fn
+from rankmill.operators.mutations import enqueue_dedup
+from rankmill.operators.windows import fingerprint_changed
+from rankmill.schemas import REQUEST_KEY
+from rankmill.session import settle, work_path
+from rankmill.sources.sinks import path_exists
+from rankmill.streaming import runner
 
 
-def _in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(columns, kind="stable")
+def _carried(batch: DataFrame, root: str, columns: str, batch_id: int) -> DataFrame:
+    """What earlier micro-batches carried over (nothing before the first one)."""
+    spark, schema = batch.sparkSession, f"{columns}, batch bigint"
+    if not path_exists(spark, f"{root}/carried"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/carried").filter(F.col("batch") < batch_id)
 
 
-def with_micros(frame: DataFrame, instant: str = "event_time", name: str = "us") -> DataFrame:
-    return frame.withColumn(name, F.unix_micros(F.col(instant)))
+def _save(frame: DataFrame, root: str, kind: str, batch_id: int) -> None:
+    frame.write.mode("overwrite").parquet(f"{root}/{kind}/batch={batch_id}")
 
 
-def stream_dedup_requests(requests: DataFrame, window: int = fv.DEDUP_SECONDS) -> DataFrame:
-    """Ids of the requests that are kept (append mode); needs event_time.
+def stream_dedup_requests(
+    requests: DataFrame, root: str, trigger: dict, window: int = fv.DEDUP_SECONDS
+) -> StreamingQuery:
+    """Writes the kept requests' ids; carries the time of the last kept open request per key.
 
-    State per key: the time of the last kept open request. A micro-batch's
-    rows of a key are taken in time order.
+    A request less than `window` after the carried time, or before it, is
+    dropped; the others lie beyond its reach and are decided among themselves.
     """
-    window_us = window * 1_000_000
-
-    def keep(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["us", "request_id"])
-        last = state.get[0] if state.exists else None
-        kept = []
-        for us, status in zip(batch["us"], batch["status"]):
-            fresh = last is None or us - last >= window_us
-            kept.append(fresh)
-            if fresh and status in fv.OPEN_STATUSES:
-                last = int(us)
-        if last is not None:
-            state.update((last,))
-        yield batch.loc[kept, ["request_id"]]
-
-    keyed = with_micros(requests).select("server", "character_name", "request_id", "status", "us")
-    return keyed.groupBy("server", "character_name").applyInPandasWithState(
-        keep, "request_id string", "last_kept bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def stream_fingerprint_change(versions: DataFrame) -> DataFrame:
-    """List versions whose fingerprint differs from the one before (append mode); state: the last fingerprint."""
-
-    def changes(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["page_id"])
-        last = state.get[0] if state.exists else None
-        before = batch["fingerprint"].shift(1)
-        before.iloc[0] = last
-        state.update((batch["fingerprint"].iloc[-1],))
-        yield batch.loc[batch["fingerprint"] != before, ["list_key", "page_id", "fingerprint"]]
-
-    return versions.groupBy("list_key").applyInPandasWithState(
-        changes,
-        "list_key string, page_id bigint, fingerprint string",
-        "fingerprint string",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    reach = f"INTERVAL {int(window)} SECONDS"
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        rows = settle(batch.select(*REQUEST_KEY, "request_id", "status", "created_at"))
+        oldest = rows.agg(F.min("created_at")).first()[0]
+        if oldest is None:
+            return
+        carried = _carried(rows, root, "server string, character_name string, last_kept timestamp_ntz", batch_id)
+        # older rows cannot reach into this batch, and their files are skipped by statistics
+        near = carried.filter(F.col("last_kept") > fn.moment(oldest) - F.expr(reach))
+        last = near.groupBy(*REQUEST_KEY).agg(F.max("last_kept").alias("_last"))
+        free = F.col("_last").isNull() | (F.col("created_at") >= F.col("_last") + F.expr(reach))
+        undecided = rows.join(last, REQUEST_KEY, "left").filter(free).select(rows.columns)
+        kept = settle(enqueue_dedup(undecided, window))
+        blocking = kept.filter(F.col("status").isin(*fv.OPEN_STATUSES))
+        _save(blocking.groupBy(*REQUEST_KEY).agg(F.max("created_at").alias("last_kept")), root, "carried", batch_id)
+        _save(kept.select("request_id"), root, "rows", batch_id)
+
+    return runner.start_steps(requests, root, trigger, decide)
+
+
+def stream_fingerprint_change(versions: DataFrame, root: str, trigger: dict) -> StreamingQuery:
+    """Writes list versions whose fingerprint differs from the one before; carries the last one per list."""
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        rows = settle(fingerprint_changed(batch, ["list_key"], "page_id"))
+        carried = _carried(rows, root, "list_key string, last_seen string", batch_id)
+        last = carried.groupBy("list_key").agg(F.max_by("last_seen", "batch").alias("_last"))
+        before = F.coalesce("previous", "_last")
+        changed = rows.join(last, "list_key", "left").filter(~F.col("fingerprint").eqNullSafe(before))
+        ends = rows.groupBy("list_key").agg(F.max_by("fingerprint", "page_id").alias("last_seen"))
+        _save(ends, root, "carried", batch_id)
+        _save(changed.select("list_key", "page_id", "fingerprint"), root, "rows", batch_id)
+
+    return runner.start_steps(versions, root, trigger, decide)
+
+
+def collect_rows(start: Callable[..., StreamingQuery], frame: DataFrame, label: str, columns: str) -> DataFrame:
+    """Runs one of the streams above over all available input and reads what it wrote."""
+    spark = frame.sparkSession
+    root = work_path(spark, label)
+    runner.finish(start(frame, root, runner.AVAILABLE_NOW))
+    if not path_exists(spark, f"{root}/rows"):
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(f"{columns}, batch bigint").parquet(f"{root}/rows").drop("batch")
 
 
 def stream_request_lifecycle(lifecycle: DataFrame) -> DataFrame:
@@ -79,12 +99,11 @@ def stream_request_lifecycle(lifecycle: DataFrame) -> DataFrame:
     The first closing transition decides; before it the latest one does. A
     failed attempt goes back to pending while retries are left, else it fails.
     """
-    at = F.struct("us", "step")
+    at = F.struct("event_time", "step")
     closing = F.col("state").isin(*fv.CLOSED_STATUSES)
     attempt = F.col("state") == "attempt_failed"
     history = (
-        with_micros(lifecycle)
-        .groupBy("request_id")
+        lifecycle.groupBy("request_id")
         .agg(
             F.min_by(F.when(closing, F.col("state")), F.when(closing, at)).alias("closed"),
             F.max_by("state", at).alias("latest"),

@@ -72,8 +72,8 @@ def test_dedup_over_batches_equals_batch(spark):
         [req(3, 600), req(4, 660), req(5, 961), req(6, 10, "completed", "m")],
         [req(7, 1200), req(8, 1261), req(9, 20, "pending", "m")],
     ]
-    stream = views.with_event_time(batches(spark, "req", REQ, parts), "created_at")
-    out = runner.collect_append(stateful.stream_dedup_requests(stream), "dedup")
+    stream = batches(spark, "req", REQ, parts)
+    out = stateful.collect_rows(stateful.stream_dedup_requests, stream, "dedup", "request_id string")
     everything = spark.createDataFrame([r for part in parts for r in part], REQ)
     assert sorted(r[0] for r in out.collect()) == sorted(r["request_id"] for r in mutations.enqueue_dedup(everything).collect())
 
@@ -114,7 +114,8 @@ def test_lifecycle_transitions(spark):
 def test_fingerprint_state_carries_over(spark):
     schema = "list_key string, page_id bigint, fingerprint string"
     parts = [[("k", 1, "x"), ("k", 2, "x"), ("k", 3, "y")], [("k", 4, "y"), ("j", 5, "x")], [("k", 6, "x")]]
-    out = runner.collect_append(stateful.stream_fingerprint_change(batches(spark, "prints", schema, parts)), "changes")
+    stream = batches(spark, "prints", schema, parts)
+    out = stateful.collect_rows(stateful.stream_fingerprint_change, stream, "changes", schema)
     assert sorted(r["page_id"] for r in out.collect()) == [1, 3, 5, 6]
 
 
