@@ -3,10 +3,8 @@
 from pyspark.sql import functions as F
 
 from rankmill.catalog.function_queries import half_even
-from rankmill.catalog.join_queries import BOTTOM
 from rankmill.catalog.registry import query
-from rankmill.functions import moment, seconds
-from rankmill.operators import aggregates, filters, joins, mutations, windows
+from rankmill.operators import aggregates, joins, mutations, windows
 from rankmill.session import settle
 from rankmill.sources import pages as page_source
 

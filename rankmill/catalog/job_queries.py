@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from rankmill.catalog.aggregate_queries import ALERT, FRONTIER, LATE, SHARES
 from rankmill.catalog.filter_queries import DAY
 from rankmill.catalog.join_queries import changes_since, state_before
-from rankmill.catalog.mutation_queries import SWEPT
 from rankmill.catalog.registry import query
 from rankmill.catalog.source_queries import ARTICLE_SQL, ROWS, articles
 from rankmill.plans import jobs

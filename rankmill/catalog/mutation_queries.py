@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from rankmill.catalog.aggregate_queries import FRONTIER  # noqa: F401
 from rankmill.catalog.join_queries import changes_since, cutoff, state_before
 from rankmill.catalog.registry import query
-from rankmill.operators import aggregates, mutations, ordering
+from rankmill.operators import mutations, ordering
 from rankmill.operators.windows import first_per_key
 from rankmill.plans.jobs import crawler_status
 from rankmill.schemas import CHARACTER_KEY, RANKING_KEY, SNAPSHOT_KEY

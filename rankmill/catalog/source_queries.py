@@ -2,10 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankmill import functions as fn
-from rankmill import views
 from rankmill.catalog.aggregate_queries import SHARES, shares
-from rankmill.catalog.function_queries import half_even  # noqa: F401
 from rankmill.catalog.join_queries import changes_since, state_before
 from rankmill.catalog.mutation_queries import DOOMED, doomed
 from rankmill.catalog.registry import query

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from rankmill import functions as fn
 from rankmill import views
 from rankmill.catalog.mutation_queries import DEDUP
 from rankmill.catalog.registry import query
@@ -11,8 +10,6 @@ from rankmill.session import work_path
 from rankmill.sources import pages as page_source
 from rankmill.streaming import aggregates, runner, stateful
 
-MILLIS = "epoch_ms(%s)"
-
 
 def observed(i):
     return views.observe(i.stream("orders"), i.characters)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rankmill.catalog.aggregate_queries import BOTTOM, CLASSES, FRONTIER, SHARES, class_counts, server_bottoms, shares
+from rankmill.catalog.aggregate_queries import CLASSES, FRONTIER, SHARES, class_counts, server_bottoms, shares
+from rankmill.catalog.join_queries import BOTTOM
 from rankmill.catalog.registry import query
 from rankmill.operators import aggregates, ordering, windows
 from rankmill.sources import pages as page_source

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rankmill import fixed_values as fv
 from rankmill import functions as fn
 from rankmill.operators import aggregates, filters, joins, mutations, ordering, sets, windows
-from rankmill.operators.sizing import local_if_small
 from rankmill.schemas import CHARACTER_KEY, RANKING_KEY
 from rankmill.session import settle
 from rankmill.sources import pages as page_source
