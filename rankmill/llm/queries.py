@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from rankmill.llm import native_queries as native
+from rankmill.llm import token_queries as tokens
 
 QUERIES = {
     "op2_mixing": native.op2_mixing,
+    "op6_token_files": tokens.op6_token_files,
     "op8_url_lists": native.op8_url_lists,
 }
 
