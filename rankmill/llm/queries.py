@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankmill.llm import decontamination_queries as decontamination
 from rankmill.llm import native_queries as native
 from rankmill.llm import repetition_queries as repetition
 from rankmill.llm import token_queries as tokens
@@ -10,11 +11,13 @@ QUERIES = {
     "op2_mixing": native.op2_mixing,
     "op6_token_files": tokens.op6_token_files,
     "op8_url_lists": native.op8_url_lists,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality_rules": repetition.op10_quality_rules,
 }
 
 ORACLES = {
     "op2_mixing": native.OP2_SQL,
     "op8_url_lists": native.OP8_SQL,
+    "op9_decontamination": decontamination.OP9_SQL,
     "op10_quality_rules": repetition.OP10_SQL,
 }

@@ -22,7 +22,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 REPEAT_WINDOW, MAX_REPEAT_PERCENT = 3, 50
 #: the method's limits: words of a repeat that counts, covered percent, longest repeat
-MIN_REPEAT, MAX_COVERED_PERCENT, MAX_LONGEST = 10, 30, 100
+MIN_REPEAT, MAX_COVERED_PERCENT, MAX_LONGEST = 10, 40, 100
 
 OUT_LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
 OUT = (

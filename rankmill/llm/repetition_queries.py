@@ -33,6 +33,6 @@ f AS (
   LEFT JOIN cover c ON c.r = w.r AND c.k = 101)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered_words <= 30 * n_words AND NOT long_repeat AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered_words <= 40 * n_words AND NOT long_repeat AS kept
 FROM f
 """
