@@ -5,10 +5,12 @@ from __future__ import annotations
 from rankmill.llm import decontamination_queries as decontamination
 from rankmill.llm import native_queries as native
 from rankmill.llm import repetition_queries as repetition
+from rankmill.llm import secret_queries as secrets
 from rankmill.llm import token_queries as tokens
 
 QUERIES = {
     "op2_mixing": native.op2_mixing,
+    "op5_secrets": secrets.op5_secrets,
     "op6_token_files": tokens.op6_token_files,
     "op8_url_lists": native.op8_url_lists,
     "op9_decontamination": decontamination.op9_decontamination,

@@ -20,6 +20,8 @@ the order of a file, are in ascending order of the ids; null ids come first.
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -125,7 +127,7 @@ class Encoder:
     parted again by their number of bytes. Memory is emptied when it holds `most` pieces.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 500_000):
+    def __init__(self, tokenizer_file: str, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -195,6 +197,15 @@ class Encoder:
         return ids, upto[of_text]
 
 
+def worker_encoder(tokenizer_file: str) -> Encoder:
+    """The encoder of this Python worker: loading it and learning the common pieces is done once, not in every task."""
+    kept = sys.modules.setdefault("_rankmill_worker", types.ModuleType("_rankmill_worker"))
+    encoders = kept.__dict__.setdefault("encoders", {})
+    if tokenizer_file not in encoders:
+        encoders[tokenizer_file] = Encoder(tokenizer_file)
+    return encoders[tokenizer_file]
+
+
 def _table(values: bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(values)] = True
@@ -225,7 +236,7 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def write_token_files(
-    articles: DataFrame, tokenizer_file: str, *, end_id: int = END_ID, file_rows: int = 2000
+    articles: DataFrame, tokenizer_file: str, *, end_id: int = END_ID, file_rows: int = 8000
 ) -> DataFrame:
     """Encodes every article and writes the files into the shared folder.
 
@@ -245,7 +256,7 @@ def write_token_files(
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer, end = Encoder(tokenizer_file), FileWriter(), struct.pack("<I", end_id)
+        encoder, writer, end = worker_encoder(tokenizer_file), FileWriter(), struct.pack("<I", end_id)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, data, offsets in pieces(batch.column(1)):
