@@ -5,6 +5,7 @@ from __future__ import annotations
 from rankmill.llm import decontamination_queries as decontamination
 from rankmill.llm import language_queries as language
 from rankmill.llm import native_queries as native
+from rankmill.llm import page_queries as pages
 from rankmill.llm import repetition_queries as repetition
 from rankmill.llm import secret_queries as secrets
 from rankmill.llm import token_queries as tokens
@@ -12,6 +13,7 @@ from rankmill.llm import token_queries as tokens
 QUERIES = {
     "op2_mixing": native.op2_mixing,
     "op3_language": language.op3_language,
+    "op4_page_text": pages.op4_page_text,
     "op5_secrets": secrets.op5_secrets,
     "op6_token_files": tokens.op6_token_files,
     "op8_url_lists": native.op8_url_lists,
