@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rankmill.llm import decontamination_queries as decontamination
+from rankmill.llm import language_model_queries as language_model
 from rankmill.llm import language_queries as language
 from rankmill.llm import native_queries as native
 from rankmill.llm import page_queries as pages
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_page_text": pages.op4_page_text,
     "op5_secrets": secrets.op5_secrets,
     "op6_token_files": tokens.op6_token_files,
+    "op7_language_model": language_model.op7_language_model,
     "op8_url_lists": native.op8_url_lists,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality_rules": repetition.op10_quality_rules,
