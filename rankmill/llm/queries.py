@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rankmill.llm import decontamination_queries as decontamination
+from rankmill.llm import jaccard_queries as jaccard
 from rankmill.llm import language_model_queries as language_model
 from rankmill.llm import language_queries as language
 from rankmill.llm import native_queries as native
@@ -12,6 +13,7 @@ from rankmill.llm import secret_queries as secrets
 from rankmill.llm import token_queries as tokens
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_mixing": native.op2_mixing,
     "op3_language": language.op3_language,
     "op4_page_text": pages.op4_page_text,
@@ -24,6 +26,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_jaccard_join": jaccard.OP1_SQL,
     "op2_mixing": native.OP2_SQL,
     "op8_url_lists": native.OP8_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
