@@ -281,3 +281,25 @@ def n_hit(spans: Column) -> Column:
 def over_limit(n_words: Column, hit: Column, percent: int = COVERAGE_PERCENT) -> Column:
     """True where an occurrence exists and the covered part reaches the limit."""
     return (hit > 0) & (hit * 100 >= n_words * percent)
+
+
+def clean_articles(rows: DataFrame, content: str, items: DataFrame, *, window: int = WINDOW, percent: int = COVERAGE_PERCENT) -> DataFrame:
+    """The rows whose content isn't over the limit. Keeps the given columns; nothing is shuffled.
+
+    A task holds the automata of all blocks, about 100 bytes for each word of the benchmark.
+    """
+    context = rows.sparkSession.sparkContext
+    blocks = [context.broadcast(Automaton(block, window)) for block in item_blocks(items, window, BLOCK_WORDS)]
+    place = rows.columns.index(content)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for first, data, offsets in pieces(batch.column(place)):
+                found = [block.value.scan(data, offsets) for block in blocks]
+                for i, n_words in enumerate(found[0][0]):
+                    hit = sum(b - a for a, b in united([s for _, spans, _ in found for s in spans[i]]))
+                    clean[first + i] = not (hit > 0 and hit * 100 >= n_words * percent)
+            yield batch.filter(pa.array(clean))
+
+    return rows.mapInArrow(keep, rows.schema)

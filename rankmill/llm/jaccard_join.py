@@ -25,7 +25,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.llm.components import components
@@ -339,7 +339,7 @@ def join_articles(
     runs of anything but ASCII white space, A-Z in lower case. Two articles link
     when 100 * intersection >= percent * union of their sets. Returns per row: id,
     content_key (hash of the content), n_shingles, set (hash of the set, null
-    without words), component_id (least id that links reach, its own included;
+    without words), group (least set that links reach), component_id (least id that links reach, its own included;
     without words the article's own), n_links (other sets that its set links with).
     Null ids never are a component's least id unless all are null. Repeated rows
     stay, an empty table gives an empty result.
@@ -359,15 +359,37 @@ def join_articles(
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     linked = label.join(degree, "node").join(each.select(F.col("set").alias("node"), "id"), "node")
     named = linked.groupBy("label").agg(F.min("id").alias("least_id"))
-    linked = linked.join(named, "label").select(F.col("node").alias("set"), "n_links", "least_id")
-    classes = each.select("set", F.col("id").alias("own_id")).join(linked, "set", "left")
-    classes = classes.select("set", F.coalesce("least_id", "own_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = linked.join(named, "label").select(F.col("node").alias("set"), "label", "n_links", "least_id")
+    classes = each.select("set", F.col("id").alias("own_id")).join(linked, "set", "left").select(
+        "set",
+        F.coalesce("label", "set").alias("group"),
+        F.coalesce("least_id", "own_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
     without = F.col("set").isNull()
     return sets.drop("needed", "prefix").join(classes, "set", "left").select(
         "id",
         "content_key",
         "n_shingles",
         "set",
+        "group",
         F.when(without, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )
+
+
+def one_per_group(rows: DataFrame, id: str, content: str, **options) -> DataFrame:
+    """The rows of articles of which no similar one comes before: one row of each group, the least by id, then by content.
+
+    Keeps the given columns. Articles without words are in no group and stay, all of them.
+    """
+    found = settle(join_articles(rows.select(F.col(id).alias("id"), F.col(content).alias("content")), **options))
+    least = F.min(F.struct(F.col("id").isNull(), "id", "content_key")).alias("least")
+    chosen = found.where("set IS NOT NULL").groupBy("group").agg(least)
+    chosen = chosen.select(F.xxhash64("least.id", "least.content_key").alias("_row_key"))
+    keyed = rows.withColumn("_row_key", F.xxhash64(F.col(id).cast("long"), content_key(F.col(content).cast("string"))))
+    has_words = F.coalesce(F.col(content).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.where(has_words).join(chosen, "_row_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))  # equal rows: any one of them
+    kept = kept.withColumn("_number", first).where("_number = 1")
+    return kept.select(*rows.columns).union(rows.where(~has_words).select(*rows.columns))

@@ -31,10 +31,10 @@ pairs AS (
   FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
   GROUP BY ALL),
 links AS (SELECT a, b FROM pairs WHERE 100 * i >= 90 * (na + nb - i)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM reps UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM reps UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
 comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
-degree AS (SELECT a, count(*) AS n FROM both GROUP BY a)
+degree AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
 SELECT d.doc_id, coalesce(whole.n, 0)::BIGINT AS n_shingles, coalesce(comp.component_id, d.doc_id) AS component_id,
        coalesce(degree.n, 0)::BIGINT AS n_links
 FROM d LEFT JOIN whole USING (doc_id) LEFT JOIN reps ON reps.k = whole.k

@@ -226,6 +226,40 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode())
 
 
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+LABELS = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", SPAN)])
+
+
+def label_batch(model: Model, batch: pa.RecordBatch, switch: float, spans: bool) -> Iterator[pa.RecordBatch]:
+    """Labels of a batch of id and content."""
+    names = [*model.languages, UNKNOWN]
+    if not model.languages:
+        n = batch.num_rows
+        none = [pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([[] if spans else None] * n, type=SPAN)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *none], schema=LABELS)
+        return
+    for first, data, offsets in pieces(batch.column(1), 8 << 20):
+        n = len(offsets) - 1
+        best, share, n_words, path, of_text = article_languages(model, data, offsets, switch)
+        ascii = np.concatenate([[0], np.cumsum((LOWER[data] >= 0x61) & (LOWER[data] <= 0x7A))])[offsets]
+        known = np.diff(ascii) > 0
+        for i in np.flatnonzero(~known & (n_words > 0)).tolist():
+            known[i] = has_letter(data[offsets[i] : offsets[i + 1]].tobytes())
+        labels = np.where(known, best, len(names) - 1)
+        found = []
+        for i in range(n if spans else 0):
+            part = path[of_text[i] : of_text[i + 1]] if known[i] else path[:0]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+            found.append([{"start": a, "end": b, "lang": names[part[a]]} for a, b in zip(cuts, cuts[1:])])
+        columns = [
+            batch.column(0).slice(first, n),
+            pa.array([names[i] for i in labels.tolist()]),
+            pa.array(np.where(known, share, 0.0)),
+            pa.array(found if spans else [None] * n, type=SPAN),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, schema=LABELS)
+
+
 def label_articles(articles: DataFrame, model: Model, *, switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """Language of every article.
 
@@ -239,39 +273,25 @@ def label_articles(articles: DataFrame, model: Model, *, switch: float = SWITCH,
     is shuffled, memory is bounded by the longest article.
     """
     shared = articles.sparkSession.sparkContext.broadcast(model)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-    schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", span)])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = [*model.languages, UNKNOWN]
         for batch in batches:
-            if not model.languages:
-                n = batch.num_rows
-                none = [pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([[] if spans else None] * n, type=span)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *none], schema=schema)
-                continue
-            for first, data, offsets in pieces(batch.column(1), 8 << 20):
-                n = len(offsets) - 1
-                best, share, n_words, path, of_text = article_languages(model, data, offsets, switch)
-                ascii = np.concatenate([[0], np.cumsum((LOWER[data] >= 0x61) & (LOWER[data] <= 0x7A))])[offsets]
-                known = np.diff(ascii) > 0
-                for i in np.flatnonzero(~known & (n_words > 0)).tolist():
-                    known[i] = has_letter(data[offsets[i] : offsets[i + 1]].tobytes())
-                labels = np.where(known, best, len(names) - 1)
-                found = []
-                for i in range(n if spans else 0):
-                    part = path[of_text[i] : of_text[i + 1]] if known[i] else path[:0]
-                    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
-                    found.append([{"start": a, "end": b, "lang": names[part[a]]} for a, b in zip(cuts, cuts[1:])])
-                columns = [
-                    batch.column(0).slice(first, n),
-                    pa.array([names[i] for i in labels.tolist()]),
-                    pa.array(np.where(known, share, 0.0)),
-                    pa.array(found if spans else [None] * n, type=span),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            yield from label_batch(shared.value, batch, switch, spans)
 
     rows = articles.select(F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content"))
     out = rows.mapInArrow(label, "id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
     return out if spans else out.drop("spans")
+
+
+def known_articles(rows: DataFrame, content: str, model: Model) -> DataFrame:
+    """The rows whose content has a language; `und` goes. Keeps the given columns; nothing is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    place = rows.columns.index(content)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(place)], names=["id", "content"])
+            labels = [x for part in label_batch(shared.value, texts, SWITCH, False) for x in part.column(1).to_pylist()]
+            yield batch.filter(pa.array([x != UNKNOWN for x in labels], type=pa.bool_()))
+
+    return rows.mapInArrow(keep, rows.schema)
