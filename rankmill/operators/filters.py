@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from rankmill import fixed_values as fv
 from rankmill import functions as fn
-from rankmill.operators.sizing import local_if_small
 from rankmill.operators.windows import first_per_key
+from rankmill.session import settle
 
 
 def point_lookup(ranking: DataFrame, server, character, div) -> DataFrame:
@@ -33,9 +33,9 @@ def fresh_server_rows_min_count(
     ranking: DataFrame, as_of: datetime | Column, ttl: int = fv.FRESH_SECONDS, min_rows: int = fv.MIN_FRESH_ROWS
 ) -> DataFrame:
     """Fresh rows of every (server, div) that has at least `min_rows` of them."""
-    fresh = fresh_rows(ranking, as_of, ttl)
+    fresh = settle(fresh_rows(ranking, as_of, ttl))  # read twice below
     enough = fresh.groupBy("server_name", "div").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
-    return fresh.join(local_if_small(enough.drop("n")), ["server_name", "div"], "left_semi")
+    return fresh.join(enough.drop("n"), ["server_name", "div"], "left_semi")
 
 
 def outdated_rows(

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from rankmill import fixed_values as fv
 from rankmill import functions as fn
 from rankmill.operators.aggregates import complete_types
-from rankmill.operators.sizing import local_if_small
 from rankmill.schemas import CHARACTER_KEY, RANKING_KEY, REQUEST_KEY
 from rankmill.session import settle
 
 
 def bottom_per_server(ranking: DataFrame) -> DataFrame:
     """Every row holding its server's highest rank number: ties stay, rank types are mixed."""
+    ranking = settle(ranking)  # read twice below
     lowest = ranking.groupBy("server_name").agg(F.max("rank_position").alias("rank_position"))
-    return ranking.join(local_if_small(lowest), ["server_name", "rank_position"]).select(ranking.columns)
+    return ranking.join(lowest, ["server_name", "rank_position"]).select(ranking.columns)
 
 
 def stale_not_in(ranking: DataFrame, as_of: datetime | Column) -> DataFrame:
@@ -29,17 +29,17 @@ def stale_not_in(ranking: DataFrame, as_of: datetime | Column) -> DataFrame:
     subquery: a name is untouched today exactly when its newest row is older.
     """
     now = F.col("retrieved_at") >= fn.day_start(as_of)
-    unnamed = F.col("character_name").isNull()
-    servers = ranking.groupBy("server_name").agg(
-        F.count_if(now).alias("_touched"), F.count_if(now & unnamed).alias("_undecided")
-    )
-    names = ranking.groupBy("server_name", "character_name").agg(
-        F.max("retrieved_at").alias("last_retrieved"), F.count_if(now).alias("_today")
+    names = settle(
+        ranking.groupBy("server_name", "character_name").agg(
+            F.max("retrieved_at").alias("last_retrieved"), F.count_if(now).alias("_today")
+        )
     )
+    unnamed = F.when(F.col("character_name").isNull(), F.col("_today")).otherwise(0)
+    servers = names.groupBy("server_name").agg(F.sum("_today").alias("_touched"), F.sum(unnamed).alias("_undecided"))
     decided = (F.col("_undecided") == 0) & (F.col("character_name").isNotNull() | (F.col("_touched") == 0))
     return (
         names.filter("_today = 0")
-        .join(local_if_small(servers), "server_name")
+        .join(servers, "server_name")
         .filter(decided)
         .select("server_name", "character_name", "last_retrieved")
     )

@@ -36,17 +36,52 @@ def upsert_latest(
     `order_by`, whatever the state holds. With `event_time` the newer row wins
     and the change wins ties, so a late older row does not overwrite.
     """
-    newest = first_per_key(changes, keys, order_by).select(state.columns)
+    newest = settle(first_per_key(changes, keys, order_by).select(state.columns))
     if event_time is None:
-        newest = settle(newest)
-        return state.join(newest, list(keys), "left_anti").select(state.columns).unionByName(newest)
-    both = state.withColumn("_v", F.lit(0)).unionByName(newest.withColumn("_v", F.lit(1)))
-    return first_per_key(both, keys, [F.desc(event_time), F.desc("_v")]).select(state.columns)
+        return absent(state, newest, keys).unionByName(newest)
+    # the state passes once beside the changes, and once more with its keys to tell which changes are new
+    old, new = state.alias("old"), newest.withColumn("_hit", F.lit(True)).alias("new")
+    later = F.col("new._hit") & (
+        (F.col(f"new.{event_time}") >= F.col(f"old.{event_time}")) | F.col(f"old.{event_time}").isNull()
+    )
+    chosen = [F.when(later, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in state.columns]
+    kept = old.join(new, same_key(keys, "old", "new"), "left").select(*chosen)
+    known = settle(present(state, newest, keys).select(*keys).distinct())
+    return kept.unionByName(absent(newest, known, keys))
+
+
+def same_key(keys: Sequence[str], left: str, right: str) -> Column:
+    """Equal keys; a null is a value of its own, as it is in grouping."""
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
+    return condition
+
+
+def absent(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key `other` does not have."""
+    return rows.alias("l").join(other.alias("r"), same_key(keys, "l", "r"), "left_anti")
 
 
-def insert_if_absent(state: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Only rows whose key is not there yet are added: the first run wins."""
-    new = rows.dropDuplicates(list(keys)).join(state.select(*keys), list(keys), "left_anti")
+def present(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key `other` has."""
+    return rows.alias("l").join(other.alias("r"), same_key(keys, "l", "r"), "left_semi")
+
+
+def by_all_columns(frame: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """An order that depends on the rows alone: the other columns one after another, nulls last."""
+    return [F.col(f"`{c}`").asc_nulls_last() for c in frame.columns if c not in keys] or [F.lit(0)]
+
+
+def insert_if_absent(
+    state: DataFrame, rows: DataFrame, keys: Sequence[str], order_by: Sequence[Column] | None = None
+) -> DataFrame:
+    """Only rows whose key is not there yet are added: the first run wins.
+
+    Of several rows of one key the first in `order_by` is added, by default the
+    first by all its columns.
+    """
+    new = absent(first_per_key(rows, keys, order_by or by_all_columns(rows, keys)), state.select(*keys), keys)
     return state.unionByName(new.select(state.columns))
 
 
@@ -67,9 +102,18 @@ def deleted_names(state: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def _update(
-    state: DataFrame, changes: DataFrame, keys: Sequence[str], columns: dict[str, Column]
+    state: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    columns: dict[str, Column],
+    order_by: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Left join with one change per key; `columns` are evaluated where a change exists."""
+    """Left join with one change per key; `columns` are evaluated where a change exists.
+
+    Of several changes of one key the first in `order_by` counts, by default the
+    first by all its columns, so a state row never doubles.
+    """
+    changes = first_per_key(changes, keys, order_by or by_all_columns(changes, keys))
     marked = changes.withColumn("_hit", F.lit(True))
     renamed = marked.select(*keys, *[F.col(c).alias(f"new_{c}") for c in marked.columns if c not in keys])
     joined = state.join(settle(renamed), list(keys), "left")
@@ -107,26 +151,29 @@ def claim_request(requests: DataFrame, chosen: DataFrame, *, as_of: datetime | C
     )
 
 
-def complete_request(requests: DataFrame, results: DataFrame, *, as_of: datetime | Column) -> DataFrame:
-    """Finished requests with their result (text or a struct, stored as JSON)."""
+def complete_request(
+    requests: DataFrame, results: DataFrame, *, as_of: datetime | Column, order_by: Sequence[Column] | None = None
+) -> DataFrame:
+    """Finished requests with their result (text or a struct, stored as JSON); of several the first in `order_by`."""
     is_text = dict(results.dtypes)["result"] == "string"
     stored = results if is_text else results.withColumn("result", F.to_json("result"))
+    stored = first_per_key(stored, ["request_id"], order_by or [F.col("result").asc_nulls_last()])
     return _update(
         requests,
-        stored.select("request_id", "result").dropDuplicates(["request_id"]),
+        stored.select("request_id", "result"),
         ["request_id"],
         {"status": F.lit("completed"), "completed_at": fn.moment(as_of), "result": F.col("new_result")},
     )
 
 
 def fail_or_retry(
-    requests: DataFrame, failures: DataFrame, *, as_of: datetime | Column
+    requests: DataFrame, failures: DataFrame, *, as_of: datetime | Column, order_by: Sequence[Column] | None = None
 ) -> DataFrame:
     """Failures carry request_id, error_message, retry and not_found.
 
     Retry: pending while the old retry count is below the maximum, else failed,
     without an end time. No retry: failed with an end time. Not found is an
-    answer: completed.
+    answer: completed. Of several failures of one request the first in `order_by` counts.
     """
     tried = F.col("retry_count")
     retry, not_found = F.col("new_retry"), F.col("new_not_found")
@@ -140,9 +187,12 @@ def fail_or_retry(
     )
     again = F.when(tried < F.col("max_retries"), "pending").otherwise("failed")
     ended = fn.moment(as_of)
+    columns = ["request_id", "error_message", "retry", "not_found"]
+    if order_by:
+        failures = first_per_key(failures, ["request_id"], order_by)
     return _update(
         requests,
-        failures.select("request_id", "error_message", "retry", "not_found"),
+        failures.select(*columns),
         ["request_id"],
         {
             "status": F.when(not_found, "completed").when(retry, again).otherwise("failed"),
@@ -210,12 +260,25 @@ def key_violations(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def patch_non_null(state: DataFrame, patch: DataFrame, keys: Sequence[str], *, as_of: datetime | Column) -> DataFrame:
+def patch_non_null(
+    state: DataFrame,
+    patch: DataFrame,
+    keys: Sequence[str],
+    *,
+    as_of: datetime | Column,
+    order_by: Sequence[Column] | None = None,
+) -> DataFrame:
     """Only given (non-null) fields overwrite; the update time is stamped; no row is created.
 
-    A patch without any given field changes nothing.
+    A patch without any given field changes nothing. Several patches of one key
+    are taken together: of each field the first given value in `order_by`, by
+    default in the order of all columns.
     """
-    fields = [c for c in patch.columns if c not in keys]
+    fields = [c for c in patch.columns if c in state.columns and c not in keys]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order_by or by_all_columns(patch, keys))))
+    numbered = patch.withColumn("_place", place)
+    first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_place"))).alias(c) for c in fields]
+    patch = numbered.groupBy(*keys).agg(*first)
     given = F.lit(False)
     for c in fields:
         given = given | F.col(c).isNotNull()

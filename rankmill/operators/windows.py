@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill import fixed_values as fv
-from rankmill.operators.sizing import local_if_small
 from rankmill.session import settle
 
 
@@ -77,10 +76,10 @@ def numbered(
     before = F.coalesce(
         F.sum("_rows").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    starts = local_if_small(counts.select("_slice", before.alias("_before")))
+    starts = settle(counts.select("_slice", before.alias("_before")))
     placed = ordered.join(starts, "_slice").withColumn("_pos", F.col("_before") + in_slice + 1)
     if partition_by:
-        first = local_if_small(placed.groupBy(*partition_by).agg((F.min("_pos") - 1).alias("_start")))
+        first = settle(placed.groupBy(*partition_by).agg((F.min("_pos") - 1).alias("_start")))
         same = [placed[key].eqNullSafe(first[key]) for key in partition_by]
         condition = same[0]
         for term in same[1:]:
@@ -94,12 +93,12 @@ def assign_batches(
     frame: DataFrame, order_by: Sequence[Column], size: int, partition_by: Sequence[str] = ()
 ) -> DataFrame:
     """Fixed-size batches in order: 0-based batch index and the number of batches of the group."""
-    rows = numbered(frame, order_by, partition_by)
+    rows = settle(numbered(frame, order_by, partition_by))
     rows = rows.withColumn("batch_index", F.floor((F.col("row_no") - 1) / size))
     last = (F.max("batch_index") + 1).alias("batch_count")
     if not partition_by:
         return rows.withColumn("batch_count", rows.agg(last).scalar())
-    return rows.join(local_if_small(rows.groupBy(*partition_by).agg(last)), list(partition_by))
+    return rows.join(rows.groupBy(*partition_by).agg(last), list(partition_by))
 
 
 def report_index(report: DataFrame, value: str = "population", label: str = "class_name") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,34 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the Hadoop API."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate results in the shared folder."""
+    system, place = hadoop_path(spark, path)
+    system.delete(place, True)
+
+
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def settled_scope(spark: SparkSession):
+    """Tables settled inside are removed at the end: for jobs that have written their results by then."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(paths)
+        for path in paths:
+            remove(spark, path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result once to the shared folder and go on from the files.
 
@@ -63,5 +92,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, "settled")
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

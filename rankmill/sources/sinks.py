@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmill.functions import moment
-from rankmill.operators.mutations import upsert_latest
+from rankmill.operators.mutations import by_all_columns, upsert_latest
+from rankmill.operators.windows import first_per_key
 from rankmill.schemas import SNAPSHOT_KEY, STAGING
+from rankmill.session import hadoop_path, settle
 
 
 def current_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
@@ -45,11 +46,7 @@ def write_version(state: DataFrame, root: str, version: int) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException:
-        return False
-    return True
+    return hadoop_path(spark, path)[0].exists(hadoop_path(spark, path)[1])
 
 
 def sink_upsert_ranking(
@@ -62,12 +59,17 @@ def sink_upsert_ranking(
 
 
 def sink_snapshot(snapshot: DataFrame, path: str) -> None:
-    """Appends a snapshot; rows whose key is already stored are left out, so the first run of a day wins."""
+    """Appends a snapshot; rows whose key is already stored are left out, so the first run of a day wins.
+
+    Of several new rows of one key the first by all columns is kept. Of what is
+    stored only the folders between the first and the last new date are read.
+    """
     spark = snapshot.sparkSession
-    new = snapshot.dropDuplicates(SNAPSHOT_KEY)
+    new = settle(first_per_key(snapshot, SNAPSHOT_KEY, by_all_columns(snapshot, SNAPSHOT_KEY)))
     if path_exists(spark, path):
         schema = ", ".join(f"`{name}` {kind}" for name, kind in snapshot.dtypes)
-        stored = spark.read.schema(schema).parquet(path).select(*SNAPSHOT_KEY)
+        first, last = new.agg(F.min("date"), F.max("date")).first()
+        stored = spark.read.schema(schema).parquet(path).filter(F.col("date").between(first, last)).select(*SNAPSHOT_KEY)
         new = new.join(stored, SNAPSHOT_KEY, "left_anti").select(snapshot.columns)
     new.repartition("date").write.partitionBy("date").mode("append").parquet(path)
 

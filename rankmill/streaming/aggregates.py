@@ -19,13 +19,13 @@ def newest_first():
 
 
 def stream_upsert(observations: DataFrame, root: str, trigger: dict):
-    """Upserts micro-batches: duplicates go inside the batch, the newest row of a key per batch is kept.
+    """Upserts micro-batches: the newest row of a key per batch is kept.
 
     Event time decides across batches, so a late older row does not overwrite.
     """
 
     def newest(batch: DataFrame) -> DataFrame:
-        return distinct_on_key(batch.dropDuplicates(), RANKING_KEY, newest_first())
+        return distinct_on_key(batch, RANKING_KEY, newest_first())
 
     return runner.start_batches(observations, root, trigger, mode="append", prepare=newest)
 

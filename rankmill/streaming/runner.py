@@ -35,13 +35,11 @@ STREAM_CONF = {
 def stream_conf(spark: SparkSession):
     """Settings a stream takes over when it starts; the session's own settings are put back.
 
-    A stateful stream cannot merge small partitions at run time, so it starts
-    with no more of them than there are cores.
+    A stateful stream keeps the number of state partitions it starts with: it is
+    the session's spark.sql.shuffle.partitions, to be set for the cluster's full size.
     """
-    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    wanted = {**STREAM_CONF, "spark.sql.shuffle.partitions": str(partitions)}
-    before = {key: spark.conf.get(key, None) for key in wanted}
-    for key, value in wanted.items():
+    before = {key: spark.conf.get(key, None) for key in STREAM_CONF}
+    for key, value in STREAM_CONF.items():
         spark.conf.set(key, value)
     try:
         yield

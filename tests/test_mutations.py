@@ -212,3 +212,45 @@ def test_log_files_are_numbered_in_file_order(spark, tmp_path):
     (tmp_path / "b.log").write_text("three\n" * 5)
     rows = readers.scan_log_lines(spark, str(tmp_path)).orderBy("line_no").collect()
     assert [(r["line_no"], r["line"]) for r in rows] == [(1, "one"), (2, "two")] + [(n, "three") for n in range(3, 8)]
+
+
+def layouts(frame):
+    return [frame.coalesce(1), frame.repartition(5), frame.repartition(3, frame.columns[-1])]
+
+
+def test_doubled_changes_never_double_a_row_or_choose_at_random(spark):
+    requests = spark.createDataFrame(
+        [("r1", "processing", 0, 3, None, None, None, None), ("r2", "processing", 3, 3, None, None, None, None)],
+        "request_id string, status string, retry_count int, max_retries int, error_message string, "
+        "started_at timestamp_ntz, completed_at timestamp_ntz, result string",
+    )
+    failures = spark.createDataFrame(
+        [("r1", "b", True, False), ("r1", "a", True, False), ("r1", "c", False, True), ("r2", "x", False, False)],
+        "request_id string, error_message string, retry boolean, not_found boolean",
+    )
+    results = spark.createDataFrame([("r1", "B"), ("r1", "A"), ("r2", "C")], "request_id string, result string")
+    state = spark.createDataFrame([("k", 1, None, None)], "key string, a int, b string, last_update timestamp_ntz")
+    patch = spark.createDataFrame([("k", None, "y", 2), ("k", 7, "x", 1), ("k", 9, None, 3)], "key string, a int, b string, seq int")
+    rows = spark.createDataFrame([("n", 5), ("n", 3), ("n", 4), ("k", 0), (None, 1), (None, 2)], "key string, a int")
+    stored = spark.createDataFrame([("k", 1)], "key string, a int")
+    for fail, result, change, row in zip(layouts(failures), layouts(results), layouts(patch), layouts(rows)):
+        after = mutations.fail_or_retry(requests, fail, as_of=NOW).collect()
+        assert sorted((r["request_id"], r["status"], r["error_message"]) for r in after) == [("r1", "pending", "a"), ("r2", "failed", "x")]
+        chosen = mutations.fail_or_retry(requests, fail, as_of=NOW, order_by=[F.desc("error_message")]).collect()
+        assert sorted((r["request_id"], r["status"]) for r in chosen) == [("r1", "completed"), ("r2", "failed")]
+        done = mutations.complete_request(requests, result, as_of=NOW).collect()
+        assert sorted((r["request_id"], r["result"]) for r in done) == [("r1", "A"), ("r2", "C")]
+        patched = mutations.patch_non_null(state, change, ["key"], as_of=NOW, order_by=[F.asc("seq")]).collect()
+        assert [(r["key"], r["a"], r["b"]) for r in patched] == [("k", 7, "x")]
+        added = mutations.insert_if_absent(stored, row, ["key"]).collect()
+        assert sorted((r["key"] or "", r["a"]) for r in added) == [("", 1), ("k", 1), ("n", 3)]
+
+
+def test_null_keys_are_a_value_of_their_own_in_both_modes(spark):
+    schema = "k string, v int, t int"
+    state = spark.createDataFrame([(None, 1, 1), ("a", 1, 5)], schema)
+    changes = spark.createDataFrame([(None, 2, 2), ("a", 2, 4), (None, 3, 1)], schema)
+    arrival = mutations.upsert_latest(state, changes, ["k"], order_by=[F.desc("t")]).collect()
+    newer = mutations.upsert_latest(state, changes, ["k"], order_by=[F.desc("t")], event_time="t").collect()
+    assert sorted((r["k"] or "", r["v"]) for r in arrival) == [("", 2), ("a", 2)]
+    assert sorted((r["k"] or "", r["v"]) for r in newer) == [("", 2), ("a", 1)]

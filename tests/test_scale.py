@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankmill.operators import joins, windows
-from rankmill.operators.sizing import local_if_small
 
 
 def plan(frame) -> str:
@@ -56,11 +55,32 @@ def test_time_filter_reaches_the_scan(spark, small):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in text
 
 
-def test_small_side_is_broadcast_only_below_the_bound(spark):
-    frame = spark.range(100).withColumn("k", F.col("id") % 50)
-    counts = frame.groupBy("k").count()
-    assert "LocalTableScan" in plan(local_if_small(counts))
-    assert "LocalTableScan" not in plan(local_if_small(counts, max_rows=49))
+ONE_COMPUTATION = (
+    "bottom_per_server stale_not_in fresh_server_rows_min_count by_server_name refresh_plan".split()
+)
+
+
+@pytest.mark.parametrize("name", ONE_COMPUTATION)
+def test_the_ranking_is_computed_once(spark, small, name):
+    """What is left after the settled tables reads none of the input tables again; there is no other way for small data."""
+    from rankmill.catalog import QUERIES
+
+    text = plan(QUERIES[name](spark, small))
+    assert "settled-" in text and "LocalTableScan" not in text
+    assert small not in text
+
+
+def test_upserts_leave_the_state_where_it_is(spark):
+    """Few changes are broadcast: neither mode shuffles, sorts or windows the state."""
+    from rankmill.operators.mutations import upsert_latest
+
+    state = spark.range(200_000).select(F.col("id").alias("k"), F.lit(0).alias("v"), F.col("id").alias("t"))
+    changes = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"), F.col("id").alias("t"))
+    for event_time in (None, "t"):
+        text = plan(upsert_latest(state, changes, ["k"], order_by=[F.desc("t")], event_time=event_time))
+        assert "BroadcastHashJoin" in text
+        for bad in ("Exchange hashpartitioning", "SortMergeJoin", "Window"):
+            assert bad not in text
 
 
 def hot_rows(n=6000):
