@@ -111,6 +111,13 @@ def rank_step(n: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(-(-(n - least_partner(n, percent) + 1) // 3), 1)
 
 
+def set_keys(value: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """64-bit hash of each set: of the sum of its shingles' hashes and of its size."""
+    sums = np.zeros(len(value) + 1, dtype=np.uint64)
+    np.cumsum(mix(value ^ np.uint64(0xA0761D6478BD642F)), out=sums[1:])
+    return mix(sums[upto[1:]] - sums[upto[:-1]] + np.diff(upto).astype(np.uint64)).view(np.int64)
+
+
 SETS = "id long, content_key long, n_shingles long, set long, needed int, prefix array<long>"
 
 
@@ -128,9 +135,7 @@ def shingle_sets(articles: DataFrame, levels: np.ndarray, shingle: int, percent:
                 text, value, length = shingles(data, offsets, shingle)
                 n = np.bincount(text, minlength=n_texts)
                 upto = np.concatenate([[0], np.cumsum(n)])
-                sums = np.zeros(len(value) + 1, dtype=np.uint64)
-                np.cumsum(mix(value ^ np.uint64(0xA0761D6478BD642F)), out=sums[1:])
-                key = mix(sums[upto[1:]] - sums[upto[:-1]] + n.astype(np.uint64)).view(np.int64)
+                key = set_keys(value, upto)
                 level = levels[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(60)
                 short = (LONGEST - np.minimum(length, LONGEST)).astype(np.uint64) << np.uint64(54)
                 order = np.lexsort((level | short | (value >> np.uint64(10)), text))
@@ -159,7 +164,7 @@ def content_key(content: Column) -> Column:
 
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """token, set, needed: prefix shingles that more than one set has.
+    """token, set: prefix shingles that more than one set has.
 
     Shingles go packed to buckets; what several sets of one batch share is known
     to be shared at once, and only one of its rows goes on as a witness, so a
@@ -168,18 +173,17 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
     total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = max(1, -(-total // PACK_ROWS))
     packed = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
-    plain = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("needed", pa.int32())])
-    kinds = np.dtype([("token", "<u8"), ("set", "<i8"), ("needed", "<i4"), ("known", "<i4")])
+    plain = pa.schema([("token", pa.int64()), ("set", pa.int64())])
+    kinds = np.dtype([("token", "<u8"), ("set", "<i8"), ("known", "u1")])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(1)
             lengths = np.diff(lists.offsets.to_numpy())
             token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             rows = np.zeros(len(token), dtype=kinds)
             rows["token"] = token
             rows["set"] = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)
-            rows["needed"] = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths)
             rows = rows[np.lexsort((rows["set"], rows["token"]))]
             new = np.ones(len(rows), dtype=bool)
             new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["set"][1:] != rows["set"][:-1])
@@ -214,27 +218,30 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
             rows = rows[np.repeat(shared, np.diff(np.append(first, len(rows))))]
         for a in range(0, len(rows), 100_000):
             part = rows[a : a + 100_000]
-            columns = [pa.array(part["token"].copy().view(np.int64)), pa.array(part["set"].copy()), pa.array(part["needed"].copy())]
+            columns = [pa.array(part["token"].copy().view(np.int64)), pa.array(part["set"].copy())]
             yield pa.RecordBatch.from_arrays(columns, schema=plain)
 
     met = (
         sets.where("n_shingles > 0")
-        .select("set", "needed", "prefix")
+        .select("set", "prefix")
         .mapInArrow(pack, "bucket int, rows binary")
         .groupBy("bucket")
-        .applyInArrow(meet, "token long, set long, needed int")
+        .applyInArrow(meet, "token long, set long")
     )
     return met.dropDuplicates(["token", "set"])
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """set, place (the group): sets that share enough of their prefix, in groups that a shared shingle connects."""
+def candidates(sets: DataFrame, needed: DataFrame) -> DataFrame:
+    """set, place (the group): sets that share enough of their prefix, in groups that a shared shingle connects.
+
+    needed: set, needed (how many of its prefix shingles it has to share).
+    """
     shared = settle(shared_prefixes(sets))
     for _ in range(2):  # what a dropped set had may now be with one set only
-        enough = shared.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).where("n >= needed")
+        enough = shared.groupBy("set").agg(F.count(F.lit(1)).alias("n")).join(needed, "set").where("n >= needed")
         left = shared.join(enough.select("set"), "set")
         several = left.groupBy("token").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most")
-        shared = settle(left.join(several.select("token", "least"), "token").select("token", "set", "needed", "least"))
+        shared = settle(left.join(several.select("token", "least"), "token").select("token", "set", "least"))
         stars = shared.select(F.col("set").alias("a"), F.col("least").alias("b"))
         shared = shared.drop("least")
     labels = components(stars.distinct())
@@ -310,24 +317,48 @@ def links(parts: DataFrame, percent: int) -> DataFrame:
     return parts.groupBy("part").applyInArrow(run, LINKS)
 
 
+FILTER_BITS = (15, 28)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits at the places of the keys: 16 and more bits for each key, at most 2**28.
+
+    What isn't there isn't among the keys. Beyond 16 million keys the filter
+    lets more through, and an exact join always follows.
+    """
+    n = keys.count()
+    k = min(max((16 * n - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1]) if n else FILTER_BITS[0]
+    place = keys.select(F.pmod(F.col("key"), F.lit(1 << k)).alias("place"))
+    maps = place.groupBy(F.shiftright("place", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("place") % (1 << 15)).alias("bits"))
+    bits = np.zeros(1 << k, dtype=bool)
+    for row in maps.toLocalIterator():
+        at = row["block"] << 15
+        bits[at : at + (1 << 15)] = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), bitorder="little")
+    return bits
+
+
 def whole_sets(articles: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """set, tokens (array of all shingles) of the wanted sets: `set`, `id` and `content_key` of an article that has it."""
+    """set, tokens (array of all shingles) of the wanted sets: `id` and `content_key` of an article that has each.
+
+    Texts are read again, not shuffled: a filter lets the wanted articles and few
+    others through, and what these others give finds no partner in the join by `set`.
+    """
     schema = pa.schema([("set", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    bits = key_filter(wanted.select(F.xxhash64("id", "content_key").alias("key")))
+    shared = articles.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            for first, data, offsets in pieces(batch.column(1)):
-                n_texts = len(offsets) - 1
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, data, offsets in pieces(batch.column(1).filter(pa.array(bits[keys & (len(bits) - 1)]))):
                 text, value, _ = shingles(data, offsets, shingle)
-                cuts = np.searchsorted(text, np.arange(n_texts + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n_texts), lists.cast(schema.field(1).type)], schema=schema)
+                cuts = np.searchsorted(text, np.arange(len(offsets)))
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(value, cuts)), lists.cast(schema.field(1).type)], schema=schema)
 
-    named = wanted.select("set", F.col("id").alias("_id"), F.col("content_key").alias("_key"))
-    found = articles.withColumn("_content", content_key(F.col("content"))).join(
-        named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_key"))
-    )
-    return found.select("set", "content").mapInArrow(run, "set long, tokens array<long>").dropDuplicates(["set"])
+    keyed = articles.select(F.xxhash64("id", content_key(F.col("content"))).alias("key"), "content")
+    return keyed.mapInArrow(run, "set long, tokens array<long>").dropDuplicates(["set"])
 
 
 def join_articles(
@@ -346,12 +377,12 @@ def join_articles(
     """
     rows = articles.select(F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content"))
     sets = settle(shingle_sets(rows, sketch_levels(rows, shingle), shingle, percent))
-    place = candidates(sets)
     # one article stands for a set: the least by id, then by content
     least = F.min(F.struct(F.col("id").isNull(), "id", "content_key")).alias("least")
-    each = sets.where("set IS NOT NULL").groupBy("set").agg(least, F.min("n_shingles").alias("n"))
-    each = settle(each.select("set", "n", "least.id", "least.content_key"))
-    members = settle(place.join(each, "set"))
+    each = sets.where("set IS NOT NULL").groupBy("set").agg(least, F.min("n_shingles").alias("n"), F.min("needed").alias("needed"))
+    each = settle(each.select("set", "n", "needed", "least.id", "least.content_key"))
+    place = candidates(sets, each.select("set", "needed"))
+    members = settle(place.join(each.drop("needed"), "set"))
     parts = parts_of(members, percent, block_sets)
     tokens = whole_sets(rows, members.join(parts.select("set").distinct(), "set", "left_semi"), shingle)
     found = settle(links(parts.join(tokens, "set").select("part", "set", "own", "side", "tokens"), percent))
