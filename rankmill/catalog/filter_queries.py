@@ -93,7 +93,8 @@ def _(i):
 
 @query(
     "request_status_view",
-    f"""SELECT request_id, status,
+    f"""SELECT request_id, status, CASE WHEN NOT done THEN server END AS server,
+          CASE WHEN NOT done THEN character_name END AS character_name,
           CASE WHEN answered THEN coalesce(json_extract_string(result, '$.success') = 'true', false) WHEN done THEN true
                ELSE status IN ('processing', 'pending') END AS success,
           CASE WHEN answered THEN coalesce(json_extract_string(result, '$.message'), '') WHEN NOT done THEN
@@ -144,11 +145,7 @@ def _(i):
         "obs_id", "rank_position", "change_amount", "change_type", "server_name", "character_name", "class_name",
         "power_value",
     ]
-    valid, quarantine = filters.split_valid_rows(i.scraped)
-    return (
-        valid.select(*columns, F.lit(True).alias("valid"))
-        .unionByName(quarantine.select(*columns, F.lit(False).alias("valid")))
-    )
+    return filters.flag_valid_rows(i.scraped).select(*columns, "valid")
 
 
 @query(

@@ -53,10 +53,18 @@ BATCH = f"""
     newest AS (SELECT * EXCLUDE (page_seq, pos) FROM batch QUALIFY row_number() OVER (
                PARTITION BY character_name, server_name, div ORDER BY retrieved_at DESC, page_seq DESC, pos DESC) = 1),
     merged AS (SELECT * FROM before_2000 ANTI JOIN newest USING (character_name, server_name, div) UNION ALL BY NAME SELECT * FROM newest),
-    missing AS (SELECT DISTINCT search_server AS server_name, search_name AS character_name FROM page_heads WHERE kind = 'not_found')"""
+    missing AS (SELECT search_server AS server_name, search_name AS character_name, max(page_seq) AS gone_at
+                FROM page_heads WHERE kind = 'not_found' GROUP BY ALL),
+    alive AS (SELECT b.* FROM batch b LEFT JOIN missing m USING (server_name, character_name) WHERE gone_at IS NULL OR b.page_seq > gone_at),
+    late AS (SELECT * EXCLUDE (page_seq, pos) FROM alive QUALIFY row_number() OVER (
+             PARTITION BY character_name, server_name, div ORDER BY retrieved_at DESC, page_seq DESC, pos DESC) = 1)"""
 
 
-@query("ingest_pages", f"WITH {BATCH} SELECT * FROM merged ANTI JOIN missing USING (server_name, character_name)")
+@query(
+    "ingest_pages",
+    f"""WITH {BATCH} SELECT * FROM before_2000 ANTI JOIN missing USING (server_name, character_name) ANTI JOIN late USING (character_name, server_name, div)
+        UNION ALL BY NAME SELECT * FROM late""",
+)
 def _(i):
     return jobs.ingest_pages(i.rank_pages, state_before(i), i.as_of)[0]
 
@@ -74,13 +82,25 @@ def _(i):
 @query(
     "ingest_pages_audit",
     f"""WITH {BATCH} SELECT server_name AS object_id, CAST(count(*) AS INTEGER) AS count, [character_name] AS character_list
-        FROM merged SEMI JOIN missing USING (server_name, character_name) GROUP BY server_name, character_name""",
+        FROM (SELECT character_name, server_name, div FROM before_2000 UNION SELECT character_name, server_name, div FROM batch b
+              JOIN missing m USING (server_name, character_name) WHERE b.page_seq <= gone_at)
+        SEMI JOIN missing USING (server_name, character_name) GROUP BY server_name, character_name""",
 )
 def _(i):
     audit = jobs.ingest_pages(i.rank_pages, state_before(i), i.as_of)[2]
     return audit.select("object_id", "count", "character_list")
 
 
+@query(
+    "ingest_pages_quarantine",
+    f"""SELECT page_seq, count(*) AS rows FROM (SELECT page_seq, TRY_CAST(replace(replace(rank, ',', ''), '위', '') AS INTEGER) AS r,
+               TRY_CAST(replace(power, ',', '') AS BIGINT) AS p {ROWS}) WHERE r IS NULL OR p IS NULL GROUP BY page_seq""",
+)
+def _(i):
+    quarantine = jobs.ingest_pages(i.rank_pages, state_before(i), i.as_of)[3]
+    return quarantine.groupBy("page_seq").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _cell(d: int) -> str:
     return (
         f"max(format('{{:,}}', rank_position) || '위') FILTER (div = {d}) AS rank_{d}, "

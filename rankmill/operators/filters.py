@@ -103,6 +103,8 @@ def request_status_view(requests: DataFrame) -> DataFrame:
     return requests.select(
         "request_id",
         "status",
+        F.when(~done, F.col("server")).alias("server"),
+        F.when(~done, F.col("character_name")).alias("character_name"),
         F.when(answered, F.coalesce(F.get_json_object(result, "$.success") == "true", F.lit(False)))
         .when(done, F.lit(True))
         .otherwise(state.isin("processing", "pending"))
@@ -158,18 +160,27 @@ def parsed_rows(scraped: DataFrame, change_rule: str = "plain") -> DataFrame:
     )
 
 
+def parses() -> Column:
+    return F.col("rank_position").isNotNull() & F.col("power_value").isNotNull() & F.col("change_amount").isNotNull()
+
+
+def flag_valid_rows(scraped: DataFrame, change_rule: str = "plain") -> DataFrame:
+    """Typed rows with `valid`: one pass, for callers that keep both kinds."""
+    return parsed_rows(scraped, change_rule).withColumn("valid", parses())
+
+
 def split_valid_rows(
     scraped: DataFrame, strict: bool = False, change_rule: str = "plain"
 ) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine); with `strict` one bad row fails the job instead."""
-    typed = parsed_rows(scraped, change_rule)
-    good = F.col("rank_position").isNotNull() & F.col("power_value").isNotNull() & F.col("change_amount").isNotNull()
     if strict:
-        checked = F.when(good, F.col("rank_position")).otherwise(
+        typed = parsed_rows(scraped, change_rule)
+        checked = F.when(parses(), F.col("rank_position")).otherwise(
             F.raise_error(F.concat(F.lit("row does not parse: "), F.to_json(F.struct("rank", "change", "power"))))
         )
         return typed.withColumn("rank_position", checked), typed.limit(0)
-    return typed.filter(good), typed.filter(~good)
+    flagged = settle(flag_valid_rows(scraped, change_rule))  # read twice below
+    return flagged.filter("valid").drop("valid"), flagged.filter("NOT valid").drop("valid")
 
 
 def needs_refresh(last_updated: Column, as_of: datetime | Column, ttl: int = fv.HOURLY_TTL_SECONDS) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankmill import fixed_values as fv
 from rankmill import functions as fn
-from rankmill.operators import aggregates, filters, joins, mutations, ordering, sets, windows
+from rankmill.operators import aggregates, filters, joins, mutations, ordering, windows
 from rankmill.schemas import CHARACTER_KEY, RANKING_KEY
 from rankmill.session import settle
 from rankmill.sources import pages as page_source
@@ -72,10 +72,12 @@ def refresh_plan(ranking: DataFrame, as_of: datetime | Column, batch_size: int =
 
 def ingest_pages(
     pages: DataFrame, state: DataFrame, as_of: datetime | Column
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new state, per-batch reconciliation, audit rows) from saved list pages.
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(new state, per-batch reconciliation, audit rows, quarantined rows) from saved list pages.
 
-    pages: page_seq, div, search_server, search_name, page_time, html.
+    pages: page_seq, div, search_server, search_name, page_time, html. Pages are
+    handled in the order of page_seq: a not-found page removes what the state and
+    the pages before it hold of its name, and nothing that a later page lists.
     """
     kind = filters.page_kind(F.col("html"))
     # the pages are read and parsed once; both branches go on from the parsed form
@@ -91,8 +93,9 @@ def ingest_pages(
         )
     )
     items = page_source.item_rows(parsed.select("page_seq", "div", "page_time", "items"), "items")
-    valid, _ = filters.split_valid_rows(items)
-    typed = valid.select(
+    flagged = settle(filters.flag_valid_rows(items))
+    quarantine = flagged.filter("NOT valid").drop("valid")
+    batch = flagged.filter("valid").select(
         "page_seq",
         "pos",
         "rank_position",
@@ -105,19 +108,22 @@ def ingest_pages(
         "div",
         F.col("page_time").alias("retrieved_at"),
     )
-    batch = settle(sets.distinct_rows(typed))
     newest = [F.desc("retrieved_at"), F.desc("page_seq"), F.desc("pos")]
-    merged = mutations.upsert_latest(state, batch, order_by=newest)
+    names = [F.col("search_server").alias("server_name"), F.col("search_name").alias("character_name")]
+    missing = parsed.filter("kind = 'not_found'").groupBy(*names).agg(F.max("page_seq").alias("_gone_at"))
+    missing = settle(missing)
+    dated = batch.join(missing, CHARACTER_KEY, "left")
+    alive = F.col("_gone_at").isNull() | (F.col("page_seq") > F.col("_gone_at"))
+    left, _ = mutations.delete_key(state, missing, CHARACTER_KEY)
+    final = mutations.upsert_latest(left, dated.filter(alive).drop("_gone_at"), order_by=newest)
 
-    missing = parsed.filter("kind = 'not_found'").select(
-        F.col("search_server").alias("server_name"), F.col("search_name").alias("character_name")
-    )
-    audit = sinks.audit_rows(mutations.deleted_names(merged, missing), as_of)
-    final, _ = mutations.delete_key(merged, missing, CHARACTER_KEY)
+    gone = state.select(*RANKING_KEY).union(dated.filter(~alive).select(*RANKING_KEY)).distinct()
+    audit = sinks.audit_rows(mutations.deleted_names(gone, missing), as_of)
 
     given = batch.select(*RANKING_KEY, F.col("page_seq").alias("batch_id"), F.col("retrieved_at").alias("batch_time"))
-    report = joins.reconcile_saved(given, merged)
-    return final, report, audit
+    saved = mutations.upsert_latest(state, batch, order_by=newest)  # as it was before names were removed
+    report = joins.reconcile_saved(given, saved)
+    return final, report, audit, quarantine
 
 
 def character_answer(

@@ -108,3 +108,25 @@ def test_article(spark):
     assert [tuple(a) for a in first["attachments"]] == [("File", "https://b.example/f.zip"), ("Other", "http://o/g.zip")]
     assert first["videos"] == ["https://v/1"]
     assert (second["title"], second["post_date"], second["content_html"], second["attachments"]) == ("", "2024-05-02T12:00:00+09:00", "", [])
+
+
+def test_not_found_pages_remove_only_what_came_before(spark):
+    from rankmill.plans import jobs
+    from rankmill.schemas import RANKING
+
+    found = listed(item("2위", "up", "3", "Ann"), item("3위", "up", "x", "Zed", blocks=5).replace("98,765", "n/a"))
+    schema = "page_seq long, div int, search_server string, search_name string, page_time timestamp_ntz, html string"
+    state = spark.createDataFrame(
+        [(9, 0, "none", "S1", "Ann", "c", 5, 2, datetime(2024, 1, 1)), (9, 0, "none", "S1", "Bob", "c", 5, 1, datetime(2024, 1, 1))], RANKING
+    )
+    missing = (2, 1, "S1", "Ann", NOW, MODAL)
+    for order, names, count in (((1, 3), [("Ann", 1), ("Bob", 1)], 1), ((3, 1), [("Bob", 1)], 2)):
+        gone_at, found_at = order
+        pages = spark.createDataFrame(
+            [(gone_at, *missing[1:]), (found_at, 1, "S1", "Ann", NOW, found)], schema
+        )
+        final, report, audit, quarantine = jobs.ingest_pages(pages, state, NOW)
+        assert sorted((r["character_name"], r["div"]) for r in final.collect()) == names
+        assert [(r["character_list"], r["count"]) for r in audit.collect()] == [(["Ann"], count)]
+        assert [(r["given"], r["saved"]) for r in report.collect()] == [(1, 1)]
+        assert [r["character_name"] for r in quarantine.collect()] == ["Zed"]
