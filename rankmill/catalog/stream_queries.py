@@ -11,12 +11,33 @@ from rankmill.sources import pages as page_source
 from rankmill.streaming import aggregates, runner, stateful
 
 
+SLICES = 3
+SLICED_BY = {"orders": "o_orderdate", "events": "ts", "pages": "page_id"}
+
+
+def stream_of(i, name: str):
+    """The table as a stream of SLICES files in the order of its time, one file per micro-batch."""
+    column, rows = SLICED_BY[name], i.table(name)
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    root = work_path(i.spark, f"slices-{name}")
+    cuts = [low + (high - low) / SLICES * k for k in range(1, SLICES)] if low is not None else []
+    for k in range(len(cuts) + 1):
+        part = rows
+        if k:
+            part = part.filter(F.col(column) > F.lit(cuts[k - 1]))
+        if k < len(cuts):
+            part = part.filter(F.col(column) <= F.lit(cuts[k]))
+        part.coalesce(1).write.parquet(f"{root}/{k}")
+    reader = i.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{root}/*")
+
+
 def observed(i):
-    return views.observe(i.stream("orders"), i.characters)
+    return views.observe(stream_of(i, "orders"), i.characters)
 
 
 def requested(i):
-    return views.as_requests(i.stream("events"))
+    return views.as_requests(stream_of(i, "events"))
 
 
 @query("stream_upsert", "SELECT * FROM ranking")
@@ -43,7 +64,7 @@ def _(i):
     "stream_timeouts",
     """SELECT request_id, started_at FROM requests,
               (SELECT least(max(started_at), max(completed_at) FILTER (started_at IS NOT NULL)) AS m FROM requests)
-       WHERE status = 'processing' AND epoch_ms(started_at) + 600000 < epoch_ms(m)""",
+       WHERE status = 'processing' AND epoch_ms(started_at) + 1200000 < epoch_ms(m)""",
 )
 def _(i):
     started = views.with_event_time(requested(i).filter("started_at is not null"), "started_at")
@@ -76,7 +97,7 @@ def _(i):
        GROUP BY s, as_of HAVING s + INTERVAL 1 HOUR <= as_of - INTERVAL 10 MINUTE""",
 )
 def _(i):
-    events = views.with_event_time(i.stream("events"), "ts")
+    events = views.with_event_time(stream_of(i, "events"), "ts")
     return runner.collect_append(aggregates.stream_hourly_volume(events), "stream_hourly_volume")
 
 
@@ -107,7 +128,7 @@ def _(i):
        QUALIFY coalesce(fingerprint <> lag(fingerprint) OVER (PARTITION BY list_key ORDER BY page_id), true)""",
 )
 def _(i):
-    pages = i.stream("pages").select(
+    pages = stream_of(i, "pages").select(
         F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("list_key"), "page_id", "html"
     )
     versions = page_source.list_fingerprints(pages)
@@ -123,5 +144,5 @@ def _(i):
               count(*) FILTER (outcome = 'pending') AS pending FROM activity GROUP BY server_name""",
 )
 def _(i):
-    totals = aggregates.stream_crawl_totals(views.observe_activity(i.stream("orders"), i.characters))
+    totals = aggregates.stream_crawl_totals(views.observe_activity(stream_of(i, "orders"), i.characters))
     return runner.collect_latest(totals, "stream_crawl_totals", ["server_name"])

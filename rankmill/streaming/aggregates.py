@@ -69,13 +69,15 @@ def stream_status_counts(requests: DataFrame, watermark: str = "1 hour") -> Data
 
 
 def stream_timeouts(
-    started: DataFrame, ended: DataFrame, watermark: str = "0 seconds", limit: int = fv.PROCESSING_SECONDS
+    started: DataFrame, ended: DataFrame, watermark: str = "10 minutes", limit: int = fv.PROCESSING_SECONDS
 ) -> DataFrame:
     """Requests not ended within the limit after their start (append mode).
 
     Both inputs carry request_id and event_time. An outer join of the two
     streams keeps a start only until the watermark passes its limit, and then
-    gives it out if no end came: the state is bounded by the limit.
+    gives it out if no end came: the state is bounded by the limit. A row that
+    comes later than `watermark` after newer ones is not seen, as in any append
+    stream; the default leaves ten minutes.
     """
     start = started.withWatermark("event_time", watermark).select(
         F.col("request_id"), F.col("event_time").alias("start_time")

@@ -1,37 +1,61 @@
 """Streams over keyed histories.
 
 A request's life cycle is an aggregate. De-duplication and change detection
-depend on the row kept before; they run the batch operator on every micro-batch
-and carry one row per key from batch to batch in a table. So a hot key is split
-exactly as in the batch form, and no group is handed to one Python worker.
-A repeated micro-batch reads only what earlier batches carried over and
-overwrites its own folders.
+depend on rows kept before; they run the batch operator on every micro-batch
+and carry what later batches need in a table. So a hot key is split exactly as
+in the batch form, and no group is handed to one Python worker.
+
+The carried table is one version per micro-batch, `carried/batch=N`: a batch reads
+the newest version before its own, writes a whole new one, and removes those
+before the one it read. A repeated micro-batch reads and overwrites the same
+folders. Tables settled inside a batch are removed at its end, so the folder
+holds the results and two versions, however long the stream runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rankmill import fixed_values as fv
 from rankmill import functions as fn
+from rankmill.operators.joins import open_request_within
 from rankmill.operators.mutations import enqueue_dedup
 from rankmill.operators.windows import fingerprint_changed
 from rankmill.schemas import REQUEST_KEY
-from rankmill.session import settle, work_path
+from rankmill.session import hadoop_path, remove, settle, settled_scope, work_path
 from rankmill.sources.sinks import path_exists
 from rankmill.streaming import runner
 
+LATENESS_SECONDS = 24 * 3600
 
-def _carried(batch: DataFrame, root: str, columns: str, batch_id: int) -> DataFrame:
-    """What earlier micro-batches carried over (nothing before the first one)."""
-    spark, schema = batch.sparkSession, f"{columns}, batch bigint"
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the carried versions, by the names of their folders."""
     if not path_exists(spark, f"{root}/carried"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/carried").filter(F.col("batch") < batch_id)
+        return []
+    system, place = hadoop_path(spark, f"{root}/carried")
+    names = [status.getPath().getName() for status in system.listStatus(place)]
+    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+
+
+def _carried(spark: SparkSession, root: str, columns: str, batch_id: int) -> DataFrame:
+    """What the last micro-batch before this one carried over (nothing before the first one)."""
+    before = [n for n in _versions(spark, root) if n < batch_id]
+    if not before:
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(columns).parquet(f"{root}/carried/batch={before[-1]}")
+
+
+def _carry(frame: DataFrame, root: str, batch_id: int) -> None:
+    """Writes this batch's version and removes those before the one it has read."""
+    spark = frame.sparkSession
+    _save(frame, root, "carried", batch_id)
+    for old in [n for n in _versions(spark, root) if n < batch_id][:-1]:
+        remove(spark, f"{root}/carried/batch={old}")
 
 
 def _save(frame: DataFrame, root: str, kind: str, batch_id: int) -> None:
@@ -39,30 +63,43 @@ def _save(frame: DataFrame, root: str, kind: str, batch_id: int) -> None:
 
 
 def stream_dedup_requests(
-    requests: DataFrame, root: str, trigger: dict, window: int = fv.DEDUP_SECONDS
+    requests: DataFrame,
+    root: str,
+    trigger: dict,
+    window: int = fv.DEDUP_SECONDS,
+    lateness: int = LATENESS_SECONDS,
 ) -> StreamingQuery:
-    """Writes the kept requests' ids; carries the time of the last kept open request per key.
+    """Writes the kept requests' ids to `rows`; carries the kept open requests of the last `lateness` seconds.
 
-    A request less than `window` after the carried time, or before it, is
-    dropped; the others lie beyond its reach and are decided among themselves.
+    A request with a kept open one of its key less than `window` before it is
+    dropped, however late it comes; the others are decided among themselves. A
+    request older than the carried span cannot be judged: it goes to `late`.
     """
-    reach = f"INTERVAL {int(window)} SECONDS"
+    columns = "server string, character_name string, request_id string, status string, created_at timestamp_ntz"
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        rows = settle(batch.select(*REQUEST_KEY, "request_id", "status", "created_at"))
-        oldest = rows.agg(F.min("created_at")).first()[0]
-        if oldest is None:
-            return
-        carried = _carried(rows, root, "server string, character_name string, last_kept timestamp_ntz", batch_id)
-        # older rows cannot reach into this batch, and their files are skipped by statistics
-        near = carried.filter(F.col("last_kept") > fn.moment(oldest) - F.expr(reach))
-        last = near.groupBy(*REQUEST_KEY).agg(F.max("last_kept").alias("_last"))
-        free = F.col("_last").isNull() | (F.col("created_at") >= F.col("_last") + F.expr(reach))
-        undecided = rows.join(last, REQUEST_KEY, "left").filter(free).select(rows.columns)
-        kept = settle(enqueue_dedup(undecided, window))
-        blocking = kept.filter(F.col("status").isin(*fv.OPEN_STATUSES))
-        _save(blocking.groupBy(*REQUEST_KEY).agg(F.max("created_at").alias("last_kept")), root, "carried", batch_id)
-        _save(kept.select("request_id"), root, "rows", batch_id)
+        spark = batch.sparkSession
+        with settled_scope(spark):
+            rows = settle(batch.select(*REQUEST_KEY, "request_id", "status", "created_at"))
+            if rows.isEmpty():
+                return
+            carried = _carried(spark, root, columns, batch_id)
+            newest = carried.agg(F.max("created_at")).first()[0]
+            too_late = F.lit(False)
+            if newest is not None:
+                too_late = F.col("created_at") < fn.moment(newest) - fn.seconds(lateness)
+            judged = rows.filter(~too_late)
+            blocked = open_request_within(judged, carried, window).filter("open_request_id is not null")
+            undecided = judged.join(blocked.select("request_id"), "request_id", "left_anti").select(rows.columns)
+            kept = settle(enqueue_dedup(undecided, window))
+            opened = kept.filter(F.col("status").isin(*fv.OPEN_STATUSES)).select(carried.columns)
+            both = settle(carried.unionByName(opened))
+            last = both.agg(F.max("created_at")).first()[0]
+            if last is not None:
+                both = both.filter(F.col("created_at") >= fn.moment(last) - fn.seconds(lateness + window))
+            _carry(both, root, batch_id)
+            _save(rows.filter(too_late), root, "late", batch_id)
+            _save(kept.select("request_id"), root, "rows", batch_id)
 
     return runner.start_steps(requests, root, trigger, decide)
 
@@ -71,14 +108,15 @@ def stream_fingerprint_change(versions: DataFrame, root: str, trigger: dict) ->
     """Writes list versions whose fingerprint differs from the one before; carries the last one per list."""
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        rows = settle(fingerprint_changed(batch, ["list_key"], "page_id"))
-        carried = _carried(rows, root, "list_key string, last_seen string", batch_id)
-        last = carried.groupBy("list_key").agg(F.max_by("last_seen", "batch").alias("_last"))
-        before = F.coalesce("previous", "_last")
-        changed = rows.join(last, "list_key", "left").filter(~F.col("fingerprint").eqNullSafe(before))
-        ends = rows.groupBy("list_key").agg(F.max_by("fingerprint", "page_id").alias("last_seen"))
-        _save(ends, root, "carried", batch_id)
-        _save(changed.select("list_key", "page_id", "fingerprint"), root, "rows", batch_id)
+        spark = batch.sparkSession
+        with settled_scope(spark):
+            rows = settle(fingerprint_changed(batch, ["list_key"], "page_id"))
+            carried = _carried(spark, root, "list_key string, last_seen string", batch_id)
+            before = F.coalesce("previous", "last_seen")
+            changed = rows.join(carried, "list_key", "left").filter(~F.col("fingerprint").eqNullSafe(before))
+            ends = settle(rows.groupBy("list_key").agg(F.max_by("fingerprint", "page_id").alias("last_seen")))
+            _carry(carried.join(ends, "list_key", "left_anti").unionByName(ends), root, batch_id)
+            _save(changed.select("list_key", "page_id", "fingerprint"), root, "rows", batch_id)
 
     return runner.start_steps(versions, root, trigger, decide)
 
