@@ -260,10 +260,23 @@ def _counted(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, tokens.tails[first], n
 
 
+def top_words(counts: DataFrame) -> DataFrame:
+    """The words from a count on that at most TOP_WORDS words reach, found by a histogram of the counts."""
+    step = F.floor(F.log2("n") * 64).cast("int")
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, total = None, 0
+    for step_, words in sorted(((r["step"], r["words"]) for r in histogram), reverse=True):
+        total += words
+        if total > TOP_WORDS:
+            break
+        least = step_
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 def start_model(counts: DataFrame) -> LanguageModel:
     """The model that knows frequencies only. Of the counts, TOP_WORDS rows and a row per tail class reach the driver."""
     by_tail = {r["tail"]: r for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toPandas()
+    top = top_words(counts).orderBy(F.desc("n"), "word").toPandas()
     keys, n, tails = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["tail"].to_numpy(np.int64)
     order = np.argsort(keys)
     rank = np.arange(len(keys))
