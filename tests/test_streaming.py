@@ -90,10 +90,69 @@ def test_timeouts_wait_for_the_watermark(spark):
         [event("late", "completed", 900), event("tick", "processing", 901)],
     ]
     stream = views.with_event_time(batches(spark, "life", schema, parts), "at")
-    out = aggregates.stream_timeouts(stream.filter("state = 'processing'"), stream.filter("state = 'completed'"))
+    out = aggregates.stream_timeouts(
+        stream.filter("state = 'processing'"), stream.filter("state = 'completed'"), watermark="0 seconds"
+    )
     assert [r["request_id"] for r in runner.collect_append(out, "timeouts").collect()] == ["late"]
 
 
+def test_timeouts_see_starts_that_come_late(spark):
+    """By default a start may come some minutes after newer rows."""
+    schema = "request_id string, state string, at timestamp_ntz"
+
+    def event(rid, state, seconds):
+        return (rid, state, NOW + timedelta(seconds=seconds))
+
+    parts = [
+        [event("a", "processing", 300), event("a", "completed", 310)],
+        [event("b", "processing", 400), event("b", "completed", 410)],
+        [event("slow", "processing", 200), event("c", "completed", 430)],
+        [event("d", "processing", 3000), event("d", "completed", 3010)],
+    ]
+    stream = views.with_event_time(batches(spark, "starts", schema, parts), "at")
+    out = aggregates.stream_timeouts(stream.filter("state = 'processing'"), stream.filter("state = 'completed'"))
+    assert [r["request_id"] for r in runner.collect_append(out, "late_starts").collect()] == ["slow"]
+
+
+def request(n, seconds, status="pending", name="n"):
+    return (f"r{n}", "S", name, status, NOW + timedelta(seconds=seconds))
+
+
+def test_late_requests_are_judged_by_what_lies_before_them(spark):
+    parts = [[request(1, 7200)], [request(2, 0)], [request(3, 9000), request(4, 7300), request(5, 200)], [request(6, -90_000)]]
+    stream = batches(spark, "late", REQ, parts)
+    root = work_path(spark, "late_dedup")
+    runner.finish(stateful.stream_dedup_requests(stream, root, runner.AVAILABLE_NOW))
+    kept = spark.read.parquet(f"{root}/rows").collect()
+    assert sorted(r["request_id"] for r in kept) == ["r1", "r2", "r3"]  # 4 and 5 come less than 5 minutes after 1 and 2
+    assert [r["request_id"] for r in spark.read.parquet(f"{root}/late").collect()] == ["r6"]
+
+
+def test_storage_stays_constant_over_many_batches(spark):
+    """Twenty micro-batches leave two carried versions, and none of the tables settled on the way."""
+    from rankmill.session import hadoop_path, shared_folder
+
+    def settled():
+        system, place = hadoop_path(spark, shared_folder(spark))
+        return sum(s.getPath().getName().startswith("settled-") for s in system.listStatus(place))
+
+    root = work_path(spark, "many")
+    source = work_path(spark, "many-source")
+    before = settled()
+    sizes = []
+    for n in range(20):
+        rows = [request(f"{n}-{k}", n * 3600 + k * 400) for k in range(3)]
+        spark.createDataFrame(rows, REQ).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(REQ).parquet(source)
+        runner.finish(stateful.stream_dedup_requests(stream, root, runner.AVAILABLE_NOW, lateness=7200))
+        versions = stateful._versions(spark, root)
+        sizes.append(spark.read.parquet(f"{root}/carried/batch={versions[-1]}").count())
+        assert len(versions) <= 2
+    assert settled() == before
+    assert max(sizes[5:]) == min(sizes[5:])
+    assert spark.read.parquet(f"{root}/rows").count() == 60
+
+
 def test_lifecycle_transitions(spark):
     schema = "request_id string, retry_count int, max_retries int, step int, state string, at timestamp_ntz"
 
@@ -137,5 +196,6 @@ def test_stream_settings_are_put_back(spark):
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
     with runner.stream_conf(spark):
-        assert int(spark.conf.get(key)) <= spark.sparkContext.defaultParallelism
+        assert spark.conf.get(key) == before  # the session's value, whatever the cluster's size is now
+        assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert spark.conf.get(key) == before
