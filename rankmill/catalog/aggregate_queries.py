@@ -211,3 +211,23 @@ def _(i):
 def _(i):
     bottoms = i.ranking.groupBy("server_name").agg(F.max("rank_position").alias("population"))
     return aggregates.axis_limit(bottoms)
+
+
+@query(
+    "rank_type_document",
+    """SELECT k.server_name, k.character_name, t.rank_type, count(r.div) AS rows, max(rank_position) AS rank_position,
+              max(power_value) AS power_value, max(change_amount) AS change_amount, max(change_type) AS change_type,
+              max(class_name) AS class_name, max(retrieved_at) AS retrieved_at
+       FROM (SELECT DISTINCT server_name, character_name FROM ranking) k
+       CROSS JOIN (VALUES (1, '전투력'), (2, '매력'), (3, '생활력')) t(div, rank_type)
+       LEFT JOIN ranking r ON r.server_name = k.server_name AND r.character_name = k.character_name AND r.div = t.div
+       GROUP BY ALL""",
+)
+def _(i):
+    """The entries of the nested document, one row per rank type, empty lists included."""
+    entries = aggregates.rank_type_document(i.ranking).select("server_name", "character_name", F.explode("rankings").alias("rank_type", "data"))
+    row = F.get("data", F.lit(0))
+    fields = ["rank_position", "power_value", "change_amount", "change_type", "class_name", "retrieved_at"]
+    return entries.select(
+        "server_name", "character_name", "rank_type", F.size("data").cast("bigint").alias("rows"), *[row[c].alias(c) for c in fields]
+    )

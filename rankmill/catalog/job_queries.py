@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rankmill import fixed_values as fv
 from rankmill.catalog.aggregate_queries import ALERT, FRONTIER, LATE, SHARES
 from rankmill.catalog.filter_queries import DAY
 from rankmill.catalog.join_queries import changes_since, state_before
@@ -103,24 +104,34 @@ def _(i):
 
 def _cell(d: int) -> str:
     return (
-        f"max(format('{{:,}}', rank_position) || '위') FILTER (div = {d}) AS rank_{d}, "
-        f"max(format('{{:,}}', power_value)) FILTER (div = {d}) AS power_{d}"
+        f"max(format('{{:,}}', rank_position) || '{fv.RANK_SUFFIX}') FILTER (div = {d}) AS rank_{d}, "
+        f"max(format('{{:,}}', power_value)) FILTER (div = {d}) AS power_{d}, max(change_amount) FILTER (div = {d}) AS change_{d}, "
+        f"max(change_type) FILTER (div = {d}) AS change_type_{d}, max(class_name) FILTER (div = {d}) AS class_{d}, "
+        f"max(retrieved_at) FILTER (div = {d}) AS retrieved_at_{d}"
     )
 
 
+NOT_FOUND = fv.NAME_NOT_FOUND_MESSAGE.replace("'", "''").replace("{name}", "' || character_name || '").replace("{server}", "' || server_name || '")
+
+
 @query(
     "character_answer",
     f"""WITH fresh AS (SELECT b.* FROM before_2000 b WHERE retrieved_at > TIMESTAMP '2000-01-01 00:00:00' - INTERVAL 700 DAY),
              complete AS (SELECT server_name, character_name FROM fresh GROUP BY ALL HAVING count(DISTINCT div) = 3),
              chosen AS (SELECT *, 'primary' AS source FROM fresh SEMI JOIN complete USING (server_name, character_name)
-                        UNION ALL BY NAME SELECT *, 'secondary' AS source FROM ranking ANTI JOIN complete USING (server_name, character_name))
-        SELECT server_name, character_name, max(class_name) AS class, max(source) AS source, {_cell(1)}, {_cell(2)}, {_cell(3)},
-               max(source) = 'primary' AS from_cache,
-               CASE WHEN max(source) = 'primary' THEN 'Retrieved from cache (less than 10 minutes old)' ELSE 'Character found in rankings' END AS message
-        FROM chosen GROUP BY server_name, character_name""",
+                        UNION ALL BY NAME SELECT *, 'secondary' AS source FROM ranking ANTI JOIN complete USING (server_name, character_name)),
+             found AS (SELECT server_name, character_name, max(source) AS source, {_cell(1)}, {_cell(2)}, {_cell(3)}
+                       FROM chosen GROUP BY server_name, character_name),
+             asked AS (SELECT DISTINCT r_name AS server_name, c_name AS character_name
+                       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+        SELECT *, source IS NOT NULL AS success, coalesce(source = 'primary', false) AS from_cache,
+               CASE WHEN source = 'primary' THEN '{fv.CACHE_MESSAGE}' WHEN source IS NOT NULL THEN '{fv.FOUND_MESSAGE}'
+                    ELSE '{NOT_FOUND}' END AS message
+        FROM asked LEFT JOIN found USING (server_name, character_name)""",
 )
 def _(i):
-    return jobs.character_answer(state_before(i), i.ranking, "2000-01-01 00:00:00", 700 * DAY)
+    asked = i.characters.select(F.col("r_name").alias("server_name"), F.col("c_name").alias("character_name"))
+    return jobs.character_answer(state_before(i), i.ranking, "2000-01-01 00:00:00", 700 * DAY, asked)
 
 
 SWEPT_FULL = """swept AS (SELECT * REPLACE (

@@ -190,7 +190,7 @@ def _(i):
     """SELECT *, CASE div WHEN 1 THEN '전투력' WHEN 2 THEN '매력' ELSE '생활력' END AS rank_type FROM ranking""",
 )
 def _(i):
-    return sets.fan_in_rank_types({d: i.ranking.filter(F.col("div") == d) for d in (1, 2, 3)} | {4: None})
+    return sets.tag_rank_types(i.ranking)
 
 
 @query("distinct_rows", "SELECT DISTINCT character_name, server_name, class_name, change_amount, div FROM obs")

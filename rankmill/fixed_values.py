@@ -83,6 +83,9 @@ STATUS_MESSAGES = {
     "pending": "검색이 대기 중입니다.",
 }
 OTHER_STATUS_MESSAGE_PREFIX = "검색 상태: "
+FOUND_MESSAGE = "Character found in rankings"
+# server and name go into the places marked by braces
+NAME_NOT_FOUND_MESSAGE = "캐릭터 '{name}'을(를) 서버 '{server}'에서 찾을 수 없습니다."
 CACHE_MESSAGE = "Retrieved from cache (less than 10 minutes old)"
 
 # Phrases that identify page kinds.

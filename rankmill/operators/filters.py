@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -12,6 +13,7 @@ from rankmill import fixed_values as fv
 from rankmill import functions as fn
 from rankmill.operators.windows import first_per_key
 from rankmill.session import settle
+from rankmill.sources.pages import block, item_markup, no_data
 
 
 def point_lookup(ranking: DataFrame, server, character, div) -> DataFrame:
@@ -188,25 +190,27 @@ def needs_refresh(last_updated: Column, as_of: datetime | Column, ttl: int = fv.
 
 
 def page_kind(html: Column) -> Column:
-    """rows / no_data / not_found / empty; the not-found tests run only on pages without rows."""
-    has_rows = html.rlike(r'<li[^>]*class="([^"]* )?item( [^"]*)?"')
-
-    def has_block(tag: str, css: str) -> Column:
-        return html.rlike(rf'<{tag}[^>]*class="([^"]* )?{css}( [^"]*)?"')
-
-    modal = (
-        has_block("div", "modal_inner")
-        & has_block("div", "modal_header")
-        & has_block("div", "logo")
-        & has_block("div", "message")
-        & has_block("button", "confirm_button")
+    """rows / no_data / not_found / empty; the not-found test runs only on pages without rows.
+
+    A hit removes a name from the state, so the parts of the modal have to follow
+    each other inside it, and all phrases have to stand in its message.
+    """
+    message = "".join(f"(?=(?:(?!</div>).)*{re.escape(phrase)})" for phrase in fv.NOT_FOUND_PHRASES)
+    modal = "(?s)" + ".*?".join(
+        [
+            block("div", "modal_inner"),
+            block("div", "modal_header"),
+            block("div", "logo"),
+            block("div", "modal_body"),
+            block("div", "message") + message,
+            block("div", "button_area"),
+            block("button", "confirm_button"),
+        ]
     )
-    for phrase in fv.NOT_FOUND_PHRASES:
-        modal = modal & F.contains(html, F.lit(phrase))
     return (
-        F.when(has_block("div", "no_data"), "no_data")
-        .when(has_rows, "rows")
-        .when(modal, "not_found")
+        F.when(no_data(html), "no_data")
+        .when(F.size(item_markup(html)) > 0, "rows")
+        .when(html.rlike(modal), "not_found")
         .otherwise("empty")
     )
 

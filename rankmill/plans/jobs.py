@@ -126,23 +126,51 @@ def ingest_pages(
     return final, report, audit, quarantine
 
 
+ANSWER_FIELDS = ("rank", "power", "change", "change_type", "class", "retrieved_at")
+
+
 def character_answer(
-    ranking: DataFrame, fresh_source: DataFrame, as_of: datetime | Column, ttl: int = fv.FRESH_SECONDS
+    ranking: DataFrame,
+    fresh_source: DataFrame,
+    as_of: datetime | Column,
+    ttl: int = fv.FRESH_SECONDS,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Per character the rank types side by side: from fresh stored rows when all are there, else from the source."""
+    """Per character the rank types side by side: from fresh stored rows when all are there, else from the source.
+
+    Every rank type has its own fields (`rank_1`, `class_2`, ...), null where it is
+    missing. `asked` names (server_name, character_name) get an answer in any
+    case: those neither source knows are not found.
+    """
     stored = filters.fresh_rows(ranking, as_of, ttl)
     chosen = joins.prefer_source(stored, fresh_source.select(stored.columns))
     shaped = chosen.select(
         "server_name", "character_name", "div", "source",
-        fn.thousands(F.col("rank_position"), fv.RANK_SUFFIX).alias("rank"),
-        fn.thousands(F.col("power_value")).alias("power"),
-        F.coalesce("class_name", F.lit("")).alias("class"),
+        F.struct(
+            fn.thousands(F.coalesce("rank_position", F.lit(0)), fv.RANK_SUFFIX).alias("rank"),
+            fn.thousands(F.coalesce("power_value", F.lit(0))).alias("power"),
+            F.coalesce("change_amount", F.lit(0)).alias("change"),
+            F.coalesce("change_type", F.lit("none")).alias("change_type"),
+            F.coalesce("class_name", F.lit("")).alias("class"),
+            F.col("retrieved_at"),
+        ).alias("row"),
     )
-    cells = [F.max(F.when(F.col("div") == d, F.col(c))).alias(f"{c}_{d}") for d in fv.RANK_TYPES for c in ("rank", "power")]
-    answer = shaped.groupBy(*CHARACTER_KEY).agg(F.max("class").alias("class"), F.max("source").alias("source"), *cells)
-    return answer.withColumn("from_cache", F.col("source") == "primary").withColumn(
-        "message",
-        F.when(F.col("source") == "primary", fv.CACHE_MESSAGE).otherwise("Character found in rankings"),
+    per_type = [F.max(F.when(F.col("div") == d, F.col("row"))).alias(f"_{d}") for d in fv.RANK_TYPES]
+    found = shaped.groupBy(*CHARACTER_KEY).agg(F.max("source").alias("source"), *per_type)
+    if asked is not None:
+        found = asked.select(*CHARACTER_KEY).distinct().join(found, CHARACTER_KEY, "left")
+    parts = F.split(F.lit(fv.NAME_NOT_FOUND_MESSAGE), r"[{][a-z]+[}]")
+    not_found = F.concat(parts[0], F.col("character_name"), parts[1], F.col("server_name"), parts[2])
+    return found.select(
+        *CHARACTER_KEY,
+        "source",
+        F.col("source").isNotNull().alias("success"),
+        F.coalesce(F.col("source") == "primary", F.lit(False)).alias("from_cache"),
+        F.when(F.col("source") == "primary", fv.CACHE_MESSAGE)
+        .when(F.col("source").isNotNull(), fv.FOUND_MESSAGE)
+        .otherwise(not_found)
+        .alias("message"),
+        *[F.col(f"_{d}.{c}").alias(f"{c}_{d}") for d in fv.RANK_TYPES for c in ANSWER_FIELDS],
     )
 
 

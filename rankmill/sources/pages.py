@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from rankmill import fixed_values as fv
 from rankmill import functions as fn
 
-ITEM = r'(?s)<li[^>]*class="(?:[^"]* )?item(?: [^"]*)?"[^>]*>(.*?)</li>'
+
+
+def block(tag: str, css: str) -> str:
+    """Pattern of a start tag that has the class, in either kind of quotes."""
+    return rf"""<{tag}\b[^>]*?\bclass\s*=\s*(?:"(?:[^"]*\s)?{css}(?:\s[^"]*)?"|'(?:[^']*\s)?{css}(?:\s[^']*)?')[^>]*>"""
+
+
+LIST, ITEM, NO_DATA = block("ul", "list"), block("li", "item"), block("div", "no_data")
 DL = r"(?s)<dl[^>]*>(.*?)</dl>"
 DT = r"(?s)<dt[^>]*>(.*?)</dt>"
 DD = r"(?s)<dd[^>]*>(.*?)</dd>"
@@ -24,9 +31,21 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " 
 
 
 def unescape(text: Column) -> Column:
+    plain = text
     for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+
+def no_data(html: Column) -> Column:
+    return html.rlike(NO_DATA)
+
+
+def item_markup(html: Column) -> Column:
+    """The items of the ranking list, each up to the next item's start tag, so lists inside an item stay whole."""
+    listed = F.when(html.rlike(LIST), F.element_at(F.split(html, LIST, 2), 2)).otherwise("")
+    pieces = F.split(listed, ITEM)
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
 
 def text_of(html: Column) -> Column:
@@ -62,7 +81,7 @@ def list_items(html: Column) -> Column:
             text_of(_found(cell[4], DD)).alias("power"),
         )
 
-    items = F.when(~F.contains(html, F.lit('class="no_data"')), _all(html, ITEM))
+    items = F.when(~no_data(html), item_markup(html))
     return F.transform(F.transform(items, lambda item: _all(item, DL)), parts)
 
 

@@ -130,3 +130,36 @@ def test_not_found_pages_remove_only_what_came_before(spark):
         assert [(r["character_list"], r["count"]) for r in audit.collect()] == [(["Ann"], count)]
         assert [(r["given"], r["saved"]) for r in report.collect()] == [(1, 1)]
         assert [r["character_name"] for r in quarantine.collect()] == ["Zed"]
+
+
+def test_page_tests_are_strict(spark):
+    nested = item().replace("<dl><dd>A &amp; B</dd></dl>", "<dl><dd>A<ul><li>x</li></ul></dd></dl>")
+    single = listed(item(), extra="<div class='box no_data'>none</div>")
+    outside = MODAL.replace("랭킹 정보를 찾을 수 없습니다", "") + "<p>랭킹 정보를 찾을 수 없습니다</p>"
+    reordered = '<button class="confirm_button">OK</button>' + MODAL.replace("confirm_button", "other")
+    loose = f'<div class="other">{item()}</div>'
+    pages = page(
+        spark, listed(nested, item("2위", name="Bob")), single, outside, reordered, loose, MODAL.replace('"', "'"),
+        listed(item()).replace('"', "'").replace("'list'", "'big list'"), listed(item(), extra='<div class="no_data_x"></div>'),
+    )
+    kinds = pages.select("page_id", filters.page_kind(F.col("html")).alias("k")).orderBy("page_id").collect()
+    assert [r["k"] for r in kinds] == ["rows", "no_data", "empty", "empty", "empty", "not_found", "rows", "rows"]
+    rows = ps.extract_list_items(pages).orderBy("page_id", "pos").collect()
+    assert [(r["page_id"], r["character"], r["class"], r["power"]) for r in rows][:2] == [(0, "Ann", "Ax", "98,765"), (0, "Bob", "A & B", "98,765")]
+    assert {r["page_id"] for r in rows} <= {0, 6, 7}
+
+
+def test_answers_name_what_was_not_found(spark):
+    from rankmill.plans import jobs
+    from rankmill.schemas import RANKING
+
+    old = datetime(2024, 5, 2, 11, 55)
+    rows = [(d, d, "up", "S", "full", f"c{d}", 10 * d, d, old) for d in (1, 2, 3)] + [(5, 1, "down", "S", "part", "z", 7, 1, old)]
+    source = [(6, -1, "down", "S", "part", "b", 8, 1, NOW), (7, 0, "none", "S", "part", "a", 9, 2, NOW)]
+    asked = spark.createDataFrame([("S", "full"), ("S", "part"), ("S", "none")], "server_name string, character_name string")
+    answers = jobs.character_answer(spark.createDataFrame(rows, RANKING), spark.createDataFrame(source, RANKING), NOW, asked=asked)
+    got = {r["character_name"]: r.asDict() for r in answers.collect()}
+    assert (got["full"]["from_cache"], got["full"]["rank_2"], got["full"]["class_3"], got["full"]["change_3"]) == (True, "2위", "c3", 3)
+    assert (got["part"]["success"], got["part"]["from_cache"], got["part"]["class_1"], got["part"]["class_2"]) == (True, False, "b", "a")
+    assert (got["part"]["rank_3"], got["part"]["retrieved_at_1"]) == (None, NOW)
+    assert (got["none"]["success"], got["none"]["message"]) == (False, "캐릭터 'none'을(를) 서버 'S'에서 찾을 수 없습니다.")
