@@ -72,34 +72,70 @@ def updated_today_semi(keys: DataFrame, ranking: DataFrame, as_of: datetime | Co
     return keys.join(today, CHARACTER_KEY, "left_semi")
 
 
-def open_request_within(incoming: DataFrame, stored: DataFrame, window: int = fv.DEDUP_SECONDS) -> DataFrame:
-    """For every incoming request the newest open request of its key in the time before it.
+SUB_SLOTS = 64
+
 
-    The look-back is cut into time slots as long as the window: a stored request
-    takes part in its own slot and in the next one, so each (key, slot) is a
-    group of its own however hot the key is, and no pairs are formed.
+def nearest_request(probes: DataFrame, targets: DataFrame, window: int, *, later: bool = False) -> DataFrame:
+    """probes with `near`: of the targets of the same key the last one before each, or with `later` the first one from it on.
+
+    Both carry the request key, created_at and request_id. Only targets less than
+    `window` away are wanted, so time is cut into sub-slots, SUB_SLOTS to a window:
+    a (key, sub-slot) is a group of its own, and for its first probes one target
+    is carried over from the nearest sub-slot that has any. The table of these has
+    a row per (key, sub-slot) and is looked through in slots as long as the window,
+    so a key that has all rows in one window is still spread over SUB_SLOTS groups.
     """
-    slot = fn.time_slot(F.col("created_at"), window)
-    opened = stored.filter(F.col("status").isin(*fv.OPEN_STATUSES)).select(
-        *REQUEST_KEY, "created_at", "request_id", F.explode(F.array(slot, slot + 1)).alias("_slot")
-    )
-    asked = incoming.select(*REQUEST_KEY, "created_at", "request_id", slot.alias("_slot"))
-    hit = F.struct(F.col("created_at"), F.col("request_id"))
-    both = opened.withColumn("_hit", hit).unionByName(
-        asked.withColumn("_hit", F.lit(None).cast("struct<created_at:timestamp_ntz,request_id:string>"))
+    width = max(window // SUB_SLOTS, 1)
+    per_slot = -(-window // width)
+    sub = fn.time_slot(F.col("created_at"), width)
+    slot = F.floor(F.col("_sub") / per_slot)
+    side = F.struct("created_at", "request_id")
+    probes = probes.withColumn("_sub", sub)
+    targets = targets.withColumn("_sub", sub)
+    both = targets.withColumn("_target", side).unionByName(
+        probes.withColumn("_target", F.lit(None).cast("struct<created_at:timestamp_ntz,request_id:string>"))
     )
-    before = (
-        Window.partitionBy(*REQUEST_KEY, "_slot")
-        .orderBy("created_at", "request_id", F.col("_hit").isNotNull())
-        .rowsBetween(Window.unboundedPreceding, -1)
+    is_target = F.col("_target").isNotNull()
+    if later:  # read backwards in time; a target at the probe's own time counts
+        order = [F.desc("created_at"), F.desc(is_target), F.desc("request_id")]
+    else:
+        order = [F.asc("created_at"), F.asc("request_id"), F.asc(is_target)]
+
+    def before(group: list[str], order: list[Column]) -> Window:
+        return Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    seen = F.last("_target", ignorenulls=True).over(before([*REQUEST_KEY, "_sub"], order))
+    inside = both.withColumn("_inside", seen).filter(~is_target)
+    edge = F.min(side) if later else F.max(side)
+    edges = targets.groupBy(*REQUEST_KEY, "_sub").agg(edge.alias("_edge"))
+    edges = edges.withColumn("_slot", F.explode(F.array(slot, slot - 1 if later else slot + 1)))
+    places = probes.select(*REQUEST_KEY, "_sub").distinct().withColumn("_slot", slot)
+    marks = edges.unionByName(places, allowMissingColumns=True)
+    is_edge = F.col("_edge").isNotNull()
+    along = [F.desc("_sub") if later else F.asc("_sub"), F.asc(is_edge)]
+    carried = marks.withColumn("_carried", F.last("_edge", ignorenulls=True).over(before([*REQUEST_KEY, "_slot"], along)))
+    carried = carried.filter(~is_edge).select(*REQUEST_KEY, "_sub", "_carried")
+    same = F.lit(True)
+    for key in [*REQUEST_KEY, "_sub"]:
+        same = same & F.col(f"p.{key}").eqNullSafe(F.col(f"c.{key}"))
+    return (
+        inside.alias("p")
+        .join(carried.alias("c"), same, "left")
+        .select(*[F.col(f"p.{c}") for c in probes.columns if c != "_sub"], F.coalesce("_inside", "_carried").alias("near"))
     )
-    matched = both.withColumn("_last", F.last("_hit", ignorenulls=True).over(before)).filter("_hit is null")
-    recent = F.col("_last.created_at") > F.col("created_at") - fn.seconds(window)
+
+
+def open_request_within(incoming: DataFrame, stored: DataFrame, window: int = fv.DEDUP_SECONDS) -> DataFrame:
+    """For every incoming request the newest open request of its key less than `window` before it; no pairs are formed."""
+    columns = [*REQUEST_KEY, "created_at", "request_id"]
+    opened = stored.filter(F.col("status").isin(*fv.OPEN_STATUSES)).select(*columns)
+    matched = nearest_request(incoming.select(*columns), opened, window)
+    recent = F.col("near.created_at") > F.col("created_at") - fn.seconds(window)
     return matched.select(
         "request_id",
         *REQUEST_KEY,
         "created_at",
-        F.when(recent, F.col("_last.request_id")).alias("open_request_id"),
+        F.when(recent, F.col("near.request_id")).alias("open_request_id"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rankmill import fixed_values as fv
 from rankmill import functions as fn
-from rankmill.operators.joins import open_request_within
+from rankmill.operators.joins import nearest_request, open_request_within
 from rankmill.operators.windows import first_per_key
 from rankmill.schemas import CHARACTER_KEY, RANKING_KEY, REQUEST_KEY
 from rankmill.session import settle
@@ -355,27 +355,11 @@ def _successors(opened: DataFrame, window: int) -> DataFrame:
     """For every request the first one of its key between window and 2 x window later.
 
     Beyond 2 x window the next request has nothing in the window before it and
-    is a head, so it needs no pointer. Read backwards in time, the successor is
-    the last request met before the probe at created_at + window.
+    is a head, so it needs no pointer.
     """
+    columns = [*REQUEST_KEY, "created_at", "request_id"]
     reach = fn.seconds(window)
-    slot = fn.time_slot(F.col("created_at"), window)
-    targets = opened.select(
-        *REQUEST_KEY, "created_at", "request_id", F.lit(0).alias("_probe"), F.explode(F.array(slot, slot - 1)).alias("_slot")
-    )
-    probes = opened.select(
-        *REQUEST_KEY,
-        (F.col("created_at") + reach).alias("created_at"),
-        "request_id",
-        F.lit(1).alias("_probe"),
-        (slot + 1).alias("_slot"),
-    )
-    later = (
-        Window.partitionBy(*REQUEST_KEY, "_slot")
-        .orderBy(F.desc("created_at"), F.asc("_probe"), F.desc("request_id"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    target = F.when(F.col("_probe") == 0, F.struct("created_at", "request_id"))
-    found = targets.unionByName(probes).withColumn("_next", F.last(target, ignorenulls=True).over(later))
-    near = F.col("_next.created_at") < F.col("created_at") + reach
-    return found.filter("_probe = 1").select("request_id", F.when(near, F.col("_next.request_id")).alias("next_id"))
+    probes = opened.select(*REQUEST_KEY, (F.col("created_at") + reach).alias("created_at"), "request_id")
+    found = nearest_request(probes, opened.select(*columns), window, later=True)
+    near = F.col("near.created_at") < F.col("created_at") + reach
+    return found.select("request_id", F.when(near, F.col("near.request_id")).alias("next_id"))

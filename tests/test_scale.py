@@ -130,3 +130,29 @@ def test_look_back_join_with_a_hot_key(spark):
             near = [m for m in members[:i] if m[3] != "failed" and r[4] - m[4] < timedelta(seconds=300)]
             expected[r[0]] = near[-1][0] if near else None
     assert got == expected
+
+
+def test_one_window_of_one_key_is_spread(spark):
+    """A key with all its rows in one 12-hour slot: no group holds more than a small part of them."""
+    from datetime import datetime, timedelta
+
+    from rankmill.operators import mutations
+
+    random.seed(5)
+    start = datetime(2024, 1, 1)
+    rows = [(f"r{n:05d}", "S", "hot", "pending", start + timedelta(seconds=random.randrange(43_200))) for n in range(3000)]
+    schema = "request_id string, server string, character_name string, status string, created_at timestamp_ntz"
+    frame = spark.createDataFrame(rows, schema)
+    width = 43_200 // joins.SUB_SLOTS
+    groups = frame.groupBy((F.unix_timestamp("created_at") / width).cast("int")).count().agg(F.max("count")).first()[0]
+    assert groups < 3000 / 40
+    text = plan(joins.open_request_within(frame, frame, 43_200))
+    assert "hashpartitioning(server" in text and "_sub" in text
+    for window in (43_200, 600, 7):
+        got = sorted(r["request_id"] for r in mutations.enqueue_dedup(frame, window).collect())
+        kept, last = [], None
+        for r in sorted(rows, key=lambda r: (r[4], r[0])):
+            if last is None or r[4] - last >= timedelta(seconds=window):
+                kept.append(r[0])
+                last = r[4]
+        assert got == sorted(kept)
