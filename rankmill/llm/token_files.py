@@ -143,7 +143,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, dtype=np.uint64)  # hashes of the pieces, sorted
+        self.number = np.zeros(0, dtype=np.int32)  # place of each in `at`
         self.ids = np.zeros(0, dtype=np.uint32)
         self.at = np.zeros(1, dtype=np.int64)
 
@@ -151,8 +152,8 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=np.uint32) for x in found]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Appends the ids of these pieces."""
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Appends the ids of these pieces; keys: their hashes, sorted."""
         spaced = np.array([p[:1] == b" " for p in pieces], dtype=bool)
         joined = [p for p, s in zip(pieces, spaced) if s]
         groups = [joined[i : i + 5000] for i in range(0, len(joined), 5000)]
@@ -171,8 +172,10 @@ class Encoder:
         starts = self.at[-1] + np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
         self.ids = np.concatenate([self.ids, *ids])
         self.at = np.concatenate([self.at, starts[1:]])
-        for k, i in enumerate(order.tolist()):
-            self.known[self.new_keys[i]] = base + k
+        number = np.empty(len(keys), dtype=np.int32)
+        number[order] = base + np.arange(len(keys))
+        places = np.searchsorted(self.known, keys)
+        self.known, self.number = np.insert(self.known, places, keys), np.insert(self.number, places, number)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of many texts and their offsets -> all ids, and the offsets of the texts in them."""
@@ -183,14 +186,11 @@ class Encoder:
         keys, first, inverse = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self._forget()
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            raw = data.tobytes()
-            places = first[new]
-            self.new_keys = [keys[i] for i in new]
-            self._learn([raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())])
-        index = np.array([self.known[k] for k in keys], dtype=np.int64)[inverse]
+        new = ~np.isin(keys, self.known, assume_unique=True)
+        if new.any():
+            raw, places = data.tobytes(), first[new]
+            self._learn(keys[new], [raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())])
+        index = self.number[np.searchsorted(self.known, keys)][inverse].astype(np.int64)
         counts = self.at[index + 1] - self.at[index]
         upto = np.concatenate([[0], np.cumsum(counts)])
         ids = self.ids[np.repeat(self.at[index] - upto[:-1], counts) + np.arange(upto[-1])]
