@@ -154,6 +154,43 @@ def _(i):
     return articles(i)
 
 
+@query(
+    "extract_article_board",
+    """SELECT page_id AS id, 'News & more ' || page_id AS title,
+              CASE WHEN page_id % 5 = 0 THEN strftime(as_of, '%Y-%m-%dT%H:%M:%S+09:00')
+                   ELSE '2025-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-15T09:' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || ':00+09:00' END AS post_date,
+              CASE WHEN page_id % 3 = 0 THEN ['https://v.example/' || page_id] ELSE CAST([] AS VARCHAR[]) END AS videos,
+              CASE WHEN page_id % 2 = 0 THEN [{'name': 'File ' || page_id, 'url': 'https://b.example/f' || page_id || '.zip'},
+                                              {'name': 'Other', 'url': 'http://o.example/g.zip'}]
+                   ELSE CAST([] AS STRUCT(name VARCHAR, url VARCHAR)[]) END AS attachments
+       FROM pages, now_at""",
+)
+def _(i):
+    """The board layout, rendered from the page numbers: dates (every fifth one broken), videos and attachments."""
+    page = F.col("page_id")
+    number = page.cast("string")
+    month = F.lpad((page % 12 + 1).cast("string"), 2, "0")
+    minute = F.lpad((page % 60).cast("string"), 2, "0")
+    date = F.when(page % 5 == 0, "soon").otherwise(F.concat(F.lit("2025."), month, F.lit(".15 09:"), minute))
+    video = F.when(page % 3 == 0, F.concat(F.lit('<iframe src="https://v.example/'), number, F.lit('"></iframe>'))).otherwise("")
+    files = F.when(
+        page % 2 == 0,
+        F.concat(
+            F.lit('<div class="board-files"><a href="/f'), number, F.lit('.zip">File '), number,
+            F.lit('</a><a href="http://o.example/g.zip">Other</a></div>'),
+        ),
+    ).otherwise("")
+    html = F.concat(
+        F.lit('<div class="title"> <span data-blockcontent>News &amp; more '), number,
+        F.lit('</span></div><div class="date"><span>'), date,
+        F.lit('</span></div><div class="content" data-blockcontent><p>body</p>'), video,
+        F.lit('<iframe src=""></iframe></div><!-- /content -->'), files,
+    )
+    rendered = i.table("pages").select("page_id", "url", html.alias("html"))
+    found = page_source.extract_article(rendered, base_url="https://b.example", scraped_at=i.as_of, layout="board")
+    return found.select("id", "title", "post_date", "videos", "attachments")
+
+
 @query(
     "extract_titles",
     f"""SELECT list_key, CAST(pos AS INTEGER) AS pos, title, id FROM (

@@ -85,8 +85,9 @@ def _(i):
 )
 def _(i):
     lifecycle = views.with_event_time(stateful.lifecycle_events(requested(i)), "at")
-    current = stateful.stream_request_lifecycle(lifecycle)
-    return runner.collect_latest(current, "stream_request_lifecycle", ["request_id"])
+    root = work_path(i.spark, "stream_request_lifecycle")
+    runner.finish(stateful.stream_request_lifecycle(lifecycle, root, runner.AVAILABLE_NOW))
+    return runner.latest_rows(i.spark, root, stateful.request_states(lifecycle).schema, ["request_id"])
 
 
 @query(

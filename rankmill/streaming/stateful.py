@@ -131,8 +131,38 @@ def collect_rows(start: Callable[..., StreamingQuery], frame: DataFrame, label:
     return spark.read.schema(f"{columns}, batch bigint").parquet(f"{root}/rows").drop("batch")
 
 
-def stream_request_lifecycle(lifecycle: DataFrame) -> DataFrame:
-    """Current state per request after its transitions (update mode).
+def stream_request_lifecycle(
+    lifecycle: DataFrame, root: str, trigger: dict, lateness: int = LATENESS_SECONDS
+) -> StreamingQuery:
+    """Writes the current state of every request that a micro-batch touches; readers take the newest row per request.
+
+    Carries the transitions of requests that are open, or closed less than
+    `lateness` seconds before the newest transition seen, so what is kept follows
+    the open requests, not the length of the stream.
+    """
+    columns = ["request_id", "retry_count", "max_retries", "step", "state", "event_time"]
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with settled_scope(spark):
+            rows = settle(batch.select(*columns))
+            schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+            every = settle(_carried(spark, root, schema, batch_id).unionByName(rows))
+            touched = every.join(rows.select("request_id").distinct(), "request_id", "left_semi")
+            _save(request_states(touched), root, "rows", batch_id)
+            newest = every.agg(F.max("event_time")).first()[0]
+            if newest is not None:
+                closing = F.when(F.col("state").isin(*fv.CLOSED_STATUSES), F.col("event_time"))
+                closed = every.groupBy("request_id").agg(F.min(closing).alias("at"))
+                expired = closed.filter(F.col("at") < F.lit(newest) - fn.seconds(lateness)).select("request_id")
+                every = every.join(expired, "request_id", "left_anti").select(*columns)
+            _carry(every, root, batch_id)
+
+    return runner.start_steps(lifecycle, root, trigger, decide)
+
+
+def request_states(lifecycle: DataFrame) -> DataFrame:
+    """State per request after its transitions.
 
     The first closing transition decides; before it the latest one does. A
     failed attempt goes back to pending while retries are left, else it fails.

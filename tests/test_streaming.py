@@ -165,11 +165,31 @@ def test_lifecycle_transitions(spark):
         [step("a", 2, "processing", 3), step("a", 3, "completed", 4), step("c", 3, "timeout", 1), step("c", 2, "processing", 9)],
     ]
     stream = views.with_event_time(batches(spark, "steps", schema, parts), "at")
-    out = runner.collect_latest(stateful.stream_request_lifecycle(stream), "lifecycle", ["request_id"])
+    root = work_path(spark, "lifecycle")
+    runner.finish(stateful.stream_request_lifecycle(stream, root, runner.AVAILABLE_NOW))
+    out = runner.latest_rows(spark, root, stateful.request_states(stream).schema, ["request_id"])
     got = {r["request_id"]: (r["status"], r["retry_count"]) for r in out.collect()}
     assert got == {"a": ("completed", 1), "b": ("failed", 4), "c": ("timeout", 0)}
 
 
+def test_closed_requests_expire(spark):
+    schema = "request_id string, retry_count int, max_retries int, step int, state string, at timestamp_ntz"
+
+    def step(rid, n, state, seconds):
+        return (rid, 0, 3, n, state, NOW + timedelta(seconds=seconds))
+
+    parts = [[step(f"r{k}", 1, "pending", k * 1000), step(f"r{k}", 2, "completed", k * 1000 + 5)] for k in range(6)]
+    parts[0].append(step("open", 1, "pending", 0))
+    stream = views.with_event_time(batches(spark, "expire", schema, parts), "at")
+    root = work_path(spark, "expire-out")
+    runner.finish(stateful.stream_request_lifecycle(stream, root, runner.AVAILABLE_NOW, lateness=1500))
+    newest = stateful._versions(spark, root)[-1]
+    kept = {r["request_id"] for r in spark.read.parquet(f"{root}/carried/batch={newest}").collect()}
+    assert kept == {"open", "r4", "r5"}
+    out = runner.latest_rows(spark, root, stateful.request_states(stream).schema, ["request_id"]).collect()
+    assert {r["request_id"]: r["status"] for r in out} == {f"r{k}": "completed" for k in range(6)} | {"open": "pending"}
+
+
 def test_fingerprint_state_carries_over(spark):
     schema = "list_key string, page_id bigint, fingerprint string"
     parts = [[("k", 1, "x"), ("k", 2, "x"), ("k", 3, "y")], [("k", 4, "y"), ("j", 5, "x")], [("k", 6, "x")]]
