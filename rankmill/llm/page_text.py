@@ -50,10 +50,10 @@ CLOSES = {
 DROPPED = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "math", "canvas", "fieldset", "datalist", *RAW}
 #: words in class, id or role that name what isn't the article
 DROPPED_NAMES = set(
-    "ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promotion promoted banner "
-    "navigation navbar nav menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar header siteheader "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adunit adbox adbanner sponsor sponsored promo promotion promoted banner "
+    "navigation navbar nav sidenav menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar header siteheader "
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay paywall "
-    "comment comments commentlist respond discussion disqus replies reply "
+    "comment comments commentlist respond responses discussion disqus replies reply feedback "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login "
     "search pagination pager skip complementary contentinfo".split()
 )
@@ -72,7 +72,7 @@ class Element:
 
     def __init__(self, tag: str, sign: str, dropped: bool, frame: bool = False):
         self.tag, self.sign, self.dropped = tag, sign, dropped
-        self.frame = frame  # dropped only by its name, so not where it holds the article
+        self.frame = frame  # dropped by its name or as a form, but not where it holds the article
         self.kids: list[Element | str] = []  # blocks of text are strings
 
 
@@ -90,7 +90,7 @@ def _element(tag: str, attributes: str, inside_article: bool) -> Element:
     dropped = tag in DROPPED or (tag not in KEPT_TAGS or "comment" in names) and bool(names & DROPPED_NAMES)
     if tag == "header" or "header" in names:
         dropped = not inside_article or bool(names & (DROPPED_NAMES - {"header"}))  # an article's own head is part of it
-    return Element(tag, sign, dropped, tag not in DROPPED and not names & HOLD_OTHERS)
+    return Element(tag, sign, dropped, (tag not in DROPPED or tag == "form") and not names & HOLD_OTHERS)
 
 
 def parse(page: str | None) -> Element:

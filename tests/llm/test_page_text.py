@@ -47,6 +47,11 @@ def test_pages_without_an_article_go_by_the_wrapper():
     assert got[2] == "Head 2\n" + " ".join(f"w2x{k}" for k in range(60))
 
 
+def test_a_form_around_the_page_keeps_the_article():
+    page = "<body><form id=f><div class='header'>Top</div><article><p>text</p><form><p>Mail</p></form></article></form></body>"
+    assert text_of(page) == ["text"]
+
+
 def test_copies_keep_their_text():
     assert text_of(*["<article><p>same</p></article>"] * 9) == ["same"] * 9
 
