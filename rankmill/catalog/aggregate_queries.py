@@ -219,7 +219,7 @@ def _(i):
               max(power_value) AS power_value, max(change_amount) AS change_amount, max(change_type) AS change_type,
               max(class_name) AS class_name, max(retrieved_at) AS retrieved_at
        FROM (SELECT DISTINCT server_name, character_name FROM ranking) k
-       CROSS JOIN (VALUES (1, '전투력'), (2, '매력'), (3, '생활력')) t(div, rank_type)
+       CROSS JOIN (VALUES (1, '@RANK_TYPE_NAMES.1@'), (2, '@RANK_TYPE_NAMES.2@'), (3, '@RANK_TYPE_NAMES.3@')) t(div, rank_type)
        LEFT JOIN ranking r ON r.server_name = k.server_name AND r.character_name = k.character_name AND r.div = t.div
        GROUP BY ALL""",
 )

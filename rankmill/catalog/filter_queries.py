@@ -45,7 +45,7 @@ def _(i):
     return filters.outdated_rows(i.ranking, i.as_of)
 
 
-@query("drop_placeholder_names", "SELECT * FROM scraped WHERE character <> '알수없음'")
+@query("drop_placeholder_names", "SELECT * FROM scraped WHERE character <> '@PLACEHOLDER_NAME@'")
 def _(i):
     return filters.drop_placeholder_names(i.scraped)
 
@@ -82,7 +82,7 @@ def _(i):
 
 @query(
     "to_api_shape",
-    """SELECT format('{:,}', coalesce(rank_position, 0)) || '위' AS rank, coalesce(class_name, '') AS class,
+    """SELECT format('{:,}', coalesce(rank_position, 0)) || '@RANK_SUFFIX@' AS rank, coalesce(class_name, '') AS class,
               format('{:,}', coalesce(power_value, 0)) AS power, coalesce(change_amount, 0) AS change,
               coalesce(server_name, '') AS server, coalesce(character_name, '') AS character,
               coalesce(change_type, 'none') AS change_type, div FROM ranking""",
@@ -98,8 +98,8 @@ def _(i):
           CASE WHEN answered THEN coalesce(json_extract_string(result, '$.success') = 'true', false) WHEN done THEN true
                ELSE status IN ('processing', 'pending') END AS success,
           CASE WHEN answered THEN coalesce(json_extract_string(result, '$.message'), '') WHEN NOT done THEN
-               CASE status WHEN 'failed' THEN '검색이 실패했습니다.' WHEN 'processing' THEN '검색이 처리 중입니다.'
-                    WHEN 'pending' THEN '검색이 대기 중입니다.' ELSE '검색 상태: ' || status END END AS message,
+               CASE status WHEN 'failed' THEN '@STATUS_MESSAGES.failed@' WHEN 'processing' THEN '@STATUS_MESSAGES.processing@'
+                    WHEN 'pending' THEN '@STATUS_MESSAGES.pending@' ELSE '@OTHER_STATUS_MESSAGE_PREFIX@' || status END END AS message,
           CASE WHEN answered AND json_type(result, '$.data') <> 'NULL' THEN CAST(json_extract(result, '$.data') AS VARCHAR) END AS character_json,
           CASE WHEN answered THEN coalesce(json_extract_string(result, '$.from_cache') = 'true', false) END AS from_cache,
           CASE WHEN done AND NOT answered THEN result END AS raw_result,
@@ -129,7 +129,7 @@ def _(i):
 
 
 VALID = """
-    (SELECT obs_id, TRY_CAST(replace(replace(rank, ',', ''), '위', '') AS INTEGER) AS rank_position,
+    (SELECT obs_id, TRY_CAST(replace(replace(rank, ',', ''), '@RANK_SUFFIX@', '') AS INTEGER) AS rank_position,
             CASE WHEN change_type = 'down' THEN -abs(n) ELSE n END AS change_amount, change_type,
             trim(server) AS server_name, character AS character_name, trim(class, chr(9) || ' ') AS class_name,
             TRY_CAST(replace(power, ',', '') AS BIGINT) AS power_value

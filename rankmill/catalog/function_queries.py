@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rankmill import functions as fn
 from rankmill.catalog.registry import query
 
-PARSED = "TRY_CAST(replace(replace({0}, ',', ''), '위', '') AS {1})"
+PARSED = "TRY_CAST(replace(replace({0}, ',', ''), '@RANK_SUFFIX@', '') AS {1})"
 DIGITS = "coalesce(TRY_CAST(regexp_extract({0}, '([0-9]+)', 1) AS INTEGER), 0)"
 THOUSANDS = "format('{:,}', %s)"
 
@@ -91,8 +91,8 @@ def _(i):
 
 @query(
     "thousands",
-    f"SELECT obs_id, {THOUSANDS % 'rank_position'} || '위' AS rank, {THOUSANDS % 'power_value'} AS power, "
-    f"{THOUSANDS % 'power_value'} || ' 명' AS persons FROM obs",
+    f"SELECT obs_id, {THOUSANDS % 'rank_position'} || '@RANK_SUFFIX@' AS rank, {THOUSANDS % 'power_value'} AS power, "
+    f"{THOUSANDS % 'power_value'} || '@PERSON_SUFFIX@' AS persons FROM obs",
 )
 def _(i):
     return i.obs.select(
@@ -120,8 +120,8 @@ def _(i):
 
 @query(
     "relative_age",
-    """SELECT obs_id, CASE WHEN t IS NULL THEN '없음' WHEN age < 60 THEN CAST(age AS VARCHAR) || '초 전'
-              WHEN age < 3600 THEN CAST(age // 60 AS VARCHAR) || '분 전' ELSE CAST(age // 3600 AS VARCHAR) || '시간 전' END AS age
+    """SELECT obs_id, CASE WHEN t IS NULL THEN '@NO_TIME_LABEL@' WHEN age < 60 THEN CAST(age AS VARCHAR) || '@SECONDS_AGO@'
+              WHEN age < 3600 THEN CAST(age // 60 AS VARCHAR) || '@MINUTES_AGO@' ELSE CAST(age // 3600 AS VARCHAR) || '@HOURS_AGO@' END AS age
        FROM (SELECT obs_id, t, CAST(epoch(as_of) - epoch(t) AS BIGINT) AS age
              FROM (SELECT obs_id, CASE WHEN change_type <> 'none' THEN retrieved_at END AS t FROM obs), now_at)""",
 )
@@ -260,7 +260,7 @@ def _(i):
 
 @query(
     "status_symbol",
-    """SELECT server_name, status, CASE status WHEN 'running' THEN '🟢' WHEN 'waiting' THEN '🟡' WHEN 'error' THEN '❌' ELSE '❓' END AS symbol,
+    """SELECT server_name, status, CASE status WHEN 'running' THEN '@STATUS_SYMBOLS.running@' WHEN 'waiting' THEN '@STATUS_SYMBOLS.waiting@' WHEN 'error' THEN '@STATUS_SYMBOLS.error@' ELSE '❓' END AS symbol,
               '❓' AS other FROM crawler_status""",
 )
 def _(i):

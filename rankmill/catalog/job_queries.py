@@ -14,7 +14,7 @@ from rankmill.plans import jobs
 @query(
     "class_report",
     f"""SELECT row_number() OVER (ORDER BY population DESC, class_name) AS idx, class_name, population,
-               format('{{:,}}', population) || ' 명' AS population_formatted, percentage, total_population FROM ({SHARES})""",
+               format('{{:,}}', population) || '@PERSON_SUFFIX@' AS population_formatted, percentage, total_population FROM ({SHARES})""",
 )
 def _(i):
     return jobs.class_report(i.ranking)
@@ -37,7 +37,7 @@ def _(i):
     f"""SELECT server_name, character_name, latest_retrieved_at, rn AS row_no, CAST((rn - 1) // 200 AS BIGINT) AS batch_index,
                CAST((n + 199) // 200 AS BIGINT) AS batch_count
         FROM (SELECT *, row_number() OVER (PARTITION BY server_name ORDER BY latest_retrieved_at NULLS FIRST, character_name) AS rn,
-                     count(*) OVER (PARTITION BY server_name) AS n FROM ({FRONTIER}) WHERE character_name <> '알수없음')""",
+                     count(*) OVER (PARTITION BY server_name) AS n FROM ({FRONTIER}) WHERE character_name <> '@PLACEHOLDER_NAME@')""",
 )
 def _(i):
     return jobs.refresh_plan(i.ranking, i.as_of)
@@ -46,7 +46,7 @@ def _(i):
 BATCH = f"""
     batch AS (SELECT DISTINCT page_seq, pos, rank_position, CASE WHEN change_type = 'down' THEN -abs(n) ELSE n END AS change_amount,
                      change_type, server_name, character_name, class_name, power_value, div, page_time AS retrieved_at
-              FROM (SELECT page_seq, pos, TRY_CAST(replace(replace(rank, ',', ''), '위', '') AS INTEGER) AS rank_position,
+              FROM (SELECT page_seq, pos, TRY_CAST(replace(replace(rank, ',', ''), '@RANK_SUFFIX@', '') AS INTEGER) AS rank_position,
                            CASE WHEN change IN ('-', 'new') THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(change, '([0-9]+)', 1) AS INTEGER), 0) END AS n,
                            change_type, trim(server) AS server_name, character AS character_name, trim(class, chr(9) || ' ') AS class_name,
                            TRY_CAST(replace(power, ',', '') AS BIGINT) AS power_value, p.div, page_time {ROWS})
@@ -94,7 +94,7 @@ def _(i):
 
 @query(
     "ingest_pages_quarantine",
-    f"""SELECT page_seq, count(*) AS rows FROM (SELECT page_seq, TRY_CAST(replace(replace(rank, ',', ''), '위', '') AS INTEGER) AS r,
+    f"""SELECT page_seq, count(*) AS rows FROM (SELECT page_seq, TRY_CAST(replace(replace(rank, ',', ''), '@RANK_SUFFIX@', '') AS INTEGER) AS r,
                TRY_CAST(replace(power, ',', '') AS BIGINT) AS p {ROWS}) WHERE r IS NULL OR p IS NULL GROUP BY page_seq""",
 )
 def _(i):
@@ -136,7 +136,7 @@ def _(i):
 
 SWEPT_FULL = """swept AS (SELECT * REPLACE (
         CASE WHEN status = 'processing' AND started_at < as_of - INTERVAL 600 SECOND THEN 'timeout' ELSE status END AS status,
-        CASE WHEN status = 'processing' AND started_at < as_of - INTERVAL 600 SECOND THEN 'Processing timeout' ELSE error_message END AS error_message,
+        CASE WHEN status = 'processing' AND started_at < as_of - INTERVAL 600 SECOND THEN '@TIMEOUT_MESSAGE@' ELSE error_message END AS error_message,
         CASE WHEN status = 'processing' AND started_at < as_of - INTERVAL 600 SECOND THEN as_of ELSE completed_at END AS completed_at)
       FROM requests, event_now),
     kept AS (SELECT * EXCLUDE (as_of) FROM swept WHERE NOT coalesce(status IN ('completed', 'failed', 'timeout')
@@ -178,11 +178,11 @@ def _(i):
 
 @query(
     "ops_dashboard",
-    """SELECT server_name, status, CASE status WHEN 'running' THEN '🟢' WHEN 'waiting' THEN '🟡' WHEN 'error' THEN '❌' END AS symbol,
+    """SELECT server_name, status, CASE status WHEN 'running' THEN '@STATUS_SYMBOLS.running@' WHEN 'waiting' THEN '@STATUS_SYMBOLS.waiting@' WHEN 'error' THEN '@STATUS_SYMBOLS.error@' END AS symbol,
               CASE WHEN length(name) > 16 THEN substring(name, 1, 13) || '...' ELSE name END AS current_name,
               format('{:,}', p) AS processed, format('{:,}', r) AS remaining, errors,
-              CASE WHEN age < 60 THEN CAST(age AS VARCHAR) || '초 전' WHEN age < 3600 THEN CAST(age // 60 AS VARCHAR) || '분 전'
-                   ELSE CAST(age // 3600 AS VARCHAR) || '시간 전' END AS last_update_age, last_hour
+              CASE WHEN age < 60 THEN CAST(age AS VARCHAR) || '@SECONDS_AGO@' WHEN age < 3600 THEN CAST(age // 60 AS VARCHAR) || '@MINUTES_AGO@'
+                   ELSE CAST(age // 3600 AS VARCHAR) || '@HOURS_AGO@' END AS last_update_age, last_hour
        FROM (SELECT server_name, count(*) FILTER (outcome <> 'pending') AS p, count(*) FILTER (outcome = 'pending') AS r,
                     count(*) FILTER (outcome = 'failed') AS errors, arg_max(character_name, {'t': logged_at, 'k': task_id}) AS name,
                     CASE arg_max(outcome, {'t': logged_at, 'k': task_id}) WHEN 'failed' THEN 'error' WHEN 'pending' THEN 'waiting' ELSE 'running' END AS status,

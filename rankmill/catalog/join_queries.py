@@ -64,7 +64,7 @@ def _(i):
               CASE c_nationkey WHEN 1 THEN '데이안' WHEN 2 THEN '아이라' WHEN 3 THEN '던컨' WHEN 4 THEN '알리사'
                    WHEN 5 THEN '메이븐' WHEN 6 THEN '라사' WHEN 7 THEN '칼릭스' ELSE '데이안' END AS decoded_server,
               CASE WHEN c_nationkey BETWEEN 1 AND 7 THEN c_nationkey END AS decoded_server_id,
-              CASE t WHEN 1 THEN '전투력' WHEN 2 THEN '매력' WHEN 3 THEN '생활력' ELSE '타입' || CAST(t AS VARCHAR) END AS rank_type_name,
+              CASE t WHEN 1 THEN '@RANK_TYPE_NAMES.1@' WHEN 2 THEN '@RANK_TYPE_NAMES.2@' WHEN 3 THEN '@RANK_TYPE_NAMES.3@' ELSE '타입' || CAST(t AS VARCHAR) END AS rank_type_name,
               CASE WHEN t BETWEEN 1 AND 3 THEN t END AS decoded_div
        FROM (SELECT c_custkey, c_nationkey, CAST(c_custkey % 5 AS INTEGER) AS t FROM customer)""",
 )
@@ -187,7 +187,7 @@ def _(i):
 
 @query(
     "fan_in_rank_types",
-    """SELECT *, CASE div WHEN 1 THEN '전투력' WHEN 2 THEN '매력' ELSE '생활력' END AS rank_type FROM ranking""",
+    """SELECT *, CASE div WHEN 1 THEN '@RANK_TYPE_NAMES.1@' WHEN 2 THEN '@RANK_TYPE_NAMES.2@' ELSE '@RANK_TYPE_NAMES.3@' END AS rank_type FROM ranking""",
 )
 def _(i):
     return sets.tag_rank_types(i.ranking)

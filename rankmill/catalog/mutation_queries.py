@@ -148,7 +148,7 @@ def _(i):
 LATE_TEST = "status = 'processing' AND started_at < as_of - INTERVAL 600 SECOND"
 SWEPT = f"""
     SELECT request_id, created_at, started_at, CASE WHEN {LATE_TEST} THEN 'timeout' ELSE status END AS status,
-           CASE WHEN {LATE_TEST} THEN 'Processing timeout' ELSE error_message END AS error_message,
+           CASE WHEN {LATE_TEST} THEN '@TIMEOUT_MESSAGE@' ELSE error_message END AS error_message,
            CASE WHEN {LATE_TEST} THEN as_of ELSE completed_at END AS completed_at
     FROM requests, event_now"""
 

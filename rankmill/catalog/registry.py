@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankmill import views
+from rankmill import fixed_values, views
 from rankmill.catalog.sql_views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def with_fixed_values(sql: str) -> str:
+    """Puts the values of fixed_values in: @NAME@, or @NAME.key@ for an entry of a table."""
+
+    def value(match: re.Match) -> str:
+        found, key = getattr(fixed_values, match[1]), match[2]
+        return str(found if key is None else found[int(key) if key.isdigit() else key])
+
+    return re.sub(r"@([A-Z_]+)(?:[.]([^@]+))?@", value, sql)
+
+
 class Inputs:
     """The views over one data folder, built when first asked for."""
 
@@ -49,7 +60,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = with_views(with_fixed_values(sql))
         return fn
 
     return register

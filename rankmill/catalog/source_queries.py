@@ -107,7 +107,7 @@ def _(i):
 @query(
     "report_rows",
     f"""SELECT row_number() OVER (ORDER BY population DESC, class_name) AS idx, class_name, population,
-               format('{{:,}}', population) || ' 명' AS population_formatted, percentage, total_population FROM ({SHARES})""",
+               format('{{:,}}', population) || '@PERSON_SUFFIX@' AS population_formatted, percentage, total_population FROM ({SHARES})""",
 )
 def _(i):
     return jobs.report_rows(shares(i))
@@ -115,7 +115,7 @@ def _(i):
 
 ROWS = """
     FROM scraped s JOIN page_heads p USING (page_seq)
-    WHERE p.kind = 'rows' AND character <> '알수없음'"""
+    WHERE p.kind = 'rows' AND character <> '@PLACEHOLDER_NAME@'"""
 
 
 @query(
@@ -222,7 +222,7 @@ def _(i):
 @query(
     "extract_paging",
     """SELECT page_seq, CASE WHEN kind = 'rows' THEN page_seq * 20 + 1007 ELSE 0 END AS total_count,
-              CASE WHEN kind = 'rows' THEN format('{:,}', page_seq * 20 + 1) || '위 ~ ' || format('{:,}', page_seq * 20 + n_rows) || '위' ELSE '' END AS current_range,
+              CASE WHEN kind = 'rows' THEN format('{:,}', page_seq * 20 + 1) || '위 ~ ' || format('{:,}', page_seq * 20 + n_rows) || '@RANK_SUFFIX@' ELSE '' END AS current_range,
               CASE WHEN kind = 'rows' THEN page_seq * 20 + 1 END AS range_lo, CASE WHEN kind = 'rows' THEN page_seq * 20 + n_rows END AS range_hi,
               CAST(CASE WHEN kind = 'rows' THEN page_seq % 10 + 1 ELSE 1 END AS INTEGER) AS current_page,
               CASE WHEN kind = 'rows' THEN (page_seq * 20 + 1007 + 19) // 20 ELSE 0 END AS total_pages

@@ -9,7 +9,7 @@ from rankmill.operators import aggregates, ordering, windows
 from rankmill.sources import pages as page_source
 
 LATEST = """
-    (SELECT * FROM ranking WHERE character_name <> '알수없음'
+    (SELECT * FROM ranking WHERE character_name <> '@PLACEHOLDER_NAME@'
      QUALIFY row_number() OVER (PARTITION BY server_name, div, character_name ORDER BY retrieved_at DESC, rank_position) = 1)"""
 
 
@@ -137,7 +137,7 @@ def _(i):
     "names_or_default",
     f"""WITH latest AS {LATEST}, named AS (SELECT server_name, character_name, rank_position FROM latest WHERE div = 1 AND server_name <> 'ASIA')
         SELECT * FROM named UNION ALL
-        SELECT DISTINCT server_name, '힝트', CAST(NULL AS INTEGER) FROM ranking WHERE server_name NOT IN (SELECT server_name FROM named)""",
+        SELECT DISTINCT server_name, '@DEFAULT_FRONTIER_NAME@', CAST(NULL AS INTEGER) FROM ranking WHERE server_name NOT IN (SELECT server_name FROM named)""",
 )
 def _(i):
     latest = windows.latest_per_character(i.ranking.filter("div = 1 AND server_name <> 'ASIA'"))
