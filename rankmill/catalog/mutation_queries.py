@@ -178,17 +178,28 @@ def _(i):
     return tagged.select("obs_id", "action")
 
 
-@query("tag_insert_update_counts", "SELECT count(*) AS succeeded, CAST(0 AS BIGINT) AS failed FROM since_2000")
+def unnamed(i):
+    """Changes of which some have lost their name."""
+    name = F.when(F.col("obs_id") % 17 != 0, F.col("character_name"))
+    return changes_since(i).withColumn("character_name", name)
+
+
+@query(
+    "tag_insert_update_counts",
+    "SELECT count(*) FILTER (obs_id % 17 <> 0) AS succeeded, count(*) FILTER (obs_id % 17 = 0) AS failed FROM since_2000",
+)
 def _(i):
-    return mutations.tag_insert_update(state_before(i), changes_since(i))[1]
+    return mutations.tag_insert_update(state_before(i), unnamed(i))[1]
 
 
 @query(
     "key_violations",
-    """SELECT character_name, server_name, div, count(*) AS rows, 'unique' AS rule FROM obs GROUP BY ALL HAVING count(*) > 1""",
+    """SELECT name AS character_name, server_name, div, count(*) AS rows, CASE WHEN name IS NULL THEN 'not_null' ELSE 'unique' END AS rule
+       FROM (SELECT *, CASE WHEN obs_id % 17 <> 0 THEN character_name END AS name FROM obs) GROUP BY ALL HAVING count(*) > 1 OR name IS NULL""",
 )
 def _(i):
-    return mutations.key_violations(i.obs, RANKING_KEY)
+    name = F.when(F.col("obs_id") % 17 != 0, F.col("character_name"))
+    return mutations.key_violations(i.obs.withColumn("character_name", name), RANKING_KEY)
 
 
 @query(

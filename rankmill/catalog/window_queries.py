@@ -9,13 +9,13 @@ from rankmill.operators import aggregates, ordering, windows
 from rankmill.sources import pages as page_source
 
 LATEST = """
-    (SELECT * FROM ranking WHERE character_name <> '@PLACEHOLDER_NAME@'
+    (SELECT * FROM obs WHERE character_name <> '@PLACEHOLDER_NAME@'
      QUALIFY row_number() OVER (PARTITION BY server_name, div, character_name ORDER BY retrieved_at DESC, rank_position) = 1)"""
 
 
 @query("latest_per_character", f"SELECT server_name, div, character_name, rank_position, retrieved_at FROM {LATEST}")
 def _(i):
-    rows = windows.latest_per_character(i.ranking).select(
+    rows = windows.latest_per_character(i.obs).select(
         "server_name", "div", "character_name", "rank_position", "retrieved_at"
     )
     return rows.orderBy("rank_position")
@@ -135,7 +135,7 @@ def _(i):
 
 @query(
     "names_or_default",
-    f"""WITH latest AS {LATEST}, named AS (SELECT server_name, character_name, rank_position FROM latest WHERE div = 1 AND server_name <> 'ASIA')
+    f"""WITH latest AS {LATEST.replace('obs', 'ranking')}, named AS (SELECT server_name, character_name, rank_position FROM latest WHERE div = 1 AND server_name <> 'ASIA')
         SELECT * FROM named UNION ALL
         SELECT DISTINCT server_name, '@DEFAULT_FRONTIER_NAME@', CAST(NULL AS INTEGER) FROM ranking WHERE server_name NOT IN (SELECT server_name FROM named)""",
 )

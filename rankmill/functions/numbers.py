@@ -73,10 +73,6 @@ def rescale_half_even(part: Column, part_sum: Column, total: Column) -> Column:
     return divide_half_even(product, part_sum)
 
 
-def round2_even(value: Column) -> Column:
-    return F.bround(value, 2)
-
-
 def thousands(value: Column, suffix: str = "") -> Column:
     """`1,234` with an optional suffix."""
     text = F.format_number(value, 0)
