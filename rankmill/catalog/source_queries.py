@@ -1,5 +1,7 @@
 """Sources, sinks (written by Spark to the shared folder and read back) and page extraction."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from rankmill.catalog.aggregate_queries import SHARES, shares
@@ -41,13 +43,16 @@ def _(i):
     return sinks.sink_upsert_ranking(changes_since(i), root, version=1, schema=RANKING, order_by=order)
 
 
-@query("sink_snapshot", "SELECT * FROM snapshots")
+@query(
+    "sink_snapshot",
+    """SELECT s.*, CASE WHEN class_name = 'all' THEN as_of ELSE as_of + INTERVAL 1 DAY END AS retrieved_at FROM snapshots s, now_at""",
+)
 def _(i):
     path = work_path(i.spark, "snapshots")
-    sinks.sink_snapshot(i.snapshots.filter("class_name = 'all'"), path)
-    sinks.sink_snapshot(i.snapshots, path)
-    schema = ", ".join(f"{c} {t}" for c, t in i.snapshots.dtypes)
-    return i.spark.read.schema(schema).parquet(path).select(i.snapshots.columns)
+    sinks.sink_snapshot(i.snapshots.filter("class_name = 'all'"), path, i.as_of)
+    sinks.sink_snapshot(i.snapshots, path, i.as_of + timedelta(days=1))
+    schema = ", ".join(f"{c} {t}" for c, t in i.snapshots.dtypes) + ", retrieved_at timestamp_ntz"
+    return i.spark.read.schema(schema).parquet(path).select(*i.snapshots.columns, "retrieved_at")
 
 
 ENTITIES = "trim(replace(replace(replace(replace(replace(replace(%s, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))"

@@ -58,13 +58,16 @@ def sink_upsert_ranking(
     return spark.read.schema(schema).parquet(write_version(merged, root, version))
 
 
-def sink_snapshot(snapshot: DataFrame, path: str) -> None:
+def sink_snapshot(snapshot: DataFrame, path: str, retrieved_at: datetime | Column | None = None) -> None:
     """Appends a snapshot; rows whose key is already stored are left out, so the first run of a day wins.
 
     Of several new rows of one key the first by all columns is kept. Of what is
     stored only the folders between the first and the last new date are read.
+    With `retrieved_at` the rows carry the time of this run.
     """
     spark = snapshot.sparkSession
+    if retrieved_at is not None:
+        snapshot = snapshot.withColumn("retrieved_at", moment(retrieved_at))
     new = settle(first_per_key(snapshot, SNAPSHOT_KEY, by_all_columns(snapshot, SNAPSHOT_KEY)))
     if path_exists(spark, path):
         schema = ", ".join(f"`{name}` {kind}" for name, kind in snapshot.dtypes)
