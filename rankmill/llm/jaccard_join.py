@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rankmill.llm.components import components
 from rankmill.llm.trie_join import linked_pairs
-from rankmill.llm.words import LOWER, SPACE_WORDS, bounds, hashes, mix, pieces
+from rankmill.llm.words import LOWER, SPACE_WORDS, bounds, hashes, mix, pieces, release
 from rankmill.session import settle
 
 SHINGLE, PERCENT = 5, 80
@@ -220,6 +220,8 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
             part = rows[a : a + 100_000]
             columns = [pa.array(part["token"].copy().view(np.int64)), pa.array(part["set"].copy())]
             yield pa.RecordBatch.from_arrays(columns, schema=plain)
+        del rows, parts
+        release()
 
     met = (
         sets.where("n_shingles > 0")
@@ -313,6 +315,7 @@ def links(parts: DataFrame, percent: int) -> DataFrame:
                 break
             label = after
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label]), pa.array(n_links)], schema=schema)
+        release()
 
     return parts.groupBy("part").applyInArrow(run, LINKS)
 

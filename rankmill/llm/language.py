@@ -25,8 +25,8 @@ SWITCH = 12.0
 OPENING = 0.1  # words share of a language that opens an article and names it
 FLOOR = -6.0  # the least a word can count against a language
 UNKNOWN = "und"
-SCORED_BYTES = 2 << 20
-PATH_WORDS = 1_500_000
+SCORED_BYTES = 1 << 20
+LABELLED_BYTES = 4 << 20
 
 #: Unicode ranges of scripts by the lead bytes of UTF-8: last lead byte, script; 0 is no letter
 SCRIPT_RANGES = (
@@ -238,7 +238,7 @@ def label_batch(model: Model, batch: pa.RecordBatch, switch: float, spans: bool)
         none = [pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([[] if spans else None] * n, type=SPAN)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *none], schema=LABELS)
         return
-    for first, data, offsets in pieces(batch.column(1), 8 << 20):
+    for first, data, offsets in pieces(batch.column(1), LABELLED_BYTES):
         n = len(offsets) - 1
         best, share, n_words, path, of_text = article_languages(model, data, offsets, switch)
         ascii = np.concatenate([[0], np.cumsum((LOWER[data] >= 0x61) & (LOWER[data] <= 0x7A))])[offsets]

@@ -243,7 +243,7 @@ def count_words(articles: DataFrame) -> DataFrame:
             for _, data, offsets in pieces(batch.column(0)):
                 tokens = Tokens.of(data, offsets)
                 held.append(_counted(tokens))
-                if len(held) >= 8:
+                if len(held) >= 32:
                     held[:] = [added()]
                     if len(held[0][0]) > 2_000_000:  # memory stays bounded, the sum goes on behind the shuffle
                         yield from rows()

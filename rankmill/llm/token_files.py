@@ -186,7 +186,9 @@ class Encoder:
         keys, first, inverse = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self._forget()
-        new = ~np.isin(keys, self.known, assume_unique=True)
+        at = np.searchsorted(self.known, keys)
+        new = np.append(self.known, np.uint64(0))[at] != keys
+        new[at == len(self.known)] = True
         if new.any():
             raw, places = data.tobytes(), first[new]
             self._learn(keys[new], [raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())])
@@ -236,7 +238,7 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def write_token_files(
-    articles: DataFrame, tokenizer_file: str, *, end_id: int = END_ID, file_rows: int = 8000
+    articles: DataFrame, tokenizer_file: str, *, end_id: int = END_ID, file_rows: int = 4000
 ) -> DataFrame:
     """Encodes every article and writes the files into the shared folder.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CELLS = 32 << 20  # bytes of the membership table at a time
+CELLS = 16 << 20  # bytes of the membership table at a time
 
 
 class Trie:
@@ -16,7 +16,7 @@ class Trie:
     """
 
     def __init__(self, sequences: list[np.ndarray], sizes: np.ndarray):
-        order = sorted(range(len(sequences)), key=lambda i: sequences[i].tolist())
+        order = sorted(range(len(sequences)), key=lambda i: sequences[i].astype(">i8").tobytes())
         self.run: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
         self.ends: list[list[int]] = [[]]
         self.children: list[list[int]] = [[]]
