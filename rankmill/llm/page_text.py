@@ -157,7 +157,7 @@ def parse(page: str | None) -> Element:
             if stack[k].tag in closed:
                 close(k)
         if len(stack) < DEEPEST:
-            element = _element(tag, attributes, any(e.tag == "article" for e in stack))
+            element = _element(tag, attributes, any(e.tag in ("article", "main") for e in stack))
             if tag in ("article", "main") and not element.dropped and not any(e.tag == "article" for e in stack):
                 for e in stack:
                     e.dropped &= not e.frame
@@ -286,8 +286,8 @@ def _weight(element: Element, wrapper: Wrapper | None, pages: int) -> int:
 
 
 def _densest(element: Element, wrapper: Wrapper | None, pages: int) -> tuple[Element, Wrapper | None]:
-    """Down from an element to the smallest one that still holds most of its text in slots."""
-    while True:
+    """Down from an element to the smallest one that still holds most of its text in slots, but not past a heading."""
+    while not any(isinstance(k, Element) and k.tag in ("h1", "h2") for k in element.kids):
         whole = _weight(element, wrapper, pages)
         kids = [k for k in element.kids if isinstance(k, Element) and not k.dropped]
         best = max(kids, key=lambda k: _weight(k, wrapper.kids.get(k.sign) if wrapper is not None else None, pages), default=None)
@@ -297,6 +297,7 @@ def _densest(element: Element, wrapper: Wrapper | None, pages: int) -> tuple[Ele
         if best.tag in ("p", "li", "td", "h1", "h2", "blockquote") or _weight(best, sub, pages) * 10 < whole * 7:
             return element, wrapper
         element, wrapper = best, sub
+    return element, wrapper
 
 
 def main_text(root: Element, wrapper: Wrapper | None) -> str:

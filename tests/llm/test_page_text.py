@@ -52,6 +52,13 @@ def test_a_form_around_the_page_keeps_the_article():
     assert text_of(page) == ["text"]
 
 
+def test_headings_stay_with_their_text():
+    words = " ".join(f"w{k}" for k in range(80))
+    page = f"<body><header>Top</header><div class=c><div><h1>Head</h1><div class=b><p>{words}</p></div></div></div><div>x</div></body>"
+    assert text_of(page) == [f"Head\n{words}"]
+    assert text_of("<main><header><h1>Head</h1></header><p>text</p></main><footer>x</footer>") == ["Head\ntext"]
+
+
 def test_copies_keep_their_text():
     assert text_of(*["<article><p>same</p></article>"] * 9) == ["same"] * 9
 
