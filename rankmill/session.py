@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -65,18 +66,24 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
-_open_scopes: list[list[str]] = []
+_scopes = threading.local()  # micro-batches of several streams run in threads of their own
+
+
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    return _scopes.open
 
 
 @contextmanager
 def settled_scope(spark: SparkSession):
     """Tables settled inside are removed at the end: for jobs that have written their results by then."""
     paths: list[str] = []
-    _open_scopes.append(paths)
+    _open_scopes().append(paths)
     try:
         yield
     finally:
-        _open_scopes.remove(paths)
+        _open_scopes().pop()
         for path in paths:
             remove(spark, path)
 
@@ -92,7 +99,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, "settled")
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    if _open_scopes():
+        _open_scopes()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
