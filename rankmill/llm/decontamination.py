@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.llm.sharing import opened, share
 from rankmill.llm.words import ALNUM_WORDS, LOWER, bounds, hashes, pieces
 
 WINDOW = 13
@@ -244,7 +245,7 @@ def benchmark_hits(articles: DataFrame, items: DataFrame, *, window: int = WINDO
 
     def scanner(shared):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
+            automaton = opened(shared)
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 old = [batch.column(3), batch.column(4)] if batch.num_columns > 2 else None
@@ -268,7 +269,7 @@ def benchmark_hits(articles: DataFrame, items: DataFrame, *, window: int = WINDO
 
     found = articles.select(F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content"))
     for block in item_blocks(items, window, block_words):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
+        shared = share(spark.sparkContext, Automaton(block, window))
         found = found.mapInArrow(scanner(shared), spark_schema)
     return found.drop("content")
 
@@ -289,14 +290,15 @@ def clean_articles(rows: DataFrame, content: str, items: DataFrame, *, window: i
     A task holds the automata of all blocks, about 100 bytes for each word of the benchmark.
     """
     context = rows.sparkSession.sparkContext
-    blocks = [context.broadcast(Automaton(block, window)) for block in item_blocks(items, window, BLOCK_WORDS)]
+    blocks = [share(context, Automaton(block, window)) for block in item_blocks(items, window, BLOCK_WORDS)]
     place = rows.columns.index(content)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = [opened(block) for block in blocks]
         for batch in batches:
             clean = np.ones(batch.num_rows, dtype=bool)
             for first, data, offsets in pieces(batch.column(place)):
-                found = [block.value.scan(data, offsets) for block in blocks]
+                found = [automaton.scan(data, offsets) for automaton in automata]
                 for i, n_words in enumerate(found[0][0]):
                     hit = sum(b - a for a, b in united([s for _, spans, _ in found for s in spans[i]]))
                     clean[first + i] = not (hit > 0 and hit * 100 >= n_words * percent)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.llm.sharing import opened, share
 from rankmill.llm.words import LOWER, bounds, byte_table, hashes, pieces
 
 BUCKETS = 1 << 16
@@ -272,11 +273,12 @@ def label_articles(articles: DataFrame, model: Model, *, switch: float = SWITCH,
     Repeated rows stay; an empty table gives an empty result. Row by row: nothing
     is shuffled, memory is bounded by the longest article.
     """
-    shared = articles.sparkSession.sparkContext.broadcast(model)
+    shared = share(articles.sparkSession.sparkContext, model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(shared)
         for batch in batches:
-            yield from label_batch(shared.value, batch, switch, spans)
+            yield from label_batch(model, batch, switch, spans)
 
     rows = articles.select(F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content"))
     out = rows.mapInArrow(label, "id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
@@ -285,13 +287,14 @@ def label_articles(articles: DataFrame, model: Model, *, switch: float = SWITCH,
 
 def known_articles(rows: DataFrame, content: str, model: Model) -> DataFrame:
     """The rows whose content has a language; `und` goes. Keeps the given columns; nothing is shuffled."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = share(rows.sparkSession.sparkContext, model)
     place = rows.columns.index(content)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(shared)
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(place)], names=["id", "content"])
-            labels = [x for part in label_batch(shared.value, texts, SWITCH, False) for x in part.column(1).to_pylist()]
+            labels = [x for part in label_batch(model, texts, SWITCH, False) for x in part.column(1).to_pylist()]
             yield batch.filter(pa.array([x != UNKNOWN for x in labels], type=pa.bool_()))
 
     return rows.mapInArrow(keep, rows.schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.llm.sharing import opened, share
 from rankmill.llm.words import LOWER, SPACE_WORDS, bounds, hashes, mix, pieces
 from rankmill.session import settle
 
@@ -312,8 +313,8 @@ def train(model: LanguageModel, articles: DataFrame, *, rounds: int = ROUNDS) ->
 
     def learn(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = _own_copy(shared.value)
-            old, any_rows = shared.value.weights, False
+            model = opened(shared)
+            old, any_rows = opened(shared).weights, False
             for batch in batches:
                 for _, data, offsets in pieces(batch.column(0)):
                     tokens = Tokens.of(data, offsets)
@@ -341,7 +342,7 @@ def train(model: LanguageModel, articles: DataFrame, *, rounds: int = ROUNDS) ->
         yield pa.RecordBatch.from_pydict(row, schema=schema)
 
     for number in range(rounds):
-        shared = spark.sparkContext.broadcast(_slim(model))
+        shared = share(spark.sparkContext, _slim(model))
         mine = articles.where(F.pmod(F.col("part"), F.lit(rounds)) == number).select(F.col("content").cast("string").alias("content"))
         summed = mine.mapInArrow(learn(shared), columns).groupBy("name", "block").applyInArrow(add, columns)
         for row in summed.toLocalIterator():
@@ -352,12 +353,6 @@ def train(model: LanguageModel, articles: DataFrame, *, rounds: int = ROUNDS) ->
     return model
 
 
-def _own_copy(model: LanguageModel) -> LanguageModel:
-    w = model.weights
-    own = Weights(*[getattr(w, n).copy() for n in TABLES], {n: x.copy() for n, x in w.seen.items()})
-    return LanguageModel(**{**model.__dict__, "weights": own})
-
-
 def _slim(model: LanguageModel) -> LanguageModel:
     """Training looks up head words only."""
     head = model.head >= 0
@@ -378,7 +373,7 @@ def score_articles(articles: DataFrame, model: LanguageModel, counts: DataFrame)
     these has more than a TOP_WORDS-th of all tokens, so no key is hot.
     """
     spark = articles.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark.sparkContext, model)
     rare = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())]))
     schema = pa.schema(
         [("row", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
@@ -388,7 +383,7 @@ def score_articles(articles: DataFrame, model: LanguageModel, counts: DataFrame)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, row = shared.value, TaskContext.get().partitionId() << 40
+        model, row = opened(shared), TaskContext.get().partitionId() << 40
         logs = np.log10(model.top_counts + 1.0)
         for batch in batches:
             for first, data, offsets in pieces(batch.column(1)):

@@ -31,3 +31,18 @@ def test_the_library_does_not_import_the_package():
     root = Path(__file__).resolve().parents[2]
     code = "import sys, rankmill.catalog; sys.exit(any(m.startswith('rankmill.llm') for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """From another folder, so that Python workers can't import the package."""
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from rankmill.llm.queries import QUERIES
+from rankmill.session import build_session
+spark = build_session("local[2]", spark__sql__shuffle__partitions="2", spark__driver__memory="2g")
+for name in ("op3_language", "op7_language_model", "op9_decontamination"):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0
