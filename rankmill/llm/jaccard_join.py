@@ -41,9 +41,10 @@ PACK_ROWS = 400_000  # prefix shingles of a shuffle bucket
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of every text: text number, hash, length in bytes; ordered by text, then hash.
+    """Distinct shingles of every text: text number, hash, length of its words in bytes; ordered by text, then hash.
 
-    A text of fewer than n words has its whole sequence as one shingle.
+    A text of fewer than n words has its whole sequence as one shingle. White space
+    has no part in the length, so a shingle has one length in all texts.
     """
     data = LOWER[data]
     starts, ends, of_text = bounds(data, offsets, SPACE_WORDS)
@@ -60,7 +61,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
         word = np.where(inside, at + k, at)
         value = np.where(inside, mix(value + keys[word]), value)
         last = np.where(inside, word, last)
-    length = ends[last] - starts[at] if len(at) else at
+    letters = np.concatenate([[0], np.cumsum(ends - starts)])
+    length = letters[last + 1] - letters[at]
     order = np.lexsort((value, text))
     value, text, length = value[order], text[order], length[order]
     new = np.ones(len(value), dtype=bool)

@@ -110,6 +110,31 @@ def test_articles_match_brute_force(spark, shingle, percent, block_sets):
     assert found == sorted(brute(rows, shingle, percent), key=key)
 
 
+def respaced(rng, words):
+    """The words with other white space: indented lines, double spaces, aligned columns, one word a line."""
+    kind = rng.randrange(4)
+    if kind == 0:
+        return "\n".join(" " * 24 + " ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    if kind == 1:
+        return "".join(w + rng.choice([" ", "  ", "\t", "\r\n", "\n\n    "]) for w in words)
+    return " ".join(w.ljust(14) for w in words) if kind == 2 else "\n".join(" " * rng.randrange(30) + w for w in words)
+
+
+@pytest.mark.parametrize("shingle, percent", [(5, 90), (5, 80), (3, 90)])
+def test_white_space_does_not_part_copies(spark, shingle, percent):
+    rng = random.Random(shingle * percent)
+    rows = []
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+        copy = list(words)
+        for _ in range(3):
+            copy[rng.randrange(300)] = f"new{rng.random()}"
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, respaced(rng, copy))]
+    frame = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    got = join_articles(frame, shingle=shingle, percent=percent).collect()
+    assert sorted((r["id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == sorted(brute(rows, shingle, percent))
+
+
 def test_empty_and_unlinked(spark):
     frame = spark.createDataFrame([(1, "a b c d"), (2, "e f g h")], "id int, content string")
     assert join_articles(frame.limit(0)).count() == 0
