@@ -1,8 +1,9 @@
 """Secrets in log lines: fixed patterns, and windows of high Shannon entropy per character class.
 
-Candidates are runs of one class of characters. A window slides over each, its
-entropy kept by incremental counts; windows over the class's threshold are
-united into spans, unless the allow-list knows the candidate.
+Candidates are runs of one class of characters. What the allow-list knows is taken
+out of them, part by part: the rest of a run stays a candidate. A window slides over
+each, its entropy kept by incremental counts; windows over the class's threshold are
+united into spans.
 """
 
 from __future__ import annotations
@@ -30,14 +31,23 @@ CLASSES = {
     "hex": (DIGITS + b"abcdefABCDEF", 3.2),
     "base64": (DIGITS + UPPER + LOWER + b"+/_=-", 3.8),
 }
-#: candidates that look random and are no secrets
+#: what looks random and is no secret; a match takes out the parts of the run that it touches
 ALLOWED = (
     rb"(?i)example|sample|dummy|placeholder|xxxx|0123456789|123456789|abcdefgh|qwerty",
     rb"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",  # UUID
     rb"^[0-9TZ_:+-]+$",  # times and numbers
-    rb"(?i)^(sha(1|256|384|512)|md5)[-_=]",  # checksums that say so
-    rb"/.*/.*/",  # paths
+    # checksums that say so, no longer than they are
+    rb"(?i)^md5[-_=]([0-9a-f]{32}|[0-9a-z+/_-]{1,22}={0,2})",
+    rb"(?i)^sha1[-_=]([0-9a-f]{40}|[0-9a-z+/_-]{1,27}=?)",
+    rb"(?i)^sha256[-_=]([0-9a-f]{64}|[0-9a-z+/_-]{1,43}=?)",
+    rb"(?i)^sha384[-_=]([0-9a-f]{96}|[0-9a-z+/_-]{1,64})",
+    rb"(?i)^sha512[-_=]([0-9a-f]{128}|[0-9a-z+/_-]{1,86}={0,2})",
 )
+SEPARATORS = b"-_=/+"
+#: a part of a path: words and numbers, which random characters don't form
+NAME = rb"[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[0-9]*|[A-Z]+[0-9]*|[0-9]+"
+PLAIN = re.compile(rb"(?:(?:%s)?[-_=+])*(?:%s)?" % (NAME, NAME))
+PATH_SLASHES, LEAST_NAME = 3, 4
 
 
 def _table(values: bytes) -> np.ndarray:
@@ -77,6 +87,43 @@ def high_windows(text: bytes, threshold: float, window: int = WINDOW) -> list[tu
     return spans
 
 
+def path_ends(run: bytes) -> tuple[int, int]:
+    """What is left of a run with several slashes without the names of a path on both sides; nothing of a plain path.
+
+    Shorter names than LEAST_NAME are only left out with the whole path, as random runs have some.
+    """
+    if run.count(b"/") < PATH_SLASHES:
+        return 0, len(run)
+    parts = run.split(b"/")
+    plain = [PLAIN.fullmatch(p) is not None for p in parts]
+    if all(plain):
+        return 0, 0
+    named = [ok and (not p or len(p) >= LEAST_NAME) for p, ok in zip(parts, plain)]
+    first, last = named.index(False), len(named) - named[::-1].index(False)
+    start = sum(len(p) + 1 for p in parts[:first])
+    return start, len(run) - sum(len(p) + 1 for p in parts[last:])
+
+
+def candidate_parts(run: bytes, allowed: list[re.Pattern]) -> Iterator[tuple[int, int]]:
+    """The pieces of a run that neither a path nor the allow-list takes out."""
+    low, high = path_ends(run)
+    known = []
+    for pattern in allowed:
+        for m in pattern.finditer(run):
+            a, b = m.span()
+            while a > 0 and run[a - 1] not in SEPARATORS:
+                a -= 1
+            while b < len(run) and run[b] not in SEPARATORS:
+                b += 1
+            known.append((a, b))
+    for a, b in sorted(known):
+        if low < min(a, high):
+            yield low, min(a, high)
+        low = max(low, b)
+    if low < high:
+        yield low, high
+
+
 class Scanner:
     def __init__(self, allowed: tuple[bytes, ...] = ALLOWED, classes: dict[str, tuple[bytes, float]] = CLASSES):
         self.allowed = [re.compile(p) for p in allowed]
@@ -109,11 +156,13 @@ class Scanner:
         for name, (_, threshold) in self.classes.items():
             for a, b, text in runs(CLASS_TABLES[name], WINDOW):
                 run = raw[a:b]
-                if run.isalpha() or any(p.search(run) for p in self.allowed):
+                if run.isalpha():
                     continue
-                for x, y in high_windows(run, threshold):
-                    if not any(s <= a + x and a + y <= e for s, _, e in base[text]):
-                        found[text].append((a + x, 3, a + y))
+                for low, high in candidate_parts(run, self.allowed):
+                    for x, y in high_windows(run[low:high], threshold) if high - low >= WINDOW else ():
+                        x, y = a + low + x, a + low + y
+                        if not any(s <= x and y <= e for s, _, e in base[text]):
+                            found[text].append((x, 3, y))
         points = code_points(data)
         for text, spans in enumerate(found):
             zero = points[offsets[text]]

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -61,6 +62,31 @@ def test_random_strings_are_found_and_plain_ones_are_not():
     assert not [x for found in scanned(calm) for x in found if x[1] == 3]
 
 
+def test_allowed_parts_do_not_hide_the_rest():
+    rng = random.Random(4)
+
+    def missed(texts):
+        return [t for t, found in zip(texts, scanned(texts)) if not any(s[1] == 3 for s in found)]
+
+    for size in (30, 48, 64):
+        keys = [base64.b64encode(rng.randbytes(size)).decode().rstrip("=") for _ in range(3000)]
+        with_slashes = [k for k in keys if k.count("/") >= 3]
+        calm = [k for k in with_slashes if not high_windows(k.encode(), 3.8)]  # too few digits, whatever its slashes
+        assert len(with_slashes) > 30 and missed(with_slashes) == calm and len(calm) < len(with_slashes) // 5
+        key = next(k for k in keys if k.isalnum()) if size == 30 else "q7Zp0LmX2vB9kR4tY8sN1wC6hD3j"
+        sha = "sha256-" + base64.b64encode(rng.randbytes(32)).decode().replace("/", "a")
+        for joined in (f"example-{key}", f"sample_{key}", f"{key}=dummy", f"xxxx/{key}/abcdefgh", f"/services/T0AB12CD/B0XY34ZW/{key}",
+                       f"/srv/www/hooks/{key}", f"{sha}/{key}"):
+            at = joined.index(key)
+            alone, found = scanned([key, joined])
+            assert alone, key
+            for a, _, b in alone:  # what the key shows alone is found next to anything
+                assert any(s[1] == 3 and s[0] <= at + a and at + b <= s[2] for s in found), joined
+    calm = ["/usr/local/lib/python3/site-packages/numpy", "src/main/java/org/MyClass2/v10/build_2024-01/x86_64", sha,
+            "my-example1234567890abcdefXYZ/q9", "/home/user1/Documents/2024/12/31/report_v2/a1b2"]
+    assert missed(calm) == calm
+
+
 def test_log_lines(spark):
     key = "q7Zp0LmX2vB9kR4tY8sN1wC6"
     rows = [(1, f"é password = '{key}'", 3), (1, f"é password = '{key}'", 3), (2, None, 3), (None, "", 3), (4, f"x {key}", 3)]
