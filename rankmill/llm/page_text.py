@@ -11,7 +11,7 @@ and it can be inferred from partial wrappers in any grouping.
 
 The wrapper tells template from text: what stands at one place on every page of a
 list is the template's. The article's region is found by its element, or, where a
-page has none, as the place with most text in slots.
+page has none, as the place with most text in slots, from the first to the last of them.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ HOLD_OTHERS = set(
 )
 KEPT_TAGS = {"html", "body", "article", "main"}
 DEEPEST = 150  # elements nested deeper belong to the one above
-LEAST_PAGES = 5  # pages a list needs before its wrapper names template texts inside an article
+LEAST_PAGES = 5  # pages a list needs before its wrapper names template texts where no element names the article
 
 
 class Element:
@@ -301,15 +301,21 @@ def _densest(element: Element, wrapper: Wrapper | None, pages: int) -> tuple[Ele
 
 
 def main_text(root: Element, wrapper: Wrapper | None) -> str:
-    """The article's blocks, joined by line ends."""
+    """The article's blocks, joined by line ends.
+
+    Nothing inside an article or main element is dropped because other pages repeat
+    it. Without one, the region goes from the first to the last text in a slot.
+    """
     pages = wrapper.n if wrapper is not None else 0
     found = list(_regions(root, wrapper, ("article",))) or list(_regions(root, wrapper, ("main",)))
+    tagged = bool(found)
     if not found:
         found = [_densest(root, wrapper, pages)]
     blocks = [b for element, sub in found for b in _blocks(element, sub, pages)]
-    if all(fixed for _, fixed in blocks):  # a list of copies of one page has no other text
-        return "\n".join(text for text, _ in blocks)
-    return "\n".join(text for text, fixed in blocks if not fixed)
+    slots = [i for i, (_, fixed) in enumerate(blocks) if not fixed]
+    if slots and not tagged:  # a list of copies of one page has no slots
+        blocks = blocks[slots[0] : slots[-1] + 1]
+    return "\n".join(text for text, _ in blocks)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:

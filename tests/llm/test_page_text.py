@@ -63,6 +63,19 @@ def test_copies_keep_their_text():
     assert text_of(*["<article><p>same</p></article>"] * 9) == ["same"] * 9
 
 
+@pytest.mark.parametrize("n", [4, 5, 9])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_what_all_articles_say_stays(n, tag):
+    pages = [f"<body><p>Site</p><{tag}><p>same</p><p>own {i}</p><h2>Conclusion</h2><p>shared</p></{tag}></body>" for i in range(n)]
+    assert text_of(*pages) == [f"same\nown {i}\nConclusion\nshared" for i in range(n)]
+
+
+def test_a_region_without_an_article_keeps_shared_texts_between_its_own():
+    words = " ".join(f"w{k}" for k in range(60))
+    pages = [f"<div><p>Site</p><p>{i} {words}</p><h3>Conclusion</h3><p>shared</p><p>end {i}</p><p>Us</p></div>" for i in range(6)]
+    assert text_of(*pages)[3] == f"3 {words}\nConclusion\nshared\nend 3"
+
+
 def random_page(rng):
     def part(depth):
         tag = rng.choice(["div", "p", "ul", "section"])
