@@ -20,6 +20,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,7 +64,6 @@ HOLD_OTHERS = set(
     "sponsored promoted ad ads advert adverts".split()
 )
 KEPT_TAGS = {"html", "body", "article", "main"}
-DEEPEST = 150  # elements nested deeper belong to the one above
 LEAST_PAGES = 5  # pages a list needs before its wrapper names template texts where no element names the article
 
 
@@ -94,10 +94,11 @@ def _element(tag: str, attributes: str, inside_article: bool) -> Element:
 
 
 def parse(page: str | None) -> Element:
-    """The page as a tree of block elements; inline elements leave no trace but their text."""
+    """The page as a tree of block elements, of any depth; inline elements leave no trace but their text."""
     page = page or ""
     root = Element("", "", False)
     stack, text, at = [root], [], 0
+    opened: Counter[str] = Counter()  # open elements by tag
 
     def flush() -> None:
         block = " ".join(html.unescape("".join(text)).split())
@@ -107,6 +108,7 @@ def parse(page: str | None) -> Element:
 
     def close(k: int) -> None:
         flush()
+        opened.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
     while at < len(page):
@@ -130,7 +132,7 @@ def parse(page: str | None) -> Element:
             if tag in ("br", "hr"):
                 text.append(" ")
                 continue
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if opened[tag] else 0
             if k:
                 close(k)
             else:
@@ -151,18 +153,18 @@ def parse(page: str | None) -> Element:
         closed, limit = CLOSES.get(tag, ((), ()))
         if stack[-1].tag == "p" and tag not in closed:
             close(len(stack) - 1)
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in closed) else ():
             if stack[k].tag in limit:
                 break
             if stack[k].tag in closed:
                 close(k)
-        if len(stack) < DEEPEST:
-            element = _element(tag, attributes, any(e.tag in ("article", "main") for e in stack))
-            if tag in ("article", "main") and not element.dropped and not any(e.tag == "article" for e in stack):
-                for e in stack:
-                    e.dropped &= not e.frame
-            stack[-1].kids.append(element)
-            stack.append(element)
+        element = _element(tag, attributes, bool(opened["article"] or opened["main"]))
+        if tag in ("article", "main") and not element.dropped and not opened["article"]:
+            for e in stack:
+                e.dropped &= not e.frame
+        stack[-1].kids.append(element)
+        stack.append(element)
+        opened[tag] += 1
     flush()
     return root
 
@@ -189,19 +191,24 @@ class Wrapper:
 
     @staticmethod
     def of_page(element: Element) -> Wrapper:
-        w = Wrapper(1, texts={text_mark(k) for k in element.kids if isinstance(k, str)})
-        signs = []
-        for kid in element.kids:
-            if isinstance(kid, Element):
-                signs.append(kid.sign)
-                sub = Wrapper.of_page(kid)
-                if kid.sign in w.kids:
-                    w.kids[kid.sign].join(sub, same_page=True)
-                    w.kids[kid.sign].repeated = True
-                else:
-                    w.kids[kid.sign] = sub
-        w.follow(signs)
-        return w
+        below = [element]  # parents before their children; no recursion, as a page may be nested to any depth
+        for e in below:
+            below += [k for k in e.kids if isinstance(k, Element)]
+        made: dict[int, Wrapper] = {}
+        for e in reversed(below):
+            w = made[id(e)] = Wrapper(1, texts={text_mark(k) for k in e.kids if isinstance(k, str)})
+            signs = []
+            for kid in e.kids:
+                if isinstance(kid, Element):
+                    signs.append(kid.sign)
+                    sub = made.pop(id(kid))
+                    if kid.sign in w.kids:
+                        w.kids[kid.sign].join(sub, same_page=True)
+                        w.kids[kid.sign].repeated = True
+                    else:
+                        w.kids[kid.sign] = sub
+            w.follow(signs)
+        return made[id(element)]
 
     def follow(self, signs: list[str]) -> None:
         """Aligns the order of items with one more sequence of children."""
@@ -220,26 +227,41 @@ class Wrapper:
 
     def join(self, other: Wrapper, same_page: bool = False) -> Wrapper:
         """Takes in the expression of other pages, or of another sibling of this page."""
-        if same_page:
-            self.texts |= other.texts
-        else:
-            self.texts = self.texts & other.texts if self.n and other.n else self.texts | other.texts
-            self.n += other.n
-        self.repeated |= other.repeated
-        self.follow([s for group in other.order for s in (group * 2 if len(group) > 1 else group)])
-        for sign, kid in other.kids.items():
-            if sign in self.kids:
-                self.kids[sign].join(kid, same_page)
+        pairs = [(self, other)]
+        while pairs:
+            one, two = pairs.pop()
+            if same_page:
+                one.texts |= two.texts
             else:
-                self.kids[sign] = kid
+                one.texts = one.texts & two.texts if one.n and two.n else one.texts | two.texts
+                one.n += two.n
+            one.repeated |= two.repeated
+            one.follow([s for group in two.order for s in (group * 2 if len(group) > 1 else group)])
+            for sign, kid in two.kids.items():
+                if sign in one.kids:
+                    pairs.append((one.kids[sign], kid))
+                else:
+                    one.kids[sign] = kid
         return self
 
+    def _all(self) -> list[Wrapper]:
+        """This one and all below it, parents before their children, level by level."""
+        below = [self]
+        for w in below:
+            below += [w.kids[s] for s in sorted(w.kids)]
+        return below
+
     def plain(self) -> list:
-        return [self.n, int(self.repeated), self.order, sorted(self.texts), {s: k.plain() for s, k in sorted(self.kids.items())}]
+        """A flat list: all wrappers as in _all, each with the signs of its children."""
+        return [[w.n, int(w.repeated), w.order, sorted(w.texts), sorted(w.kids)] for w in self._all()]
 
     @staticmethod
     def of_plain(x: list) -> Wrapper:
-        return Wrapper(x[0], bool(x[1]), x[2], {s: Wrapper.of_plain(k) for s, k in x[4].items()}, set(x[3]))
+        made = [Wrapper(n, bool(repeated), order, texts=set(texts)) for n, repeated, order, texts, _ in x]
+        rest = iter(made[1:])
+        for w, row in zip(made, x):
+            w.kids = {sign: next(rest) for sign in row[4]}
+        return made[0]
 
     def dumps(self) -> str:
         return json.dumps(self.plain(), separators=(",", ":"))
@@ -250,53 +272,79 @@ class Wrapper:
 
     def expression(self) -> str:
         """The regular expression in words, for people: `?` optional, `+` repeated, `#` a slot."""
-        items = []
-        for group in self.order:
-            inner = " ".join(
-                f"<{s}>{self.kids[s].expression()}</{s}>" + ("+" if self.kids[s].repeated else "") + ("?" if self.kids[s].n < self.n else "")
-                for s in group
-            )
-            items.append(f"({inner})+" if len(group) > 1 else inner)
-        return " ".join(["#", *items])
+        known: dict[int, str] = {}
+        for w in reversed(self._all()):
+            items = []
+            for group in w.order:
+                inner = " ".join(
+                    f"<{s}>{known.pop(id(w.kids[s]))}</{s}>" + ("+" if w.kids[s].repeated else "") + ("?" if w.kids[s].n < w.n else "")
+                    for s in group
+                )
+                items.append(f"({inner})+" if len(group) > 1 else inner)
+            known[id(w)] = " ".join(["#", *items])
+        return known[id(self)]
+
+
+def _sub(wrapper: Wrapper | None, kid: Element) -> Wrapper | None:
+    return wrapper.kids.get(kid.sign) if wrapper is not None else None
+
+
+def _fixed(wrapper: Wrapper | None, pages: int) -> set[int]:
+    """Marks of the texts that the template has directly in an element."""
+    return wrapper.texts if wrapper is not None and pages >= LEAST_PAGES and wrapper.n == pages else set()
 
 
 def _blocks(element: Element, wrapper: Wrapper | None, pages: int) -> Iterator[tuple[str, bool]]:
     """Texts in order, without dropped elements, and whether the template has them."""
-    fixed = wrapper.texts if wrapper is not None and pages >= LEAST_PAGES and wrapper.n == pages else ()
-    for kid in element.kids:
-        if isinstance(kid, str):
-            yield kid, bool(fixed) and text_mark(kid) in fixed
-        elif not kid.dropped:
-            yield from _blocks(kid, wrapper.kids.get(kid.sign) if wrapper is not None else None, pages)
+    todo = [(iter(element.kids), wrapper, _fixed(wrapper, pages))]
+    while todo:
+        kids, wrapper, fixed = todo[-1]
+        for kid in kids:
+            if isinstance(kid, str):
+                yield kid, bool(fixed) and text_mark(kid) in fixed
+            elif not kid.dropped:
+                sub = _sub(wrapper, kid)
+                todo.append((iter(kid.kids), sub, _fixed(sub, pages)))
+                break
+        else:
+            todo.pop()
 
 
 def _regions(element: Element, wrapper: Wrapper | None, tags: tuple[str, ...]) -> Iterator[tuple[Element, Wrapper | None]]:
     """Outermost elements with one of the tags that nothing dropped surrounds."""
-    for kid in element.kids:
-        if isinstance(kid, Element) and not kid.dropped:
-            sub = wrapper.kids.get(kid.sign) if wrapper is not None else None
-            if kid.tag in tags:
-                yield kid, sub
-            else:
-                yield from _regions(kid, sub, tags)
+    todo = [(element, wrapper)]
+    while todo:
+        element, wrapper = todo.pop()
+        if element.tag in tags:
+            yield element, wrapper
+        else:
+            kids = [k for k in element.kids if isinstance(k, Element) and not k.dropped]
+            todo += [(k, _sub(wrapper, k)) for k in reversed(kids)]
 
 
-def _weight(element: Element, wrapper: Wrapper | None, pages: int) -> int:
-    return sum(len(text) for text, fixed in _blocks(element, wrapper, pages) if not fixed)
+def _weights(element: Element, wrapper: Wrapper | None, pages: int) -> dict[int, int]:
+    """Length of the text in slots of every element that isn't dropped, by its id()."""
+    below, weights = [(element, wrapper)], {}
+    for e, w in below:
+        below += [(k, _sub(w, k)) for k in e.kids if isinstance(k, Element) and not k.dropped]
+    for e, w in reversed(below):
+        fixed = _fixed(w, pages)
+        own = sum(len(k) for k in e.kids if isinstance(k, str) and not (fixed and text_mark(k) in fixed))
+        weights[id(e)] = own + sum(weights[id(k)] for k in e.kids if isinstance(k, Element) and not k.dropped)
+    return weights
 
 
 def _densest(element: Element, wrapper: Wrapper | None, pages: int) -> tuple[Element, Wrapper | None]:
     """Down from an element to the smallest one that still holds most of its text in slots, but not past a heading."""
+    weights = _weights(element, wrapper, pages)
     while not any(isinstance(k, Element) and k.tag in ("h1", "h2") for k in element.kids):
-        whole = _weight(element, wrapper, pages)
         kids = [k for k in element.kids if isinstance(k, Element) and not k.dropped]
-        best = max(kids, key=lambda k: _weight(k, wrapper.kids.get(k.sign) if wrapper is not None else None, pages), default=None)
+        best = max(kids, key=lambda k: weights[id(k)], default=None)
         if best is None:
             return element, wrapper
-        sub = wrapper.kids.get(best.sign) if wrapper is not None else None
-        if best.tag in ("p", "li", "td", "h1", "h2", "blockquote") or _weight(best, sub, pages) * 10 < whole * 7:
+        if best.tag in ("p", "li", "td", "h1", "h2", "blockquote") or weights[id(best)] * 10 < weights[id(element)] * 7:
             return element, wrapper
-        element, wrapper = best, sub
+        element, wrapper = best, _sub(wrapper, best)
     return element, wrapper
 
 

@@ -35,6 +35,19 @@ def test_deep_and_cut_pages():
     assert text_of("<article><p>one</p><p>two <b", '<article><p>x</p><p class="y') == ["one\ntwo", "x"]
 
 
+def test_deep_elements_are_seen():
+    deep = "<div>" * 200
+    inside = f"<article><p>one</p>{deep}<section><nav>menu</nav><div>two</div></section>{'</div>' * 200}<p>three</p></article><p>no</p>"
+    assert text_of(f"<body>{inside}</body>", f"<body>{deep}<aside>x</aside>{inside}") == ["one\ntwo\nthree"] * 2
+    assert text_of(f"<article>{deep}<article>two</article><p>three</p></article>") == ["two\nthree"]
+    pages = [f"<p>Site</p>{'<div>' * 3000}<h3>{i}</h3><p>own {i}</p>" for i in range(6)]
+    wrapper = Wrapper()
+    for page in pages:
+        wrapper.join(Wrapper.of_page(parse(page)))
+    assert Wrapper.loads(wrapper.dumps()).dumps() == wrapper.dumps()
+    assert main_text(parse(pages[4]), Wrapper.loads(wrapper.dumps())) == "4\nown 4"
+
+
 def test_pages_without_an_article_go_by_the_wrapper():
     def page(i):
         words = " ".join(f"w{i}x{k}" for k in range(60))
