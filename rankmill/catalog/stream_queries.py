@@ -16,7 +16,7 @@ SLICED_BY = {"orders": "o_orderdate", "events": "ts", "pages": "page_id"}
 
 
 def stream_of(i, name: str):
-    """The table as a stream of SLICES files in the order of its time, one file per micro-batch."""
+    """The table as a stream of SLICES files in the order of its time, one file per micro-batch; rows without a time come first."""
     column, rows = SLICED_BY[name], i.table(name)
     low, high = rows.agg(F.min(column), F.max(column)).first()
     root = work_path(i.spark, f"slices-{name}")
@@ -26,7 +26,8 @@ def stream_of(i, name: str):
         if k:
             part = part.filter(F.col(column) > F.lit(cuts[k - 1]))
         if k < len(cuts):
-            part = part.filter(F.col(column) <= F.lit(cuts[k]))
+            inside = F.col(column) <= F.lit(cuts[k])
+            part = part.filter(inside if k else inside | F.col(column).isNull())
         part.coalesce(1).write.parquet(f"{root}/{k}")
     reader = i.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
     return reader.parquet(f"{root}/*")

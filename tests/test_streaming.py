@@ -1,10 +1,12 @@
 """Streams over several micro-batches, with late rows and restarts."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 
 from rankmill import views
+from rankmill.catalog import stream_queries
 from rankmill.operators import mutations
 from rankmill.session import work_path
 from rankmill.streaming import aggregates, runner, stateful
@@ -219,3 +221,11 @@ def test_stream_settings_are_put_back(spark):
         assert spark.conf.get(key) == before  # the session's value, whatever the cluster's size is now
         assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert spark.conf.get(key) == before
+
+
+def test_rows_without_a_time_reach_the_streams(spark):
+    rows = [(None, "none"), *((k, f"page {k}") for k in range(1, 10)), (None, "none either")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    stream = stream_queries.stream_of(SimpleNamespace(spark=spark, table=lambda name: pages), "pages")
+    got = runner.collect_append(stream, "without_a_time").collect()
+    assert sorted((r["page_id"] or 0, r["html"]) for r in got) == sorted((k or 0, html) for k, html in rows)
