@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankmill.llm import byte_pair_queries as byte_pairs
 from rankmill.llm import decontamination_queries as decontamination
 from rankmill.llm import jaccard_queries as jaccard
 from rankmill.llm import language_model_queries as language_model
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_url_lists": native.op8_url_lists,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality_rules": repetition.op10_quality_rules,
+    "op12_byte_pairs": byte_pairs.op12_byte_pairs,
 }
 
 ORACLES = {
