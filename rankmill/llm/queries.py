@@ -11,6 +11,7 @@ from rankmill.llm import native_queries as native
 from rankmill.llm import page_queries as pages
 from rankmill.llm import repetition_queries as repetition
 from rankmill.llm import secret_queries as secrets
+from rankmill.llm import spelling_queries as spelling
 from rankmill.llm import token_queries as tokens
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality_rules": repetition.op10_quality_rules,
     "op12_byte_pairs": byte_pairs.op12_byte_pairs,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES = {
