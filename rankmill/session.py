@@ -88,7 +88,7 @@ def settled_scope(spark: SparkSession):
             remove(spark, path)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options) -> DataFrame:
     """Write an intermediate result once to the shared folder and go on from the files.
 
     Used where a result is read several times (an aggregate feeding several
@@ -101,5 +101,5 @@ def settle(df: DataFrame) -> DataFrame:
     path = work_path(spark, "settled")
     if _open_scopes():
         _open_scopes()[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
