@@ -9,6 +9,7 @@ from rankmill.llm import language_model_queries as language_model
 from rankmill.llm import language_queries as language
 from rankmill.llm import native_queries as native
 from rankmill.llm import page_queries as pages
+from rankmill.llm import phrase_queries as phrases
 from rankmill.llm import repetition_queries as repetition
 from rankmill.llm import secret_queries as secrets
 from rankmill.llm import spelling_queries as spelling
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_lists": native.op8_url_lists,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality_rules": repetition.op10_quality_rules,
+    "op11_phrases": phrases.op11_phrases,
     "op12_byte_pairs": byte_pairs.op12_byte_pairs,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
@@ -35,4 +37,5 @@ ORACLES = {
     "op8_url_lists": native.OP8_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_quality_rules": repetition.OP10_SQL,
+    "op11_phrases": phrases.OP11_SQL,
 }
