@@ -24,11 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.llm.key_filter import key_filter, passes
-from rankmill.llm.words import LOWER, bounds, byte_table, hashes, mix, pieces
+from rankmill.llm.words import LOWER, bounds, byte_table, hashes, mix, pieces, release
 from rankmill.session import settle
 
 LONGEST = 4  # words of a phrase
 SHARD_WORDS = 1 << 20
+PART_ROWS = 1 << 17  # occurrences that are extended together
 #: fixed values: what parts pieces, and what else parts words
 MARKS = b".,;:!?" + bytes(range(0x0A, 0x0E))
 IS_MARK = ~byte_table(MARKS)
@@ -91,9 +92,18 @@ class Intervals:
     def __init__(self, words: np.ndarray, low: tuple[np.ndarray, np.ndarray], count: np.ndarray):
         self.words, self.low, self.count = words, low, count
 
-    def take(self, wanted: np.ndarray) -> Intervals:
+    def take(self, wanted: np.ndarray | slice) -> Intervals:
         return Intervals(self.words[wanted], (self.low[0][wanted], self.low[1][wanted]), self.count[wanted])
 
+    def parts(self, rows: int) -> Iterator[Intervals]:
+        """Some phrases at a time, of about `rows` occurrences: extending takes room for each of them."""
+        upto = np.concatenate([[0], np.cumsum(self.count)])
+        first = 0
+        while first < len(self.count):
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] + rows, side="right")) - 1)
+            yield self.take(slice(first, last))
+            first = last
+
 
 class Index:
     """A bidirectional FM-index: before[0] is the transform of a shard's sequence, before[1] that of its reverse."""
@@ -105,10 +115,12 @@ class Index:
         self.row_of = []  # last-to-first
         self.inside = []  # rows with a word, not a border, before them
         for words in before:
-            rows = np.empty(len(words), dtype=np.int64)
-            rows[np.argsort(words, kind="stable")] = np.arange(len(words))
+            rows = np.empty(len(words), dtype=np.int32)
+            rows[np.argsort(words, kind="stable")] = np.arange(len(words), dtype=np.int32)
             self.row_of.append(rows)
-            self.inside.append(np.concatenate([[0], np.cumsum(words > 0)]))
+            inside = np.zeros(len(words) + 1, dtype=np.int32)
+            np.cumsum(words > 0, out=inside[1:])
+            self.inside.append(inside)
 
     def single(self, numbers: np.ndarray) -> Intervals:
         return Intervals(numbers[:, None], (self.first[numbers], self.first[numbers]), self.counts[numbers])
@@ -129,7 +141,7 @@ class Index:
         which = order[start]
         of, word = of[which], word[which]
         low = [None, None]
-        low[side] = self.row_of[side][row[which]]
+        low[side] = self.row_of[side][row[which]].astype(np.int64)
         low[1 - side] = phrases.low[1 - side][of] + start - upto[:-1][of]
         columns = [word[:, None], phrases.words[of]]
         longer = Intervals(np.concatenate(columns if side == 0 else columns[::-1], axis=1), tuple(low), many)
@@ -179,6 +191,8 @@ def shard_indexes(articles: DataFrame, *, shard_words: int = SHARD_WORDS) -> Dat
             "before": [transform(sequence, LONGEST).astype("<i4").tobytes()],
             "after": [transform(sequence[::-1].copy(), LONGEST).astype("<i4").tobytes()],
         }
+        del sequence
+        release()
         return pa.RecordBatch.from_pydict(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +257,8 @@ def phrase_counts(indexes: DataFrame, count: Callable[[np.ndarray, np.ndarray, I
                         columns = [pa.array([name]).take(pa.array(np.zeros(len(phrase), dtype=np.int8))), phrase]
                         columns += [pa.array(x[some].astype(np.int64)) for x in (found.count, left, right)]
                         yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                del index, before
+                release()
 
     found = indexes.select("list_key", "words", "before", "after").mapInArrow(run, COUNTS)
     return found.groupBy("list_key", "phrase").agg(*(F.sum(x).alias(x) for x in ("n", "n_left", "n_right")))
@@ -286,14 +302,12 @@ def frequent_phrases(indexes: DataFrame, least: int) -> tuple[DataFrame, DataFra
     words = settle(word_totals(indexes).where(often))
     word_bits = context.broadcast(_filter_of(words, 1))
 
-    def pairs_of(known: np.ndarray, name: np.ndarray, index: Index) -> Intervals:
+    def count_pairs(known: np.ndarray, name: np.ndarray, index: Index) -> Iterator[Intervals]:
         wanted = passes(word_bits.value, phrase_keys(name, [known]))
         wanted[0] = False
-        found = index.extend(index.single(np.flatnonzero(wanted)), 0)
-        return found.take(wanted[found.words[:, 0]])
-
-    def count_pairs(known: np.ndarray, name: np.ndarray, index: Index) -> Iterator[Intervals]:
-        yield pairs_of(known, name, index)
+        for some in index.single(np.flatnonzero(wanted)).parts(PART_ROWS):
+            found = index.extend(some, 0)
+            yield found.take(wanted[found.words[:, 0]])
 
     pairs = settle(phrase_counts(indexes, count_pairs).where(often))
     pair_bits = context.broadcast(_filter_of(pairs, 2))
@@ -303,9 +317,10 @@ def frequent_phrases(indexes: DataFrame, least: int) -> tuple[DataFrame, DataFra
             keys = phrase_keys(name, [known[found.words[:, k]], known[found.words[:, k + 1]]])
             return found.take(passes(pair_bits.value, keys))
 
-        triples = often_at(index.extend(often_at(pairs_of(known, name, index), 0), 0), 0)
-        yield triples
-        yield often_at(index.extend(triples, 1), 2)
+        for some in count_pairs(known, name, index):
+            triples = often_at(index.extend(often_at(some, 0), 0), 0)
+            yield triples
+            yield often_at(index.extend(triples, 1), 2)
 
     longer = settle(phrase_counts(indexes, count_longer).where(often))
     sized = F.size(F.split("phrase", " "))
