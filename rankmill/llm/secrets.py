@@ -9,7 +9,9 @@ united into spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -109,7 +111,10 @@ def candidate_parts(run: bytes, allowed: list[re.Pattern]) -> Iterator[tuple[int
     low, high = path_ends(run)
     known = []
     for pattern in allowed:
+        a = b = 0
         for m in pattern.finditer(run):
+            if a <= m.start() and m.end() <= b:
+                continue  # in the part that the one before has taken out
             a, b = m.span()
             while a > 0 and run[a - 1] not in SEPARATORS:
                 a -= 1
@@ -124,6 +129,19 @@ def candidate_parts(run: bytes, allowed: list[re.Pattern]) -> Iterator[tuple[int
         yield low, high
 
 
+class _Covered:
+    """Spans, sorted once: whether one of them holds another span is a look-up."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        spans = sorted(spans)
+        self.starts = [s for s, _, _ in spans]
+        self.furthest = list(accumulate((e for _, _, e in spans), max))
+
+    def hold(self, start: int, end: int) -> bool:
+        n = bisect_right(self.starts, start)
+        return n > 0 and self.furthest[n - 1] >= end
+
+
 class Scanner:
     def __init__(self, allowed: tuple[bytes, ...] = ALLOWED, classes: dict[str, tuple[bytes, float]] = CLASSES):
         self.allowed = [re.compile(p) for p in allowed]
@@ -152,7 +170,7 @@ class Scanner:
                 found[text].append((start, 1, b))
         for a, b, text in runs(HEX, HEX_CHARS):
             found[text].append((a, 2, b))
-        base = [list(x) for x in found]
+        fixed = [_Covered(x) for x in found]
         for name, (_, threshold) in self.classes.items():
             for a, b, text in runs(CLASS_TABLES[name], WINDOW):
                 run = raw[a:b]
@@ -161,7 +179,7 @@ class Scanner:
                 for low, high in candidate_parts(run, self.allowed):
                     for x, y in high_windows(run[low:high], threshold) if high - low >= WINDOW else ():
                         x, y = a + low + x, a + low + y
-                        if not any(s <= x and y <= e for s, _, e in base[text]):
+                        if not fixed[text].hold(x, y):
                             found[text].append((x, 3, y))
         points = code_points(data)
         for text, spans in enumerate(found):
