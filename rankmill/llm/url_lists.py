@@ -17,8 +17,12 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, ADDRESS, 2)
 
 
-def patterns_of(url: Column) -> Column:
-    """All (kind, pattern) that an address can be listed under: its host, the domains above it, its path prefixes."""
+def patterns_of(url: Column, labels_from: int = 1, labels_to: int | None = None, steps_to: int | None = None) -> Column:
+    """All (kind, pattern) that an address can be listed under: its host, the domains above it, its path prefixes.
+
+    Domains have from `labels_from` to `labels_to` labels and prefixes up to `steps_to` steps: what the lists have. So a
+    very long address makes no more than they can match.
+    """
     host = url_host(url)
     labels = F.split(host, r"\.")
     steps = F.filter(F.split(url_path(url), "/"), lambda s: s != "")
@@ -26,11 +30,16 @@ def patterns_of(url: Column) -> Column:
     def entry(kind: str, pattern: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"))
 
+    def upto(first: Column, last: Column) -> Column:
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    n = F.size(labels)
+    most = n if labels_to is None else F.least(n, F.lit(labels_to))
     domains = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: entry("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")),
+        F.reverse(upto(F.lit(labels_from), most)),
+        lambda k: entry("domain", F.array_join(F.slice(labels, n - k + 1, k), ".")),
     )
-    prefixes = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps))).otherwise(F.array().cast("array<int>"))
+    prefixes = upto(F.lit(1), F.size(steps) if steps_to is None else F.least(F.size(steps), F.lit(steps_to)))
     prefixes = F.transform(
         prefixes, lambda i: entry("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))
     )
@@ -63,7 +72,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, slot_days: int =
     decides: the longest pattern, then allow before block, then kind and list by
     name) and `blocked`. Without a rule nothing is blocked; so are null, empty or
     relative addresses and captures without a time. Repeated rows stay. Columns of
-    the captures with these names are replaced.
+    the captures with these names are replaced; any others may have any names.
 
     Both sides carry a time slot, so a capture only meets entries of its pattern
     that held in its slot. Verdicts are made once per distinct (url, fetched_at).
@@ -72,32 +81,34 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, slot_days: int =
         return F.floor(F.datediff(t, F.lit("1970-01-01").cast("date")) / slot_days).cast("int")
 
     spans = validity(entries)
-    seen = captures.select(F.col("url").alias("_url"), F.col("fetched_at").alias("_at")).distinct()
+    # the captures' own columns are in one struct, so names made here can't be theirs
+    given = [F.col(f"`{c}`") for c in captures.columns if c not in ("n_active", "rule", "blocked")]
+    rows = captures.select(F.struct(*given).alias("given"), F.col("url").alias("url"), F.col("fetched_at").alias("at"))
+    seen = rows.select("url", "at").distinct()
+    labels = F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))
+    steps = F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1)
+    labels_from, labels_to, steps_to = spans.agg(F.min(labels), F.max(labels), F.max(steps)).first()
     newest = captures.agg(F.max(slot(F.col("fetched_at")))).first()[0]
     last = F.lit(newest).cast("int")
     upto = F.least(slot(F.col("valid_to")), last)  # open intervals end with the newest capture
     held = spans.where(slot(F.col("valid_from")) <= last).withColumn(
         "slot", F.explode(F.sequence(slot(F.col("valid_from")), upto))
     )
-    wanted = seen.withColumn("_p", F.explode(patterns_of(F.col("_url")))).select(
-        "_url", "_at", slot(F.col("_at")).alias("slot"), "_p.kind", "_p.pattern"
+    patterns = patterns_of(F.col("url"), labels_from or 1, labels_to or 0, steps_to or 0)
+    wanted = seen.withColumn("p", F.explode(patterns)).select(
+        "url", "at", slot(F.col("at")).alias("slot"), "p.kind", "p.pattern"
     )
     hits = wanted.join(held, ["kind", "pattern", "slot"]).where(
-        (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
+        (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     )
     order = F.struct(-F.length("pattern"), F.col("action"), F.col("kind"), F.col("list_name"), F.col("pattern"))
     told = F.concat_ws(":", "list_name", "kind", "pattern", "action")
-    verdicts = hits.groupBy("_url", "_at").agg(
-        F.count(F.lit(1)).alias("n_active"), F.min_by(told, order).alias("rule"), F.min_by("action", order).alias("_action")
+    verdicts = hits.groupBy("url", "at").agg(
+        F.count(F.lit(1)).alias("n_active"), F.min_by(told, order).alias("rule"), F.min_by("action", order).alias("action")
     )
-    kept = [c for c in captures.columns if c not in ("n_active", "rule", "blocked")]
-    return (
-        captures.select(*kept)
-        .join(verdicts, (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_at")), "left")
-        .select(
-            *kept,
-            F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"),
-            "rule",
-            F.coalesce(F.col("_action") == "block", F.lit(False)).alias("blocked"),
-        )
+    return rows.join(verdicts, ["url", "at"], "left").select(
+        "given.*",
+        F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"),
+        "rule",
+        F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"),
     )
