@@ -133,12 +133,13 @@ def mixed_rows(articles: DataFrame, id: str, content: str, list_key: str, **opti
     key = mix_key(F.col(id), F.col(content))
     sizes = settle(articles.select(F.col(list_key).alias("list_key"), n_words(F.col(content)).alias("size"), key.alias("mix_key")))
     cuts = list_cuts(sizes, **options)
-    named = cuts.select(*[F.col(c).alias(f"_mix_{c}") for c in cuts.columns])
-    joined = articles.join(named, F.col(list_key).eqNullSafe(F.col("_mix_list_key")))
-    part = F.least(n_words(F.col(content)), F.col("_mix_rest"))
-    nearer = F.when(part * 2 >= n_words(F.col(content)), 1).otherwise(0)
-    cut = F.col("_mix_cut_key")
-    last = F.when(cut.isNull() | (key > cut), 0).when(key < cut, 1).otherwise(nearer)
-    times = (F.col("_mix_rounds") + last).cast("int")
-    rows = joined.where(times > 0).withColumn("_mix_round", F.explode(F.sequence(F.lit(1), times)))
-    return rows.select(*articles.columns)
+    # the given columns are in one struct, so names made here can't be theirs
+    given = F.struct(*[F.col(f"`{c}`") for c in articles.columns]).alias("given")
+    rows = articles.select(given, F.col(list_key).alias("list_key"), n_words(F.col(content)).alias("size"), key.alias("mix_key"))
+    joined = rows.alias("a").join(cuts.alias("b"), F.col("a.list_key").eqNullSafe(F.col("b.list_key")))
+    part = F.least(F.col("size"), F.col("rest"))
+    nearer = F.when(part * 2 >= F.col("size"), 1).otherwise(0)
+    cut = F.col("cut_key")
+    last = F.when(cut.isNull() | (F.col("mix_key") > cut), 0).when(F.col("mix_key") < cut, 1).otherwise(nearer)
+    times = (F.col("rounds") + last).cast("int")
+    return joined.where(times > 0).select("given", F.explode(F.sequence(F.lit(1), times))).select("given.*")
