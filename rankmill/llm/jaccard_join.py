@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.llm.components import components
+from rankmill.llm.key_filter import key_filter, passes
 from rankmill.llm.trie_join import linked_pairs
 from rankmill.llm.words import LOWER, SPACE_WORDS, bounds, hashes, mix, pieces, release
 from rankmill.session import settle
@@ -96,7 +97,7 @@ def sketch_levels(articles: DataFrame, shingle: int) -> np.ndarray:
     columns = "block int, counts binary"
     summed = articles.select("content").mapInArrow(count, columns).groupBy("block").applyInArrow(add, columns)
     counts = np.zeros((blocks, (1 << SKETCH_BITS) // blocks))
-    for row in summed.toLocalIterator():
+    for row in summed.collect():  # 64 rows; an iterator would start a job for each partition
         counts[row["block"]] = np.frombuffer(row["counts"], dtype="<i8")
     counts = counts.ravel()
     over = (counts - counts.mean()) / (3 * np.sqrt(max(counts.mean(), 1.0)))
@@ -241,13 +242,11 @@ def candidates(sets: DataFrame, needed: DataFrame) -> DataFrame:
     needed: set, needed (how many of its prefix shingles it has to share).
     """
     shared = settle(shared_prefixes(sets))
-    for _ in range(2):  # what a dropped set had may now be with one set only
-        enough = shared.groupBy("set").agg(F.count(F.lit(1)).alias("n")).join(needed, "set").where("n >= needed")
-        left = shared.join(enough.select("set"), "set")
-        several = left.groupBy("token").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most")
-        shared = settle(left.join(several.select("token", "least"), "token").select("token", "set", "least"))
-        stars = shared.select(F.col("set").alias("a"), F.col("least").alias("b"))
-        shared = shared.drop("least")
+    enough = shared.groupBy("set").agg(F.count(F.lit(1)).alias("n")).join(needed, "set").where("n >= needed")
+    left = settle(shared.join(enough.select("set"), "set"))
+    # what a dropped set had may now be with one set only
+    several = left.groupBy("token").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most")
+    stars = left.join(several, "token").select(F.col("set").alias("a"), F.col("least").alias("b"))
     labels = components(stars.distinct())
     return labels.select(F.col("node").alias("set"), F.col("label").alias("place"))
 
@@ -322,26 +321,6 @@ def links(parts: DataFrame, percent: int) -> DataFrame:
     return parts.groupBy("part").applyInArrow(run, LINKS)
 
 
-FILTER_BITS = (15, 28)
-
-
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """Bits at the places of the keys: 16 and more bits for each key, at most 2**28.
-
-    What isn't there isn't among the keys. Beyond 16 million keys the filter
-    lets more through, and an exact join always follows.
-    """
-    n = keys.count()
-    k = min(max((16 * n - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1]) if n else FILTER_BITS[0]
-    place = keys.select(F.pmod(F.col("key"), F.lit(1 << k)).alias("place"))
-    maps = place.groupBy(F.shiftright("place", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("place") % (1 << 15)).alias("bits"))
-    bits = np.zeros(1 << k, dtype=bool)
-    for row in maps.toLocalIterator():
-        at = row["block"] << 15
-        bits[at : at + (1 << 15)] = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), bitorder="little")
-    return bits
-
-
 def whole_sets(articles: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """set, tokens (array of all shingles) of the wanted sets: `id` and `content_key` of an article that has each.
 
@@ -350,13 +329,12 @@ def whole_sets(articles: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
     """
     schema = pa.schema([("set", pa.int64()), ("tokens", pa.list_(pa.int64()))])
     bits = key_filter(wanted.select(F.xxhash64("id", "content_key").alias("key")))
-    shared = articles.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = articles.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, offsets in pieces(batch.column(1).filter(pa.array(bits[keys & (len(bits) - 1)]))):
+            for first, data, offsets in pieces(batch.column(1).filter(pa.array(passes(shared.value, keys.view(np.uint64))))):
                 text, value, _ = shingles(data, offsets, shingle)
                 cuts = np.searchsorted(text, np.arange(len(offsets)))
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(value.view(np.int64)))
@@ -422,10 +400,13 @@ def one_per_group(rows: DataFrame, id: str, content: str, **options) -> DataFram
     found = settle(join_articles(rows.select(F.col(id).alias("id"), F.col(content).alias("content")), **options))
     least = F.min(F.struct(F.col("id").isNull(), "id", "content_key")).alias("least")
     chosen = found.where("set IS NOT NULL").groupBy("group").agg(least)
-    chosen = chosen.select(F.xxhash64("least.id", "least.content_key").alias("_row_key"))
-    keyed = rows.withColumn("_row_key", F.xxhash64(F.col(id).cast("long"), content_key(F.col(content).cast("string"))))
+    chosen = chosen.select(F.xxhash64("least.id", "least.content_key").alias("key"))
+    # the given columns are in one struct, so names made here can't be theirs
+    given = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("given")
     has_words = F.coalesce(F.col(content).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.where(has_words).join(chosen, "_row_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))  # equal rows: any one of them
-    kept = kept.withColumn("_number", first).where("_number = 1")
-    return kept.select(*rows.columns).union(rows.where(~has_words).select(*rows.columns))
+    key = F.xxhash64(F.col(id).cast("long"), content_key(F.col(content).cast("string")))
+    keyed = rows.select(given, key.alias("key"), has_words.alias("has_words"))
+    kept = keyed.where("has_words").join(chosen, "key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # equal rows: any one of them
+    kept = kept.withColumn("number", first).where("number = 1").select("given.*")
+    return kept.union(keyed.where(~F.col("has_words")).select("given.*"))

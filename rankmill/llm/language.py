@@ -190,7 +190,7 @@ def learn_languages(articles: DataFrame) -> Model:
     counted = known.na.drop().mapInArrow(count, "lang string, block int, counts binary")
     summed = counted.groupBy("lang", "block").applyInArrow(add, "lang string, block int, counts binary")
     counts: dict[str, np.ndarray] = {}
-    for row in summed.toLocalIterator():
+    for row in summed.collect():  # a few rows of fixed size; an iterator would start a job for each partition
         into = counts.setdefault(row["lang"], np.zeros(2 * BUCKETS + BLOCK, dtype=np.int64))
         into[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], dtype="<i8")
     return Model.of_counts(counts)
