@@ -213,7 +213,7 @@ def shard_indexes(articles: DataFrame, *, shard_words: int = SHARD_WORDS) -> Dat
             if shard.n_words:
                 yield indexed(name, shard)
 
-    return settle(articles.select("list_key", "content").mapInArrow(run, INDEX), maxRecordsPerFile=8)
+    return settle(articles.select("list_key", "content").mapInArrow(run, INDEX), maxRecordsPerFile=1)
 
 
 def cut_texts(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
