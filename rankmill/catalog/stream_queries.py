@@ -16,20 +16,27 @@ SLICED_BY = {"orders": "o_orderdate", "events": "ts", "pages": "page_id"}
 
 
 def stream_of(i, name: str):
-    """The table as a stream of SLICES files in the order of its time, one file per micro-batch; rows without a time come first."""
+    """The table as a stream of SLICES micro-batches in the order of its time; rows without a time come first.
+
+    All slices are written as equally many files, as many as the poorest slice has partitions with rows, so a trigger
+    takes one slice. What a slice lacks of that is filled up with empty files.
+    """
     column, rows = SLICED_BY[name], i.table(name)
     low, high = rows.agg(F.min(column), F.max(column)).first()
     root = work_path(i.spark, f"slices-{name}")
     cuts = [low + (high - low) / SLICES * k for k in range(1, SLICES)] if low is not None else []
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + F.coalesce((F.col(column) > F.lit(cut)).cast("int"), F.lit(0))
+    placed = rows.select(number.alias("slice"), F.spark_partition_id().alias("part"))
+    filled = placed.groupBy("slice").agg(F.count_distinct("part")).collect()
+    files = min((n for _, n in filled), default=1)
     for k in range(len(cuts) + 1):
-        part = rows
-        if k:
-            part = part.filter(F.col(column) > F.lit(cuts[k - 1]))
-        if k < len(cuts):
-            inside = F.col(column) <= F.lit(cuts[k])
-            part = part.filter(inside if k else inside | F.col(column).isNull())
-        part.coalesce(1).write.parquet(f"{root}/{k}")
-    reader = i.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+        part = rows.where(number == k)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.parquet(f"{root}/{k}")
+        for _ in range(files - len(i.spark.read.schema(rows.schema).parquet(f"{root}/{k}").inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(f"{root}/{k}")
+    reader = i.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
     return reader.parquet(f"{root}/*")
 
 
@@ -64,15 +71,13 @@ def _(i):
 @query(
     "stream_timeouts",
     """SELECT request_id, started_at FROM requests,
-              (SELECT least(max(started_at), max(completed_at) FILTER (started_at IS NOT NULL)) AS m FROM requests)
-       WHERE status = 'processing' AND epoch_ms(started_at) + 1200000 < epoch_ms(m)""",
+              (SELECT greatest(max(started_at), max(completed_at) FILTER (started_at IS NOT NULL)) AS m FROM requests)
+       WHERE started_at IS NOT NULL AND epoch_ms(started_at) + 600000 < epoch_ms(m)
+         AND (completed_at IS NULL OR epoch_ms(completed_at) > epoch_ms(started_at) + 600000)""",
 )
 def _(i):
-    started = views.with_event_time(requested(i).filter("started_at is not null"), "started_at")
-    ended = views.with_event_time(
-        requested(i).filter("started_at is not null and completed_at is not null"), "completed_at"
-    )
-    return runner.collect_append(aggregates.stream_timeouts(started, ended), "stream_timeouts")
+    transitions = stateful.start_and_end_events(requested(i))
+    return stateful.collect_rows(stateful.stream_timeouts, transitions, "stream_timeouts", stateful.TIMED_OUT)
 
 
 @query(
@@ -86,9 +91,8 @@ def _(i):
 )
 def _(i):
     lifecycle = views.with_event_time(stateful.lifecycle_events(requested(i)), "at")
-    root = work_path(i.spark, "stream_request_lifecycle")
-    runner.finish(stateful.stream_request_lifecycle(lifecycle, root, runner.AVAILABLE_NOW))
-    return runner.latest_rows(i.spark, root, stateful.request_states(lifecycle).schema, ["request_id"])
+    states = stateful.stream_request_lifecycle(lifecycle)
+    return runner.collect_latest(states, "stream_request_lifecycle", ["request_id"])
 
 
 @query(

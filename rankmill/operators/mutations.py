@@ -37,17 +37,20 @@ def upsert_latest(
     and the change wins ties, so a late older row does not overwrite.
     """
     newest = settle(first_per_key(changes, keys, order_by).select(state.columns))
+    return with_changes(state, newest, keys, event_time)
+
+
+def with_changes(state: DataFrame, newest: DataFrame, keys: Sequence[str], event_time: str | None = None) -> DataFrame:
+    """State after settled changes, one for each key."""
     if event_time is None:
         return absent(state, newest, keys).unionByName(newest)
-    # the state passes once beside the changes, and once more with its keys to tell which changes are new
-    old, new = state.alias("old"), newest.withColumn("_hit", F.lit(True)).alias("new")
-    later = F.col("new._hit") & (
-        (F.col(f"new.{event_time}") >= F.col(f"old.{event_time}")) | F.col(f"old.{event_time}").isNull()
-    )
-    chosen = [F.when(later, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in state.columns]
-    kept = old.join(new, same_key(keys, "old", "new"), "left").select(*chosen)
-    known = settle(present(state, newest, keys).select(*keys).distinct())
-    return kept.unionByName(absent(newest, known, keys))
+    # changes older than the state are few and told by its keys and times alone; all others win as they arrive
+    old, new = state.alias("old"), newest.alias("new")
+    older = F.col(f"new.{event_time}").isNull() | (F.col(f"new.{event_time}") < F.col(f"old.{event_time}"))
+    older = older & F.col(f"old.{event_time}").isNotNull()
+    losers = old.join(new, same_key(keys, "old", "new")).filter(older).select(*[F.col(f"new.{key}") for key in keys])
+    winners = settle(absent(newest, losers, keys))
+    return absent(state, winners, keys).unionByName(winners)
 
 
 def same_key(keys: Sequence[str], left: str, right: str) -> Column:

@@ -46,6 +46,9 @@ STAGING = _struct(
     "retrieved_at timestamp_ntz, corrupt_record string"
 )
 
+# what the stream of list versions remembers of each list
+LAST_FINGERPRINT = _struct("list_key string, last_seen string, seen_before string, batch bigint")
+
 RANKING_KEY = ["character_name", "server_name", "div"]
 CHARACTER_KEY = ["server_name", "character_name"]
 SNAPSHOT_KEY = ["date", "server_name", "class_name", "div"]

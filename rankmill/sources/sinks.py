@@ -1,61 +1,29 @@
-"""Writes. State is written as a new version folder; the pointer names the version readers use."""
+"""Writes. State is merged by bucket; appends belong to a run and replace what an earlier try of it has written."""
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmill.functions import moment
-from rankmill.operators.mutations import by_all_columns, upsert_latest
+from rankmill.operators.mutations import by_all_columns
 from rankmill.operators.windows import first_per_key
-from rankmill.schemas import SNAPSHOT_KEY, STAGING
-from rankmill.session import hadoop_path, settle
-
-
-def current_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    """Number and folder of the newest version, by the pointer entries (one tiny row per version)."""
-    if not path_exists(spark, f"{root}/pointer"):
-        return None
-    row = (
-        spark.read.schema("version bigint, folder string")
-        .json(f"{root}/pointer")
-        .orderBy(F.desc("version"))
-        .first()
-    )
-    return (row["version"], f"{root}/{row['folder']}") if row else None
-
-
-def read_version(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The current version, or an empty state before the first one."""
-    current = current_version(spark, root)
-    if current is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(current[1])
-
-
-def write_version(state: DataFrame, root: str, version: int) -> str:
-    """Writes a new folder, then moves the pointer: a failed write leaves the old version in force."""
-    folder = f"v{version}-{uuid.uuid4().hex}"
-    state.write.parquet(f"{root}/{folder}")
-    pointer = state.sparkSession.createDataFrame([(version, folder)], "version bigint, folder string")
-    pointer.coalesce(1).write.mode("append").json(f"{root}/pointer")
-    return f"{root}/{folder}"
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    return hadoop_path(spark, path)[0].exists(hadoop_path(spark, path)[1])
+from rankmill.schemas import RANKING_KEY, SNAPSHOT_KEY, STAGING
+from rankmill.session import settle
+from rankmill.sources.keyed_state import BUCKETS, merge_state, path_exists, read_state
 
 
 def sink_upsert_ranking(
-    changes: DataFrame, root: str, *, version: int, schema, order_by, event_time: str | None = None
+    changes: DataFrame, root: str, *, schema, order_by, event_time: str | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Merges changes into the versioned state and returns the new version."""
-    spark = changes.sparkSession
-    merged = upsert_latest(read_version(spark, root, schema), changes, order_by=order_by, event_time=event_time)
-    return spark.read.schema(schema).parquet(write_version(merged, root, version))
+    """Merges changes into the stored state, rewriting the buckets they touch, and returns the state."""
+    merge_state(
+        changes, root, schema=schema, keys=RANKING_KEY, order_by=order_by, event_time=event_time, buckets=buckets
+    )
+    return read_state(changes.sparkSession, root, schema)
 
 
 def sink_snapshot(snapshot: DataFrame, path: str, retrieved_at: datetime | Column | None = None) -> None:
@@ -83,8 +51,23 @@ def article_rows(articles: DataFrame, scraped_at: datetime | Column) -> DataFram
     return articles.select("id", "title", "post_date", record.alias("contents_json"), moment(scraped_at).alias("scraped_at"))
 
 
-def sink_articles_json(articles: DataFrame, path: str, scraped_at: datetime | Column) -> None:
-    article_rows(articles, scraped_at).write.mode("append").parquet(path)
+def append_run(rows: DataFrame, path: str, run: str) -> None:
+    """Adds the rows of one run to a table partitioned by `run`. A run that is repeated replaces its own rows, those of others stay.
+
+    A run without rows leaves none of an earlier try.
+    """
+    folder = f"{path}/run={quote(run, safe='-.')}"
+    rows.write.mode("overwrite").parquet(folder)
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that all runs have appended, with their `run`."""
+    return spark.read.schema(f"{schema}, run string").parquet(path)
+
+
+def sink_articles_json(articles: DataFrame, path: str, scraped_at: datetime | Column, run: str) -> None:
+    """Appends the article records of one run; the same run again writes them once."""
+    append_run(article_rows(articles, scraped_at), path, run)
 
 
 def audit_rows(deleted: DataFrame, created_at: datetime | Column) -> DataFrame:
@@ -101,8 +84,9 @@ def audit_rows(deleted: DataFrame, created_at: datetime | Column) -> DataFrame:
     )
 
 
-def sink_audit(deleted: DataFrame, path: str, created_at: datetime | Column) -> None:
-    audit_rows(deleted, created_at).write.mode("append").parquet(path)
+def sink_audit(deleted: DataFrame, path: str, created_at: datetime | Column, run: str) -> None:
+    """Appends the history rows of one run; the same run again writes them once."""
+    append_run(audit_rows(deleted, created_at), path, run)
 
 
 def sink_staging_tsv(rows: DataFrame, path: str) -> None:

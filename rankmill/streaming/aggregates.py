@@ -18,22 +18,29 @@ def newest_first():
     return [F.desc(c) for c in NEWEST]
 
 
-def stream_upsert(observations: DataFrame, root: str, trigger: dict):
+def _upsert_order(arrival_wins: bool):
+    return [F.desc("batch"), *newest_first()] if arrival_wins else newest_first()
+
+
+def stream_upsert(observations: DataFrame, root: str, trigger: dict, *, arrival_wins: bool = False, fold_every: int = runner.FOLD_EVERY):
     """Upserts micro-batches: the newest row of a key per batch is kept.
 
-    Event time decides across batches, so a late older row does not overwrite.
+    Event time decides across batches, so a late older row does not overwrite; with `arrival_wins` the later
+    batch wins whatever its times are.
     """
 
     def newest(batch: DataFrame) -> DataFrame:
         return distinct_on_key(batch, RANKING_KEY, newest_first())
 
-    return runner.start_batches(observations, root, trigger, mode="append", prepare=newest)
+    order = _upsert_order(arrival_wins)
+    return runner.start_batches(
+        observations, root, trigger, "append", newest, keys=RANKING_KEY, order_by=order, fold_every=fold_every
+    )
 
 
 def upserted_state(spark, root: str, schema, arrival_wins: bool = False) -> DataFrame:
-    """State after the stream; with `arrival_wins` the later batch wins whatever its times are."""
-    order = [F.desc("batch"), *newest_first()] if arrival_wins else newest_first()
-    return runner.latest_rows(spark, root, schema, RANKING_KEY, order)
+    """State after the stream, by the rule it was started with."""
+    return runner.latest_rows(spark, root, schema, RANKING_KEY, _upsert_order(arrival_wins))
 
 
 def stream_latest(observations: DataFrame) -> DataFrame:
@@ -68,32 +75,6 @@ def stream_status_counts(requests: DataFrame, watermark: str = "1 hour") -> Data
     )
 
 
-def stream_timeouts(
-    started: DataFrame, ended: DataFrame, watermark: str = "10 minutes", limit: int = fv.PROCESSING_SECONDS
-) -> DataFrame:
-    """Requests not ended within the limit after their start (append mode).
-
-    Both inputs carry request_id and event_time. An outer join of the two
-    streams keeps a start only until the watermark passes its limit, and then
-    gives it out if no end came: the state is bounded by the limit. A row that
-    comes later than `watermark` after newer ones is not seen, as in any append
-    stream; the default leaves ten minutes.
-    """
-    start = started.withWatermark("event_time", watermark).select(
-        F.col("request_id"), F.col("event_time").alias("start_time")
-    )
-    end = ended.withWatermark("event_time", watermark).select(
-        F.col("request_id").alias("ended_id"), F.col("event_time").alias("end_time")
-    )
-    in_time = (
-        (F.col("request_id") == F.col("ended_id"))
-        & (F.col("end_time") >= F.col("start_time"))
-        & (F.col("end_time") <= F.col("start_time") + F.expr(f"INTERVAL {int(limit)} SECONDS"))
-    )
-    joined = start.join(end, in_time, "left_outer").filter("ended_id is null")
-    return joined.select("request_id", fn.wall_clock_of(F.col("start_time")).alias("started_at"))
-
-
 def stream_crawl_totals(activity: DataFrame) -> DataFrame:
     """Running totals per server (update mode)."""
     done = F.col("outcome") != "pending"

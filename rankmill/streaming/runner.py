@@ -2,9 +2,9 @@
 
 Results go to files, never to the driver. Streams that change earlier results
 (update mode) write every micro-batch to a folder named by its batch id: a
-repeated batch overwrites its own folder, so a restart cannot count twice.
-Readers take the newest row per key over the folders; `compact` folds them into
-one versioned base when there are many.
+repeated batch overwrites its own folder, so a restart cannot count twice. Every FOLD_EVERY
+batches the folders are merged into a bucketed state inside the stream, and folders that an earlier fold
+has covered are removed, so readers meet a bounded number of them. Readers take the first row per key over both.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rankmill.operators.windows import first_per_key
-from rankmill.session import work_path
-from rankmill.sources.sinks import current_version, write_version
+from rankmill.session import hadoop_path, remove, settled_scope, work_path
+from rankmill.sources.keyed_state import merge_state, path_exists, read_state
 
 STREAM_CONF = {
     # state lives in RocksDB on the executors, outside the heap
@@ -54,11 +54,27 @@ def start_append(frame: DataFrame, root: str, trigger: dict) -> StreamingQuery:
         return writer.option("checkpointLocation", f"{root}/progress").trigger(**trigger).start()
 
 
-def start_batches(frame: DataFrame, root: str, trigger: dict, mode: str = "update", prepare=None) -> StreamingQuery:
+FOLD_EVERY = 20
+
+
+def start_batches(
+    frame: DataFrame,
+    root: str,
+    trigger: dict,
+    mode: str = "update",
+    prepare=None,
+    *,
+    keys: Sequence[str],
+    order_by: Sequence[Column] = (),
+    fold_every: int = FOLD_EVERY,
+) -> StreamingQuery:
+    """Writes micro-batches to folders and folds them now and then; the newest row per key by `order_by` and batch is in force."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+        if (batch_id + 1) % fold_every == 0:
+            fold(batch.sparkSession, root, frame.schema, keys, order_by, batch_id, fold_every)
 
     return start_steps(frame, root, trigger, save, mode)
 
@@ -90,28 +106,53 @@ def collect_latest(
 ) -> DataFrame:
     """Runs a stream in update mode over all available input and reads the newest row per key."""
     root = work_path(frame.sparkSession, label)
-    finish(start_batches(frame, root, AVAILABLE_NOW, mode, prepare))
+    finish(start_batches(frame, root, AVAILABLE_NOW, mode, prepare, keys=keys, order_by=order_by))
     return latest_rows(frame.sparkSession, root, frame.schema, keys, order_by)
 
 
-def _stored(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The folded base, if there is one, and the batch folders after it."""
-    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    deltas = spark.read.schema(stored).parquet(f"{root}/rows")
-    base = current_version(spark, f"{root}/base")
-    if base is None:
-        return deltas
-    folded, folder = base
-    return spark.read.schema(stored).parquet(folder).unionByName(deltas.filter(F.col("batch") > folded))
+def _with_batch(schema) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+
+
+def _folders(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The rows of the batch folders, none before the first batch."""
+    if not path_exists(spark, f"{root}/rows"):
+        return spark.createDataFrame([], _with_batch(schema))
+    return spark.read.schema(_with_batch(schema)).parquet(f"{root}/rows")
+
+
+def batch_folders(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the batches whose folders are there."""
+    if not path_exists(spark, f"{root}/rows"):
+        return []
+    system, place = hadoop_path(spark, f"{root}/rows")
+    names = [status.getPath().getName() for status in system.listStatus(place)]
+    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
 
 
 def latest_rows(spark: SparkSession, root: str, schema, keys: Sequence[str], order_by: Sequence[Column] = ()) -> DataFrame:
-    """Newest row per key over base and batch folders; `order_by` comes before the batch number."""
-    return first_per_key(_stored(spark, root, schema), keys, [*order_by, F.desc("batch")]).drop("batch")
+    """Newest row per key over the folded state and the batch folders; `order_by` comes before the batch number."""
+    stored = read_state(spark, f"{root}/folded", _with_batch(schema)).unionByName(_folders(spark, root, schema))
+    return first_per_key(stored, keys, [*order_by, F.desc("batch")]).drop("batch")
 
 
-def compact(spark: SparkSession, root: str, schema, keys: Sequence[str], order_by: Sequence[Column] = ()) -> str:
-    """Folds everything so far into one base version; the batch folders it covers are not read again."""
-    stored = _stored(spark, root, schema)
-    newest = stored.agg(F.max("batch")).first()[0]
-    return write_version(first_per_key(stored, keys, [*order_by, F.desc("batch")]), f"{root}/base", newest)
+def fold(
+    spark: SparkSession, root: str, schema, keys: Sequence[str], order_by: Sequence[Column], batch_id: int, kept: int = 0
+) -> None:
+    """Merges the batch folders up to `batch_id` into the folded state, then removes all but the last `kept` of them.
+
+    Rows carry their batch, so folders that are merged once more, after a stop in between, change nothing. Those
+    that stay serve readers that began before the fold.
+    """
+    with settled_scope(spark):
+        merge_state(
+            _folders(spark, root, schema).where(F.col("batch") <= batch_id),
+            f"{root}/folded",
+            schema=_with_batch(schema),
+            keys=keys,
+            order_by=[*order_by, F.desc("batch")],
+            compete=True,
+        )
+    for number in batch_folders(spark, root):
+        if number <= batch_id - kept:
+            remove(spark, f"{root}/rows/batch={number}")

@@ -1,14 +1,15 @@
 """Edge rows for mutations and sinks."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from rankmill.operators import mutations
-from rankmill.schemas import RANKING, SNAPSHOT_KEY
-from rankmill.session import work_path
-from rankmill.sources import readers, sinks
+from rankmill.schemas import RANKING, RANKING_KEY, SNAPSHOT_KEY
+from rankmill.session import remove, settle, work_path
+from rankmill.sources import keyed_state, readers, sinks
 
 NOW = datetime(2024, 5, 2, 12, 0, 0)
 OBS = RANKING.simpleString()[7:-1].replace(":", " ") + ", obs_id bigint"
@@ -190,12 +191,106 @@ def test_snapshot_first_run_of_the_day_wins(spark):
     assert mutations.key_violations(stored, SNAPSHOT_KEY).count() == 0
 
 
-def test_versions_move_the_pointer_last(spark, state, changes):
+def test_state_sink_gives_what_the_upsert_gives(spark, state, changes):
     root = work_path(spark, "test-state")
-    assert sinks.read_version(spark, root, RANKING).count() == 0
-    sinks.write_version(state, root, 0)
-    merged = sinks.sink_upsert_ranking(changes, root, version=1, schema=RANKING, order_by=order())
-    assert powers(merged) == powers(sinks.read_version(spark, root, RANKING)) == {"old": 10, "same": 2, "new": 21, "null": 30}
+    assert keyed_state.read_state(spark, root, RANKING).count() == 0
+    sinks.sink_upsert_ranking(state, root, schema=RANKING, order_by=[F.lit(0)], buckets=8)
+    merged = sinks.sink_upsert_ranking(changes, root, schema=RANKING, order_by=order())
+    assert powers(merged) == {"old": 10, "same": 2, "new": 21, "null": 30}
+    again = sinks.sink_upsert_ranking(changes, root, schema=RANKING, order_by=order(), event_time="retrieved_at")
+    assert powers(again) == {"old": 10, "same": 2, "new": 21, "null": 30}
+
+
+def many(spark, names, power, at):
+    return spark.createDataFrame([row(name, power, at) for name in names], RANKING)
+
+
+def bucket_files(spark, root):
+    """File names below each bucket."""
+    files = spark.read.schema(RANKING).parquet(f"{root}/state").inputFiles()
+    out = {}
+    for name in files:
+        out.setdefault(int(name.split("bucket=")[1].split("/")[0]), set()).add(name)
+    return out
+
+
+def test_a_merge_reads_and_writes_only_the_buckets_of_its_changes(spark):
+    root = work_path(spark, "test-buckets")
+    names = [f"n{k}" for k in range(400)]
+    options = {"schema": RANKING, "keys": RANKING_KEY, "order_by": [F.lit(0)], "buckets": 16}
+    assert keyed_state.merge_state(many(spark, names, 1, NOW), root, **options) == list(range(16))
+    before = bucket_files(spark, root)
+    touched = keyed_state.merge_state(many(spark, ["n7", "n8", "brand new"], 2, NOW), root, **options)
+    assert 1 <= len(touched) <= 3
+    after = bucket_files(spark, root)
+    assert {k for k in before if before[k] != after[k]} == set(touched)
+    plan = keyed_state.read_state(spark, root, RANKING, touched)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    read = keyed_state.read_state(spark, root, RANKING, touched).select(F.input_file_name()).distinct().collect()
+    assert {int(r[0].split("bucket=")[1].split("/")[0]) for r in read} <= set(touched)
+    got = powers(keyed_state.read_state(spark, root, RANKING))
+    assert got == {name: 1 for name in names} | {"n7": 2, "n8": 2, "brand new": 2}
+    assert keyed_state.merge_state(many(spark, [], 2, NOW), root, **options) == []
+    # another number of buckets is not taken over: the state keeps its own
+    assert max(keyed_state.merge_state(many(spark, names, 3, NOW), root, **(options | {"buckets": 64}))) == 15
+    assert set(powers(keyed_state.read_state(spark, root, RANKING)).values()) == {3, 2}
+
+
+@pytest.mark.parametrize("complete", [True, False])
+def test_a_merge_finishes_or_drops_what_an_ended_driver_left(spark, complete):
+    root = work_path(spark, "test-pending")
+    options = {"schema": RANKING, "keys": RANKING_KEY, "order_by": [F.lit(0)], "buckets": 4}
+    names = [f"n{k}" for k in range(40)]
+    keyed_state.merge_state(many(spark, names, 1, NOW), root, **options)
+    # the driver ended after writing the new buckets, when one old bucket was gone already
+    new = many(spark, names, 2, NOW).withColumn("bucket", keyed_state.bucket_of(RANKING_KEY, 4))
+    new.write.partitionBy("bucket").parquet(f"{root}/pending")
+    if complete:
+        remove(spark, f"{root}/state/bucket=2")
+    else:
+        remove(spark, f"{root}/pending/_SUCCESS")
+    keyed_state.merge_state(many(spark, ["n0"], 9, NOW), root, **options)
+    want = {name: 2 if complete else 1 for name in names} | {"n0": 9}
+    assert powers(keyed_state.read_state(spark, root, RANKING)) == want
+    assert not keyed_state.path_exists(spark, f"{root}/pending")
+
+
+def test_buckets_by_event_time_match_the_upsert(spark):
+    """Random merges, with null keys and times, against the function on whole frames."""
+    rng = random.Random(7)
+    root, whole = work_path(spark, "test-random"), spark.createDataFrame([], RANKING)
+    for n in range(6):
+        rows = [
+            row(rng.choice(["a", "b", "c", "d", None]), 100 * n + k, rng.choice([None, *(NOW + timedelta(days=d) for d in range(4))]), k)
+            for k in range(6)
+        ]
+        changes = spark.createDataFrame(rows, OBS)
+        sinks.sink_upsert_ranking(changes, root, schema=RANKING, order_by=order(), event_time="retrieved_at", buckets=3)
+        whole = settle(mutations.upsert_latest(whole, changes, order_by=order(), event_time="retrieved_at"))
+        assert powers(keyed_state.read_state(spark, root, RANKING)) == powers(whole)
+
+
+def test_event_time_mode_reads_the_whole_state_once(spark, state, changes):
+    path = work_path(spark, "test-plan")
+    state.write.parquet(path)
+    stored = spark.read.schema(RANKING).parquet(path)
+    merged = mutations.upsert_latest(stored, changes, order_by=order(), event_time="retrieved_at")
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("power_value") and plan.count("LeftAnti") == 1 and "LeftOuter" not in plan
+
+
+def test_a_repeated_run_appends_its_rows_once(spark):
+    path = work_path(spark, "test-runs")
+    schema = "server_name string, character_name string, count long"
+    first = spark.createDataFrame([("S", "a", 1), ("S", "b", 2)], schema)
+    sinks.sink_audit(first, path, NOW, run="monday 1/2")
+    sinks.sink_audit(first.where("character_name = 'b'"), path, NOW, run="tuesday")
+    sinks.sink_audit(first, path, NOW, run="monday 1/2")
+    stored = sinks.read_runs(spark, path, "object_id string, character_list array<string>")
+    got = sorted((r["character_list"][0], r["run"]) for r in stored.collect())
+    assert got == [("a", "monday 1/2"), ("b", "monday 1/2"), ("b", "tuesday")]
+    sinks.sink_audit(first.limit(0), path, NOW, run="tuesday")
+    assert sinks.read_runs(spark, path, "object_id string").count() == 2
 
 
 def test_staging_keeps_broken_lines(spark, tmp_path):

@@ -1,13 +1,16 @@
 """Streams over several micro-batches, with late rows and restarts."""
 
+import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankmill import views
 from rankmill.catalog import stream_queries
 from rankmill.operators import mutations
+from rankmill.schemas import RANKING_KEY
 from rankmill.session import work_path
 from rankmill.streaming import aggregates, runner, stateful
 
@@ -37,28 +40,60 @@ PARTS = [
 ]
 
 
-def test_upsert_event_time_and_arrival(spark):
+@pytest.mark.parametrize("arrival_wins, want", [(False, {"a": 4, "b": 3}), (True, {"a": 4, "b": 5})])
+def test_upsert_event_time_and_arrival(spark, arrival_wins, want):
     stream = batches(spark, "obs", OBS, PARTS)
     root = work_path(spark, "upsert")
-    runner.finish(aggregates.stream_upsert(stream, root, runner.AVAILABLE_NOW))
-
-    def state(**kw):
-        return {r["character_name"]: r["power_value"] for r in aggregates.upserted_state(spark, root, stream.schema, **kw).collect()}
-
-    assert state() == {"a": 4, "b": 3}
-    assert state(arrival_wins=True) == {"a": 4, "b": 5}
-    # started again without new input nothing changes
-    runner.finish(aggregates.stream_upsert(stream, root, runner.AVAILABLE_NOW))
-    assert state() == {"a": 4, "b": 3}
-    folder = runner.compact(spark, root, stream.schema, ["character_name", "server_name", "div"], aggregates.newest_first())
-    assert spark.read.schema(stream.schema).parquet(folder).count() == 2
-    assert state() == {"a": 4, "b": 3}
-    # batches after the base count on top of it
-    later = spark.createDataFrame([obs(6, "b", 6, 7), obs(7, "c", 7, 0)], OBS)
-    later.write.parquet(f"{root}/rows/batch=2")
+    start = lambda: runner.finish(aggregates.stream_upsert(stream, root, runner.AVAILABLE_NOW, arrival_wins=arrival_wins))
+
+    def state():
+        rows = aggregates.upserted_state(spark, root, stream.schema, arrival_wins).collect()
+        return {r["character_name"]: r["power_value"] for r in rows}
+
+    start()
+    assert state() == want
+    start()  # again without new input nothing changes
+    assert state() == want
+    order = aggregates._upsert_order(arrival_wins)
+    runner.fold(spark, root, stream.schema, RANKING_KEY, order, 1)
+    assert runner.batch_folders(spark, root) == [] and state() == want
+    # batches after the fold count on top of it
+    spark.createDataFrame([obs(6, "b", 6, 7), obs(7, "c", 7, 0)], OBS).write.parquet(f"{root}/rows/batch=2")
     assert state() == {"a": 4, "b": 6, "c": 7}
 
 
+def test_folds_in_the_stream_bound_the_folders(spark):
+    """Fifty batches; a stop in the middle of a fold, then the batch comes again."""
+    parts = [[obs(n, "abc"[n % 3], n, n % 7)] for n in range(50)]
+    schema = spark.createDataFrame([], OBS).schema
+    root, order = work_path(spark, "folds"), aggregates._upsert_order(True)
+
+    def put(n):
+        spark.createDataFrame(parts[n], OBS).write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+
+    most = 0
+    for n in range(50):
+        put(n)
+        if (n + 1) % 5 == 0:
+            runner.fold(spark, root, schema, RANKING_KEY, order, n, 5)
+        most = max(most, len(runner.batch_folders(spark, root)))
+        if n == 29:  # stopped after the merge, before the folders went; batch and fold come again
+            put(28), put(29)
+            runner.fold(spark, root, schema, RANKING_KEY, order, n, 5)
+    assert most <= 10
+    got = aggregates.upserted_state(spark, root, schema, arrival_wins=True).collect()
+    assert {r["character_name"]: r["power_value"] for r in got} == {"a": 48, "b": 49, "c": 47}
+
+
+def test_a_stream_folds_by_itself(spark):
+    stream = batches(spark, "obs", OBS, PARTS)
+    root = work_path(spark, "upsert-folding")
+    runner.finish(aggregates.stream_upsert(stream, root, runner.AVAILABLE_NOW, fold_every=1))
+    assert runner.batch_folders(spark, root) == [1]
+    got = aggregates.upserted_state(spark, root, stream.schema).collect()
+    assert {r["character_name"]: r["power_value"] for r in got} == {"a": 4, "b": 3}
+
+
 def test_latest_value_ignores_late_rows(spark):
     stream = batches(spark, "obs", OBS, PARTS)
     out = runner.collect_latest(aggregates.stream_latest(stream), "latest", ["character_name", "server_name", "div"])
@@ -80,40 +115,56 @@ def test_dedup_over_batches_equals_batch(spark):
     assert sorted(r[0] for r in out.collect()) == sorted(r["request_id"] for r in mutations.enqueue_dedup(everything).collect())
 
 
-def test_timeouts_wait_for_the_watermark(spark):
-    schema = "request_id string, state string, at timestamp_ntz"
+def timeouts(spark, label, parts):
+    """What the stream of time-outs writes: (timed out, late)."""
+    schema = "request_id string, kind string, at timestamp_ntz"
+    rows = [[(rid, kind, NOW + timedelta(seconds=at)) for rid, kind, at in part] for part in parts]
+    root = work_path(spark, label)
+    runner.finish(stateful.stream_timeouts(batches(spark, label, schema, rows), root, runner.AVAILABLE_NOW))
+    out = spark.read.parquet(f"{root}/rows").select("request_id", "started_at").collect()
+    late = spark.read.parquet(f"{root}/late").select("request_id", "kind").collect()
+    return sorted(r["request_id"] for r in out), sorted((r["request_id"], r["kind"]) for r in late)
 
-    def event(rid, state, seconds):
-        return (rid, state, NOW + timedelta(seconds=seconds))
 
+def test_timeouts_wait_until_the_limit_has_passed(spark):
     parts = [
-        [event("late", "processing", 0), event("fine", "processing", 5), event("tick", "completed", 6)],
-        [event("fine", "completed", 300), event("open", "processing", 400)],
-        [event("late", "completed", 900), event("tick", "processing", 901)],
+        [("slow", "start", 0), ("fine", "start", 5), ("tick", "end", 6)],
+        [("fine", "end", 300), ("open", "start", 400)],
+        [("slow", "end", 900), ("tick", "start", 901)],
+        [("edge", "start", 902), ("edge", "end", 1502)],
+        [("just", "end", 1503)],
     ]
-    stream = views.with_event_time(batches(spark, "life", schema, parts), "at")
-    out = aggregates.stream_timeouts(
-        stream.filter("state = 'processing'"), stream.filter("state = 'completed'"), watermark="0 seconds"
-    )
-    assert [r["request_id"] for r in runner.collect_append(out, "timeouts").collect()] == ["late"]
-
+    assert timeouts(spark, "limits", parts) == (["open", "slow", "tick"], [])
 
-def test_timeouts_see_starts_that_come_late(spark):
-    """By default a start may come some minutes after newer rows."""
-    schema = "request_id string, state string, at timestamp_ntz"
-
-    def event(rid, state, seconds):
-        return (rid, state, NOW + timedelta(seconds=seconds))
 
+def test_nothing_that_comes_late_is_lost(spark):
+    """A start that comes late is judged at once; what can't be judged any more is named."""
     parts = [
-        [event("a", "processing", 300), event("a", "completed", 310)],
-        [event("b", "processing", 400), event("b", "completed", 410)],
-        [event("slow", "processing", 200), event("c", "completed", 430)],
-        [event("d", "processing", 3000), event("d", "completed", 3010)],
+        [("a", "start", 300), ("a", "end", 310)],
+        [("b", "start", 4000), ("b", "end", 4010)],
+        [("slow", "start", 90), ("early end", "end", 500)],
+        [("early end", "start", 400), ("missed", "start", 3300)],
+        [("c", "start", 200_000)],
+        [("missed", "end", 3400), ("ancient", "start", 100)],
     ]
-    stream = views.with_event_time(batches(spark, "starts", schema, parts), "at")
-    out = aggregates.stream_timeouts(stream.filter("state = 'processing'"), stream.filter("state = 'completed'"))
-    assert [r["request_id"] for r in runner.collect_append(out, "late_starts").collect()] == ["slow"]
+    assert timeouts(spark, "late-timeouts", parts) == (["missed", "slow"], [("ancient", "start"), ("missed", "end")])
+
+
+def test_timeouts_match_the_rule_on_whole_tables(spark):
+    rng = random.Random(11)
+    events = []
+    for n in range(60):
+        at = rng.randrange(0, 20_000)
+        events.append((f"r{n}", "start", at))
+        if rng.random() < 0.7:
+            events.append((f"r{n}", "end", at + rng.choice([1, 599, 600, 601, 5000])))
+    events.sort(key=lambda e: e[2] + rng.randrange(400) * (e[1] == "start"))
+    parts = [events[k : k + 25] for k in range(0, len(events), 25)]
+    now = max(at for _, _, at in events)
+    ends = {(rid, at) for rid, kind, at in events if kind == "end"}
+    want = sorted(rid for rid, kind, at in events if kind == "start" and at + 600 < now and not any(r == rid and at <= e <= at + 600 for r, e in ends))
+    got, late = timeouts(spark, "random-timeouts", parts)
+    assert sorted(set(got) - {rid for rid, _ in late}) == want
 
 
 def request(n, seconds, status="pending", name="n"):
@@ -130,28 +181,35 @@ def test_late_requests_are_judged_by_what_lies_before_them(spark):
     assert [r["request_id"] for r in spark.read.parquet(f"{root}/late").collect()] == ["r6"]
 
 
-def test_storage_stays_constant_over_many_batches(spark):
-    """Twenty micro-batches leave two carried versions, and none of the tables settled on the way."""
+def test_storage_and_reads_stay_constant_over_many_batches(spark):
+    """Twenty micro-batches: each adds as many bytes as the one before, two clocks stay, and no settled tables."""
     from rankmill.session import hadoop_path, shared_folder
 
     def settled():
         system, place = hadoop_path(spark, shared_folder(spark))
         return sum(s.getPath().getName().startswith("settled-") for s in system.listStatus(place))
 
+    def size(path):
+        system, place = hadoop_path(spark, path)
+        return system.getContentSummary(place).getLength() if system.exists(place) else 0
+
     root = work_path(spark, "many")
     source = work_path(spark, "many-source")
-    before = settled()
-    sizes = []
+    before, sizes, read = settled(), [], []
+    columns = "request_id string, created_at timestamp_ntz"
     for n in range(20):
-        rows = [request(f"{n}-{k}", n * 3600 + k * 400) for k in range(3)]
+        rows = [request(f"{n:02}-{k}", n * 40_000 + k * 400) for k in range(3)]
         spark.createDataFrame(rows, REQ).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(REQ).parquet(source)
         runner.finish(stateful.stream_dedup_requests(stream, root, runner.AVAILABLE_NOW, lateness=7200))
-        versions = stateful._versions(spark, root)
-        sizes.append(spark.read.parquet(f"{root}/carried/batch={versions[-1]}").count())
-        assert len(versions) <= 2
+        sizes.append(size(f"{root}/rows/batch={n}"))
+        clock = stateful.read_clock(spark, root, n + 1)
+        days = stateful.read_batches(spark, root, "rows", columns, "created_at", clock - timedelta(seconds=7500), clock, n)
+        read.append(len(days.select(F.input_file_name()).distinct().collect()))
+        assert not runner.path_exists(spark, f"{root}/clock/batch={n - 2}")
     assert settled() == before
-    assert max(sizes[5:]) == min(sizes[5:])
+    assert max(sizes[2:]) - min(sizes[2:]) < 200
+    assert max(read) <= 4
     assert spark.read.parquet(f"{root}/rows").count() == 60
 
 
@@ -167,29 +225,22 @@ def test_lifecycle_transitions(spark):
         [step("a", 2, "processing", 3), step("a", 3, "completed", 4), step("c", 3, "timeout", 1), step("c", 2, "processing", 9)],
     ]
     stream = views.with_event_time(batches(spark, "steps", schema, parts), "at")
-    root = work_path(spark, "lifecycle")
-    runner.finish(stateful.stream_request_lifecycle(stream, root, runner.AVAILABLE_NOW))
-    out = runner.latest_rows(spark, root, stateful.request_states(stream).schema, ["request_id"])
-    got = {r["request_id"]: (r["status"], r["retry_count"]) for r in out.collect()}
+    states = stateful.stream_request_lifecycle(stream)
+    got = {r["request_id"]: (r["status"], r["retry_count"]) for r in runner.collect_latest(states, "lifecycle", ["request_id"]).collect()}
     assert got == {"a": ("completed", 1), "b": ("failed", 4), "c": ("timeout", 0)}
 
 
-def test_closed_requests_expire(spark):
+def test_a_late_transition_does_not_reopen_a_closed_request(spark):
     schema = "request_id string, retry_count int, max_retries int, step int, state string, at timestamp_ntz"
 
     def step(rid, n, state, seconds):
         return (rid, 0, 3, n, state, NOW + timedelta(seconds=seconds))
 
-    parts = [[step(f"r{k}", 1, "pending", k * 1000), step(f"r{k}", 2, "completed", k * 1000 + 5)] for k in range(6)]
-    parts[0].append(step("open", 1, "pending", 0))
-    stream = views.with_event_time(batches(spark, "expire", schema, parts), "at")
-    root = work_path(spark, "expire-out")
-    runner.finish(stateful.stream_request_lifecycle(stream, root, runner.AVAILABLE_NOW, lateness=1500))
-    newest = stateful._versions(spark, root)[-1]
-    kept = {r["request_id"] for r in spark.read.parquet(f"{root}/carried/batch={newest}").collect()}
-    assert kept == {"open", "r4", "r5"}
-    out = runner.latest_rows(spark, root, stateful.request_states(stream).schema, ["request_id"]).collect()
-    assert {r["request_id"]: r["status"] for r in out} == {f"r{k}": "completed" for k in range(6)} | {"open": "pending"}
+    parts = [[step("r1", 1, "pending", 0), step("r1", 3, "completed", 5)], [step("r2", 1, "pending", 300_000)], [step("r1", 2, "processing", 2)]]
+    stream = views.with_event_time(batches(spark, "reopen", schema, parts), "at")
+    out = runner.collect_latest(stateful.stream_request_lifecycle(stream), "reopen-out", ["request_id"])
+    got = {r["request_id"]: (r["status"], r["steps"]) for r in out.collect()}
+    assert got == {"r1": ("completed", 3), "r2": ("pending", 1)}
 
 
 def test_fingerprint_state_carries_over(spark):
@@ -200,6 +251,21 @@ def test_fingerprint_state_carries_over(spark):
     assert sorted(r["page_id"] for r in out.collect()) == [1, 3, 5, 6]
 
 
+def test_a_repeated_batch_of_list_versions_is_judged_as_before(spark):
+    """The driver ends after the last fingerprints were stored; the batch comes again."""
+    schema = "list_key string, page_id bigint, fingerprint string"
+    parts = [[("k", 1, "x")], [("k", 2, "y"), ("j", 3, "x")]]
+    root = work_path(spark, "repeated")
+    stream = batches(spark, "prints-again", schema, parts)
+    runner.finish(stateful.stream_fingerprint_change(stream, root, runner.AVAILABLE_NOW))
+    system, place = runner.hadoop_path(spark, f"{root}/progress/commits/1")
+    system.delete(place, False)
+    runner.remove(spark, f"{root}/rows/batch=1")
+    runner.finish(stateful.stream_fingerprint_change(stream, root, runner.AVAILABLE_NOW))
+    got = spark.read.schema(schema).parquet(f"{root}/rows").collect()
+    assert sorted(r["page_id"] for r in got) == [1, 2, 3]
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_local_days(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
