@@ -10,8 +10,8 @@ n - least + r shingles of each, so
 2. sets with fewer than r of them left have no partner;
 3. sets that share one form a group (connected components); a group is cut by
    size into overlapping ranges, as sizes of partners are near each other, and
-   large ranges into pairs of blocks, so each pair meets exactly once and no task
-   holds more than two blocks;
+   large ranges into blocks, packed into a row each, of which two meet in a task,
+   so each pair of sets meets exactly once and no task holds more than two blocks;
 4. in each such part a trie of the whole sets is walked (trie_join), and each
    part returns at most one edge per set, not its pairs.
 
@@ -20,11 +20,13 @@ The prefix and its groups only choose who meets; links are judged on whole sets.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,13 +253,11 @@ def candidates(sets: DataFrame, needed: DataFrame) -> DataFrame:
     return labels.select(F.col("node").alias("set"), F.col("label").alias("place"))
 
 
-def parts_of(members: DataFrame, percent: int, block_sets: int) -> DataFrame:
-    """set, n, place -> set, part, kind: the parts in which a set meets others.
+def placed_sets(members: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """set, n, place, id, content_key -> set, part, own, blocks, block, id, content_key: the group of sets in which a set meets others, and its block there.
 
-    A size range is as wide as partners can differ, so partners are in one range
-    or in neighbours. Part (place, range, i, j) has blocks i and j of the range and
-    the one below. kind: sets of one kind don't pair (1: block i, 2: block j, or 1
-    for the lower range alone); kind 0 pairs with all.
+    A size range is as wide as partners can differ, so partners are in one range or in neighbours. A part is a
+    range with the one below (own: 1 for sets of the range itself). A part of more than `block_sets` sets has several blocks.
     """
     width = log(100 / percent) * (1 + 1e-9)
     ranged = members.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
@@ -266,59 +266,121 @@ def parts_of(members: DataFrame, percent: int, block_sets: int) -> DataFrame:
     sizes = sizes.where("owned > 0 AND sets > 1")
     blocks = F.ceil(F.col("sets") / block_sets).cast("int")
     placed = near.join(sizes.withColumn("blocks", blocks), ["place", "range"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    return placed.select(
-        "set",
-        F.concat_ws(":", "place", "range", low, high).alias("part"),
-        "own",
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
+    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    part = F.concat_ws(":", "place", "range").alias("part")
+    return placed.select("set", part, "own", "blocks", block.alias("block"), "id", "content_key")
 
 
 LINKS = "a long, b long, links long"
+LINKS_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, cuts = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    cuts = cuts - cuts[0]
+    return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
-def links(parts: DataFrame, percent: int) -> DataFrame:
+
+def _links_of(names: np.ndarray, own: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """Per set an edge to the least set it is connected with here, and its number of links here.
+
+    side: sets of side 1 don't pair with each other, nor do those of side 2.
+    """
+    pairs = linked_pairs(sets, side, percent)
+    pairs = pairs[(own[pairs[:, 0]] == 1) | (own[pairs[:, 1]] == 1)]  # two of the lower range meet in their own
+    if not len(pairs):
+        return
+    a, b = names[pairs[:, 0]], names[pairs[:, 1]]
+    nodes, n_links = np.unique(np.concatenate([a, b]), return_counts=True)
+    left, right = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        after = label.copy()
+        np.minimum.at(after, left, low)
+        np.minimum.at(after, right, low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label]), pa.array(n_links)], schema=LINKS_SCHEMA)
+    release()
+
+
+def links(placed: DataFrame, percent: int) -> DataFrame:
     """a, b, links: per part and set an edge to the least set it is connected with there, and its number of links there.
 
-    parts: part, set, own, side, tokens (the whole set).
+    placed: part, set, own, blocks, block, tokens (the whole set). Parts of one block are walked as they come. The blocks of
+    larger parts are packed first, each into one row that holds what its sets have in common once, and then each pair of
+    blocks meets in a task: a set is sent once, and what the pairs need are few rows of small size.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, own, side, sets = [], [], [], []
+    def walk(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own, sets = [], [], []
         for batch in batches:
             names.append(batch.column(1).to_numpy(zero_copy_only=False))
             own.append(batch.column(2).to_numpy(zero_copy_only=False))
-            side.append(batch.column(3).to_numpy(zero_copy_only=False))
-            lists = batch.column(4)
-            flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            cuts = cuts - cuts[0]
-            sets += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-        names, own, side = np.concatenate(names), np.concatenate(own), np.concatenate(side)
-        pairs = linked_pairs(sets, side, percent)
-        pairs = pairs[(own[pairs[:, 0]] == 1) | (own[pairs[:, 1]] == 1)]  # two of the lower range meet in their own
-        if not len(pairs):
-            return
-        a, b = names[pairs[:, 0]], names[pairs[:, 1]]
-        nodes, n_links = np.unique(np.concatenate([a, b]), return_counts=True)
-        left, right = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[left], label[right])
-            after = label.copy()
-            np.minimum.at(after, left, low)
-            np.minimum.at(after, right, low)
-            after = after[after]
-            if (after == label).all():
-                break
-            label = after
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label]), pa.array(n_links)], schema=schema)
+            sets += _lists(batch.column(3))
+        yield from _links_of(np.concatenate(names), np.concatenate(own), np.zeros(len(sets), dtype=np.int64), sets, percent)
+
+    def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own, sets = [], [], []
+        for batch in batches:
+            names.append(batch.column(1).to_numpy(zero_copy_only=False))
+            own.append(batch.column(2).to_numpy(zero_copy_only=False))
+            sets += _lists(batch.column(5))
+        data = packed_sets(np.concatenate(names), np.concatenate(own), sets)
+        columns = {"part": [key[0].as_py()], "blocks": pa.array([key[1].as_py()], pa.int32()), "block": pa.array([key[2].as_py()], pa.int32()), "data": [data]}
+        yield pa.RecordBatch.from_pydict(columns)
         release()
 
-    return parts.groupBy("part").applyInArrow(run, LINKS)
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own, side, sets = [], [], [], []
+        rows = [(s, d) for batch in batches for s, d in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+        for of_side, data in rows:
+            more_names, more_own, more = unpacked_sets(data)
+            names.append(more_names)
+            own.append(more_own)
+            side.append(np.full(len(more), of_side))
+            sets += more
+        yield from _links_of(np.concatenate(names), np.concatenate(own), np.concatenate(side), sets, percent)
+
+    small = placed.where("blocks = 1").select("part", "set", "own", "tokens").groupBy("part").applyInArrow(walk, LINKS)
+    large = placed.where("blocks > 1").select("part", "set", "own", "blocks", "block", "tokens")
+    blocks = settle(large.groupBy("part", "blocks", "block").applyInArrow(pack, "part string, blocks int, block int, data binary"))
+    other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    # a block alone pairs all its sets; of two, only those of one with those of the other
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    pairs = other.select("part", low.alias("low"), high.alias("high"), side.alias("side"), "data")
+    return small.union(pairs.groupBy("part", "low", "high").applyInArrow(meet, LINKS))
+
+
+def packed_sets(names: np.ndarray, own: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    """Sets in a few arrays: the tokens that most of them have once, then what each lacks of these and has besides."""
+    tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = 2 * counts > len(sets)
+    place = np.cumsum(common) - 1
+    cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    lacks, more = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        mine = inverse[a:b]
+        has = common[mine]
+        missing = np.ones(int(common.sum()), dtype=bool)
+        missing[place[mine[has]]] = False
+        lacks.append(np.flatnonzero(missing).astype(np.int32))
+        more.append(tokens[mine[~has]])
+    sizes = np.array([[len(x), len(y)] for x, y in zip(lacks, more)], dtype=np.int32)
+    arrays = (names, own.astype(np.int8), tokens[common], sizes, np.concatenate(lacks), np.concatenate(more))
+    return zstandard.compress(pickle.dumps(arrays), 1)
+
+
+def unpacked_sets(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    names, own, common, sizes, lacks, more = pickle.loads(zstandard.decompress(data))
+    sets, upto = [], np.concatenate([[[0, 0]], np.cumsum(sizes, axis=0)])
+    for (a, c), (b, d) in zip(upto.tolist(), upto[1:].tolist()):
+        sets.append(np.concatenate([np.delete(common, lacks[a:b]), more[c:d]]))
+    return names, own, sets
 
 
 def whole_sets(articles: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -366,9 +428,9 @@ def join_articles(
     each = settle(each.select("set", "n", "needed", "least.id", "least.content_key"))
     place = candidates(sets, each.select("set", "needed"))
     members = settle(place.join(each.drop("needed"), "set"))
-    parts = parts_of(members, percent, block_sets)
-    tokens = whole_sets(rows, members.join(parts.select("set").distinct(), "set", "left_semi"), shingle)
-    found = settle(links(parts.join(tokens, "set").select("part", "set", "own", "side", "tokens"), percent))
+    placed = settle(placed_sets(members, percent, block_sets))
+    tokens = whole_sets(rows, placed.select("id", "content_key"), shingle)
+    found = settle(links(settle(placed.drop("id", "content_key").join(tokens, "set")), percent))
     label = components(found)
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     linked = label.join(degree, "node").join(each.select(F.col("set").alias("node"), "id"), "node")

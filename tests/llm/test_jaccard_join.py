@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from rankmill.llm.components import components
-from rankmill.llm.jaccard_join import join_articles
+from rankmill.llm.jaccard_join import join_articles, packed_sets, placed_sets, unpacked_sets
 from rankmill.llm.trie_join import linked_pairs
 
 
@@ -139,3 +139,31 @@ def test_empty_and_unlinked(spark):
     frame = spark.createDataFrame([(1, "a b c d"), (2, "e f g h")], "id int, content string")
     assert join_articles(frame.limit(0)).count() == 0
     assert sorted((r["id"], r["component_id"]) for r in join_articles(frame).collect()) == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_packed_sets_come_back(seed):
+    rng = np.random.default_rng(seed)
+    common = rng.integers(-(2**63), 2**63 - 1, 50)
+    sets = [np.unique(np.concatenate([common[rng.random(50) < 0.9], rng.integers(0, 99, rng.integers(0, 4))])) for _ in range(int(rng.integers(1, 30)))]
+    sets.append(np.array([7], dtype=np.int64))
+    names, own = rng.integers(0, 2**60, len(sets)), rng.integers(0, 2, len(sets))
+    data = packed_sets(names, own, sets)
+    got_names, got_own, got = unpacked_sets(data)
+    assert (got_names == names).all() and (got_own == own).all()
+    assert [sorted(x.tolist()) for x in got] == [sorted(x.tolist()) for x in sets]
+
+
+@pytest.mark.parametrize("n", [10_000, 100_000])
+def test_a_large_group_sends_each_set_once(spark, n):
+    members = spark.range(n).selectExpr("id AS set", "1L AS place", "300L AS n", "id", "id AS content_key")
+    placed = placed_sets(members, 90, 1500)
+    assert placed.count() == n
+    assert placed.groupBy("part", "block").count().agg({"count": "max"}).first()[0] < 2 * 1500
+
+
+def test_a_family_packs_to_a_fraction():
+    rng = np.random.default_rng(1)
+    core = rng.integers(-(2**63), 2**63 - 1, 1000)
+    sets = [np.unique(np.concatenate([np.delete(core, rng.integers(0, 1000, 6)), rng.integers(0, 2**40, 6)])) for _ in range(400)]
+    assert len(packed_sets(np.arange(400), np.ones(400, dtype=int), sets)) < sum(s.nbytes for s in sets) / 20
