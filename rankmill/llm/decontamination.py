@@ -2,13 +2,15 @@
 
 Items are normalised to words and cut into pieces of at most PIECE_WORDS words
 that overlap by a window less one word, so no window is lost. Pieces go by hash
-into blocks of about BLOCK_WORDS words; each block is one automaton, and articles
-stream through the automata of all blocks. One block is what passes through the
-driver, so its size doesn't depend on the benchmark's.
+into blocks of about BLOCK_WORDS words; each block becomes one automaton, built in a task, a row of a written table.
+Articles stream through one automaton after another, a pass each; all passes but the last write only the few rows that have hits, and
+the last takes these in. So a task holds one block at a time, and one block is what passes through the driver, whatever the
+benchmark's size. What is over the coverage limit is dropped; of the rest, spans over the length limit are cut out.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.sharing import opened, share
 from rankmill.llm.words import ALNUM_WORDS, LOWER, bounds, hashes, pieces
+from rankmill.session import settle
 
 WINDOW = 13
-#: limits of an article: hit words in percent of its words
+#: limits of an article: hit words in percent of its words, and words of a span that may stay in it
 COVERAGE_PERCENT = 5
+SPAN_WORDS = 26
 PIECE_WORDS = 5_000
 BLOCK_WORDS = 200_000
 
@@ -127,6 +130,15 @@ class Automaton:
         self.edge_keys = np.array([k for k, _ in flat], dtype=np.int64)
         self.edge_to = np.array([t for _, t in flat], dtype=np.int32)
 
+    def packed(self) -> bytes:
+        return pickle.dumps(vars(self))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Automaton:
+        made = cls.__new__(cls)
+        vars(made).update(pickle.loads(data))
+        return made
+
     def step(self, state: int, word: int) -> int:
         """The state after one more word, or -1."""
         key = state * len(self.word_keys) + word
@@ -194,8 +206,19 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's pieces, block by block, each of about `block_words` words."""
+def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without these spans of words (sorted, apart): each goes with what stands between it and the next word."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    starts, ends, _ = bounds(LOWER[data], np.array([0, len(data)]), ALNUM_WORDS)
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at : int(starts[a])])
+        at = int(starts[b]) if b < len(starts) else int(ends[b - 1])
+    return b"".join([*kept, text[at:]])
+
+
+def item_automata(items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """block, automaton: a written table with one row for each block of the benchmark, each built in a task of its own."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,13 +233,83 @@ def item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[lis
                     counts.append(len(part))
             yield pa.RecordBatch.from_pydict({"item": names, "words": texts, "n": pa.array(counts, type=pa.int64())})
 
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(n, w.encode().split(b" ")) for batch in batches for n, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        data = Automaton(found, window).packed()
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "automaton": pa.array([data], pa.binary())})
+
     rows = items.select(F.col("item_id").cast("string").alias("item"), "text")
-    cuts = rows.mapInArrow(cut, "item string, words string, n long").where("n > 0").distinct()
+    cuts = settle(rows.mapInArrow(cut, "item string, words string, n long").where("n > 0").distinct())
     total = cuts.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-total // block_words))
-    for block in range(n):
-        found = cuts.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == block).collect()
-        yield [(r["item"], r["words"].encode().split(b" ")) for r in found]
+    blocks = max(1, -(-total // block_words))
+    placed = cuts.select(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int").alias("block"), "item", "words")
+    return settle(placed.groupBy("block").applyInArrow(build, "block int, automaton binary"))
+
+
+SPANS = "array<struct<start: long, end: long>>"
+
+
+class _Hits:
+    """What one pass finds in a batch of texts, together with what the passes before it have found."""
+
+    def __init__(self, data: bytes | None, window: int):
+        self.automaton = Automaton.unpacked(data) if data else Automaton([], window)
+
+    def find(self, texts: pa.Array, spans: pa.Array | None, items: pa.Array | None):
+        """Per text: its index, bytes, number of words, spans (united) and items."""
+        for first, data, offsets in pieces(texts):
+            n_words, found, names = self.automaton.scan(data, offsets)
+            for i, n in enumerate(n_words):
+                if spans is not None and spans[first + i].is_valid:
+                    found[i] = united(found[i] + [(x["start"], x["end"]) for x in spans[first + i].as_py()])
+                    names[i] |= set(items[first + i].as_py())
+                yield first + i, data[offsets[i] : offsets[i + 1]], n, found[i], names[i]
+
+
+def _passes(rows: DataFrame, items: DataFrame, window: int, block_words: int):
+    """(rows with the hits of all blocks but the last, what makes the last block's _Hits in a task).
+
+    rows: any columns, `content` the last one. Where there are several blocks, `spans` and `items` are added, null without hits.
+    """
+    spark = rows.sparkSession
+    table = item_automata(items, window, block_words)
+    blocks = sorted(r["block"] for r in table.select("block").collect())
+
+    def maker(block: int | None):
+        data = table.where(F.col("block") == block).first()["automaton"] if block is not None else None
+        shared = spark.sparkContext.broadcast(bytes(data) if data else None)
+        return lambda: _Hits(shared.value, window)
+
+    schema = pa.schema(
+        [("key", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
+    )
+
+    def hits_of(make):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hits = make()
+            for batch in batches:
+                found = [(i, s, x) for i, _, _, s, x in hits.find(batch.column(1), None, None) if s]
+                columns = [
+                    batch.column(0).take(pa.array([i for i, _, _ in found], pa.int64())),
+                    pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], type=schema.field(1).type),
+                    pa.array([sorted(x) for _, _, x in found], type=schema.field(2).type),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        return scan
+
+    if len(blocks) > 1:
+        key = F.xxhash64("content")
+        keyed = rows.select(key.alias("key"), "content")
+        earlier = [settle(keyed.mapInArrow(hits_of(maker(block)), f"key long, spans {SPANS}, items array<string>")) for block in blocks[:-1]]
+        found = earlier[0]
+        for more in earlier[1:]:
+            found = found.union(more)
+        once = found.distinct().groupBy("key").agg(  # texts have the same hits wherever they are
+            F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+        )
+        rows = rows.withColumn("key", key).join(once, "key", "left").drop("key")
+    return rows, maker(blocks[-1] if blocks else None)
 
 
 def benchmark_hits(articles: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -228,50 +321,34 @@ def benchmark_hits(articles: DataFrame, items: DataFrame, *, window: int = WINDO
     article row: id, n_words, spans (array of start, end in words: united
     occurrences of windows), items (sorted item ids as text). Null and empty
     content has no words, an item without words has no window, a null item id is
-    the empty text. Repeated rows stay, repeated items count once. Nothing is
-    shuffled; memory is bounded by a block and the longest article.
+    the empty text. Repeated rows stay, repeated items count once. Memory is bounded by a block and the longest
+    article; only articles with hits in several blocks' passes are joined.
     """
-    spark = articles.sparkSession
     schema = pa.schema(
         [
             ("id", pa.int64()),
-            ("content", pa.large_string()),
             ("n_words", pa.int64()),
             ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ("items", pa.list_(pa.string())),
         ]
     )
-    spark_schema = "id long, content string, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-
-    def scanner(shared):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = opened(shared)
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1)
-                old = [batch.column(3), batch.column(4)] if batch.num_columns > 2 else None
-                for first, data, offsets in pieces(texts):
-                    n = len(offsets) - 1
-                    n_words, spans, items = automaton.scan(data, offsets)
-                    if old:
-                        for i in range(n):
-                            spans[i] = united(spans[i] + [(x["start"], x["end"]) for x in old[0][first + i].as_py()])
-                            items[i] |= set(old[1][first + i].as_py())
-                    columns = [
-                        ids.slice(first, n),
-                        texts.slice(first, n).cast(pa.large_string()),
-                        pa.array(n_words, type=pa.int64()),
-                        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], type=schema.field(3).type),
-                        pa.array([sorted(x) for x in items], type=schema.field(4).type),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    rows = articles.select(F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content"))
+    rows, make = _passes(rows, items, window, block_words)
 
-        return scan
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = make()
+        for batch in batches:
+            earlier = (batch.column(2), batch.column(3)) if batch.num_columns > 2 else (None, None)
+            found = list(hits.find(batch.column(1), *earlier))
+            columns = [
+                batch.column(0),
+                pa.array([n for _, _, n, _, _ in found], type=pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in s] for _, _, _, s, _ in found], type=schema.field(2).type),
+                pa.array([sorted(x) for *_, x in found], type=schema.field(3).type),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    found = articles.select(F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content"))
-    for block in item_blocks(items, window, block_words):
-        shared = share(spark.sparkContext, Automaton(block, window))
-        found = found.mapInArrow(scanner(shared), spark_schema)
-    return found.drop("content")
+    return rows.mapInArrow(scan, f"id long, n_words long, spans {SPANS}, items array<string>")
 
 
 def n_hit(spans: Column) -> Column:
@@ -284,24 +361,49 @@ def over_limit(n_words: Column, hit: Column, percent: int = COVERAGE_PERCENT) ->
     return (hit > 0) & (hit * 100 >= n_words * percent)
 
 
-def clean_articles(rows: DataFrame, content: str, items: DataFrame, *, window: int = WINDOW, percent: int = COVERAGE_PERCENT) -> DataFrame:
-    """The rows whose content isn't over the limit. Keeps the given columns; nothing is shuffled.
-
-    A task holds the automata of all blocks, about 100 bytes for each word of the benchmark.
+def clean_articles(
+    rows: DataFrame,
+    content: str,
+    items: DataFrame,
+    *,
+    window: int = WINDOW,
+    percent: int = COVERAGE_PERCENT,
+    span_words: int = SPAN_WORDS,
+    n_chars: str | None = None,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows whose content isn't over the coverage limit, without spans of more than `span_words` words in a row from items.
+
+    Keeps the given columns, whatever their names; only `content` changes, where a span is cut out of it, and the column
+    `n_chars` names, if any, is then its number of characters. Null and empty content stays as it is, so do repeated rows.
     """
-    context = rows.sparkSession.sparkContext
-    blocks = [share(context, Automaton(block, window)) for block in item_blocks(items, window, BLOCK_WORDS)]
-    place = rows.columns.index(content)
+    given = [F.col(f"`{c}`") for c in rows.columns]
+    made = rows.select(F.struct(*given).alias("given"), F.col(f"`{content}`").cast("string").alias("content"))
+    made, make = _passes(made, items, window, block_words)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [opened(block) for block in blocks]
+        hits = make()
         for batch in batches:
-            clean = np.ones(batch.num_rows, dtype=bool)
-            for first, data, offsets in pieces(batch.column(place)):
-                found = [automaton.scan(data, offsets) for automaton in automata]
-                for i, n_words in enumerate(found[0][0]):
-                    hit = sum(b - a for a, b in united([s for _, spans, _ in found for s in spans[i]]))
-                    clean[first + i] = not (hit > 0 and hit * 100 >= n_words * percent)
-            yield batch.filter(pa.array(clean))
-
-    return rows.mapInArrow(keep, rows.schema)
+            earlier = (batch.column(2), batch.column(3)) if batch.num_columns > 2 else (None, None)
+            chosen, texts = [], []
+            for i, data, n, spans, _ in hits.find(batch.column(1), *earlier):
+                hit = sum(b - a for a, b in spans)
+                if hit > 0 and hit * 100 >= n * percent:
+                    continue
+                long = [(a, b) for a, b in spans if b - a > span_words]
+                chosen.append(i)
+                texts.append(cut_out(data.tobytes(), long).decode() if long else None)
+            is_cut = pa.array([t is not None for t in texts], pa.bool_())
+            columns = [batch.column(0).take(pa.array(chosen, pa.int64())), is_cut, pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["given", "cut", "content"])
+
+    kept = made.mapInArrow(keep, made.select("given").schema.add("cut", "boolean").add("content", "string"))
+    out = []
+    for c in rows.columns:
+        old = F.col("given").getField(c)
+        if c == content:
+            old = F.when(F.col("cut"), F.col("content")).otherwise(old)
+        elif c == n_chars:
+            old = F.when(F.col("cut"), F.length("content").cast(rows.schema[c].dataType)).otherwise(old)
+        out.append(old.alias(c))
+    return kept.select(*out)
