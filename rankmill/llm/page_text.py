@@ -64,7 +64,14 @@ HOLD_OTHERS = set(
     "sponsored promoted ad ads advert adverts".split()
 )
 KEPT_TAGS = {"html", "body", "article", "main"}
-LEAST_PAGES = 5  # pages a list needs before its wrapper names template texts where no element names the article
+#: only these can be dropped by a name: headings, paragraphs, list items, cells, quotes and figures never are
+CONTAINERS = set("div section header span ul ol dl table center details ins".split())
+#: words that name one thing only, so one of them is enough inside an article; the others need a second word beside them
+SURE_NAMES = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot adunit adbox adbanner sponsored "
+    "comments commentlist disqus breadcrumb breadcrumbs navbar navigation sidebar masthead pagination pager newsletter "
+    "cookie cookies gdpr paywall".split()
+)
 
 
 class Element:
@@ -81,15 +88,25 @@ def _attributes(text: str) -> dict[str, str]:
     return {name.lower(): html.unescape(a or b or c) for name, a, b, c in reversed(found)}
 
 
+def _says_more(name: str) -> bool:
+    """A class of several words, one of them of what isn't the article: `social-share`, not `social`."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return len(words) > 1 and any(w in DROPPED_NAMES for w in words)
+
+
 def _element(tag: str, attributes: str, inside_article: bool) -> Element:
     values = _attributes(attributes) if attributes.strip(" /\t\n") else {}
     classes = values.get("class", "").lower().split()
     sign = ".".join([tag, *sorted(c for c in classes if c.isascii() and not any(x.isdigit() for x in c))[:4]])
     named = " ".join([*classes, values.get("id", "").lower(), values.get("role", "").lower()])
     names = set(re.split(r"[^a-z]+", named))
-    dropped = tag in DROPPED or (tag not in KEPT_TAGS or "comment" in names) and bool(names & DROPPED_NAMES)
-    if tag == "header" or "header" in names:
-        dropped = not inside_article or bool(names & (DROPPED_NAMES - {"header"}))  # an article's own head is part of it
+    by_name = tag in CONTAINERS or tag not in KEPT_TAGS and "-" in tag or "comment" in names and tag == "article"
+    if by_name and inside_article:
+        by_name = bool(names & SURE_NAMES) or "comment" in names and tag == "article" or any(map(_says_more, classes))
+    dropped = tag in DROPPED or by_name and bool(names & DROPPED_NAMES)
+    if tag == "header" or "header" in names and tag in CONTAINERS:
+        # an article's own head is part of it
+        dropped = not inside_article or by_name and bool(names & (DROPPED_NAMES - {"header"}))
     return Element(tag, sign, dropped, (tag not in DROPPED or tag == "form") and not names & HOLD_OTHERS)
 
 
@@ -291,7 +308,7 @@ def _sub(wrapper: Wrapper | None, kid: Element) -> Wrapper | None:
 
 def _fixed(wrapper: Wrapper | None, pages: int) -> set[int]:
     """Marks of the texts that the template has directly in an element."""
-    return wrapper.texts if wrapper is not None and pages >= LEAST_PAGES and wrapper.n == pages else set()
+    return wrapper.texts if wrapper is not None and pages > 1 and wrapper.n == pages else set()
 
 
 def _blocks(element: Element, wrapper: Wrapper | None, pages: int) -> Iterator[tuple[str, bool]]:

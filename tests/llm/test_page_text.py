@@ -143,3 +143,68 @@ def test_list_pages(spark):
     assert got == [(0, "u2", "", 0), (1, "u1", "Title\nx y", 9), (1, "u1", "Title\nx y", 9), (2, None, "", 0)]
     assert {r["list_key"]: Wrapper.loads(r["wrapper"]).n for r in infer_wrappers(pages).collect()} == {"h": 2, "": 1, "g": 1}
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<h2 id="discussion">Kept</h2>', '<h2 id="search">Kept</h2>', '<h3 class="related">Kept</h3>', '<p id="feedback">Kept</p>',
+        '<p class="notice">Kept</p>', '<div class="social">Kept</div>', '<section id="discussion-2">Kept</section>', '<li class="alert">Kept</li>',
+        '<section id="search-algorithms"><p>Kept</p></section>', '<blockquote class="promo">Kept</blockquote>',
+        '<table class="results"><tr><td class="notice">Kept</td></tr></table>',
+    ],
+)
+def test_names_take_no_text_out_of_an_article(part):
+    assert text_of(f"<article><p>one</p>{part}<p>two</p></article>") == ["one\nKept\ntwo"]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="ad">x</div>', '<section class="comments"><p>x</p></section>', '<div class="social-share">x</div>', "<form>x</form>",
+        '<div class="related-posts"><a>x</a></div>', '<aside>x</aside>', '<div id="comments">x</div>', '<ul class="breadcrumbs"><li>x</ul>',
+    ],
+)
+def test_what_is_no_article_goes_from_inside_it(part):
+    assert text_of(f"<article><p>one</p>{part}<p>two</p></article>") == ["one\ntwo"]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 9])
+def test_the_size_of_a_list_changes_nothing(n):
+    words = " ".join(f"w{k}" for k in range(60))
+    pages = [f"<div><p>Site</p><p>{i} {words}</p><p>end {i}</p><p>Us</p></div>" for i in range(n)]
+    assert text_of(*pages) == [f"{i} {words}\nend {i}" for i in range(n)]
+
+
+def plain_text(page):
+    """Blocks of an article whose markup is well formed and holds paragraphs, headings, lists and dropped parts only."""
+    import html
+    import re
+
+    body = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    body = re.sub(r'<(nav|aside|form|script)>.*?</\1>|<div class="(?:ad|comments|share-bar)">.*?</div>|<!--.*?-->', "\n\x00", body, flags=re.S)
+    body = re.sub(r"</?(?:p|h2|li|ul|section|div)\b[^>]*>|<br>", "\x00", body)
+    body = re.sub(r"</?(?:b|i|a)\b[^>]*>", "", body)
+    blocks = (" ".join(html.unescape(x).split()) for x in body.split("\x00"))
+    return "\n".join(x for x in blocks if x)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_made_up_pages_match_a_plain_version(seed):
+    rng = random.Random(seed)
+
+    def words():
+        return " ".join(rng.choice(["one", "é&eacute;", "a<b>b</b>", "1 &lt; 2", "&#233;", "\n x", "<i>it</i>"]) for _ in range(rng.randrange(1, 8)))
+
+    def part():
+        kind = rng.randrange(6)
+        if kind == 0:
+            return "<ul>" + "".join(f"<li>{words()}</li>" for _ in range(3)) + "</ul>"
+        if kind == 1:
+            return rng.choice([f"<nav>{words()}</nav>", f"<aside><p>{words()}</p></aside>", f'<div class="ad">{words()}</div>', "<script>x<p></script>"])
+        if kind == 2:
+            return f'<section id="search"><h2 class="notice">{words()}</h2><p>{words()}</p></section>'
+        return f"<p>{words()}</p>" if kind < 5 else f'<div class="social">{words()}</div>'
+
+    pages = [f"<html><body><nav>menu</nav><article>{''.join(part() for _ in range(rng.randrange(1, 9)))}</article><footer>f</footer></body></html>" for _ in range(rng.randrange(1, 7))]
+    assert text_of(*pages) == [plain_text(page) for page in pages]
