@@ -6,11 +6,12 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from rankmill.llm.decontamination import item_words
+from rankmill.llm.decontamination import SPAN_WORDS, item_words, united
 from rankmill.llm.token_files import Encoder
 from rankmill.llm.token_queries import tokenizer_file
 
 from test_decontamination import brute as brute_hits
+from test_decontamination import plain_cut
 from test_jaccard_join import brute as brute_groups
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -18,7 +19,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def made_up(rng):
     vocabulary = [f"w{i}" for i in range(500)]
-    item = [rng.choice(vocabulary) for _ in range(25)]
+    item = [rng.choice(vocabulary) for _ in range(30)]
     rows = []
     for i in range(60):
         words = [rng.choice(vocabulary) for _ in range(rng.choice([3, 20, 60, 200]))]
@@ -28,6 +29,8 @@ def made_up(rng):
         if i % 4 == 0:
             words[len(words) // 2] = "changed"
             rows.append((1000 + i, "\n".join(words)))
+    long = [rng.choice(vocabulary) for _ in range(900)]
+    rows.append((3000, " ".join([*long[:400], *item, *long[400:]])))
     rows += [rows[3], rows[3], (2000, None), (2001, ""), (2002, "12 34 ..."), (None, rows[5][1]), (None, "alone in the world")]
     rng.shuffle(rows)
     sources = ["a", "b", "c", None]
@@ -82,7 +85,13 @@ def test_stages_match_a_plain_version(spark, tmp_path):
             kept = [kept[i] for i in sorted(groups.values())]
         elif name == "benchmark":
             found = [(r, brute_hits(r[1], [(str(i), item_words(t)) for i, t in items], 13)) for r in kept]
-            kept = [r for r, (n, hit, _) in found if not (hit and 20 * len(hit) >= n)]
+            kept = []
+            for r, (n, hit, _) in found:
+                if not (hit and 20 * len(hit) >= n):
+                    spans = [(a, b) for a, b in united([(k, k + 1) for k in sorted(hit)]) if b - a > SPAN_WORDS]
+                    text = plain_cut(r[1].encode(), spans).decode() if spans else r[1]
+                    kept.append((r[0], text, *r[2:4], len(text) if spans else r[4]))
+            assert any(r[4] for r in kept)
         elif name == "mixture":
             kept = plain_mix(kept)
         else:
