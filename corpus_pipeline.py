@@ -33,8 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated: less than a twentieth of their words are in windows of benchmark items."""
-    return clean_articles(docs, "text", read(spark, sf_dir, "benchmark"))
+    """Documents of which less than a twentieth of the words are in windows of benchmark items, long spans cut out of them."""
+    return clean_articles(docs, "text", read(spark, sf_dir, "benchmark"), n_chars="n_chars")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
