@@ -9,7 +9,9 @@ interval in the other index is from the phrase's. Extending to the right is the
 shard are extended together by whole-array arithmetic.
 
 Counts are summed across shards. A phrase can occur `least` times only if its parts do, so pairs are counted of frequent words, and longer
-phrases where every pair in them is frequent; a bit filter of bounded size says so, and it errs on the side of counting.
+phrases where every pair in them is frequent. They are counted by a prefix of their hash first, packed into a few bytes each; only phrases whose
+hash prefix reaches `least` are counted once more, by their text. Bit filters of bounded size say which these are, and they
+err on the side of counting.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ from rankmill.session import settle
 LONGEST = 4  # words of a phrase
 SHARD_WORDS = 1 << 20
 PART_ROWS = 1 << 17  # occurrences that are extended together
+BUCKET_WORDS = 1 << 19  # words of all articles to a bucket of hash prefixes
 #: fixed values: what parts pieces, and what else parts words
 MARKS = b".,;:!?" + bytes(range(0x0A, 0x0E))
 IS_MARK = ~byte_table(MARKS)
@@ -233,22 +237,15 @@ def cut_texts(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray
 COUNTS = "list_key string, phrase string, n long, n_left long, n_right long"
 
 
-def phrase_counts(indexes: DataFrame, count: Callable[[np.ndarray, np.ndarray, Index], Iterator[Intervals]]) -> DataFrame:
-    """Phrases with their numbers of occurrences, and of those with a word before and after, summed across shards.
-
-    count(hashes of the shard's words (0 for the border), hash of the list, index) gives the phrases of a shard.
-    """
+def phrase_counts(indexes: DataFrame, gather: Gather) -> DataFrame:
+    """Phrases with their numbers of occurrences, and of those with a word before and after, summed across shards."""
     schema = pa.schema([("list_key", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("n_left", pa.int64()), ("n_right", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                name = batch.column(0)[i].as_py()
-                words = batch.column(1)[i].values
-                before = tuple(np.frombuffer(batch.column(c)[i].as_buffer(), dtype="<i4") for c in (2, 3))
-                index = Index(before, len(words))
-                known = np.concatenate([np.zeros(1, dtype=np.uint64), text_hashes(words)])
-                for found in count(known, text_hashes(pa.array([name])), index):
+                name, words, known, name_hash, index = _opened(batch, i)
+                for found in gather(known, name_hash, index):
                     left, right = index.neighbours(found, 0), index.neighbours(found, 1)
                     for a in range(0, len(found.count), 50_000):
                         some = slice(a, a + 50_000)
@@ -257,7 +254,7 @@ def phrase_counts(indexes: DataFrame, count: Callable[[np.ndarray, np.ndarray, I
                         columns = [pa.array([name]).take(pa.array(np.zeros(len(phrase), dtype=np.int8))), phrase]
                         columns += [pa.array(x[some].astype(np.int64)) for x in (found.count, left, right)]
                         yield pa.RecordBatch.from_arrays(columns, schema=schema)
-                del index, before
+                del index
                 release()
 
     found = indexes.select("list_key", "words", "before", "after").mapInArrow(run, COUNTS)
@@ -280,19 +277,82 @@ def word_totals(indexes: DataFrame) -> DataFrame:
     return found.groupBy("list_key", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _filter_of(phrases: DataFrame, size: int) -> np.ndarray:
-    """The bit filter of phrases of `size` words."""
-    schema = pa.schema([("key", pa.int64())])
+def _word_filter(words: DataFrame) -> np.ndarray:
+    """The bit filter of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = phrase_keys(text_hashes(batch.column(0)), [text_hashes(batch.column(1))])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    return key_filter(settle(words.select("list_key", "phrase").mapInArrow(run, "key long")))
+
+
+def _opened(batch: pa.RecordBatch, i: int) -> tuple[str, pa.Array, np.ndarray, np.ndarray, Index]:
+    """A row of list_key, words, before, after: the list's name, the words, the hashes of the words and of the name, the index."""
+    name = batch.column(0)[i].as_py()
+    words = batch.column(1)[i].values
+    before = tuple(np.frombuffer(batch.column(c)[i].as_buffer(), dtype="<i4") for c in (2, 3))
+    known = np.concatenate([np.zeros(1, dtype=np.uint64), text_hashes(words)])
+    return name, words, known, text_hashes(pa.array([name])), Index(before, len(words))
+
+
+def _packed(low: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers and their counts: differences, byte by byte, compressed."""
+    columns = np.concatenate([np.diff(low, prepend=np.uint32(0)), counts]).astype("<u4")
+    return zstandard.compress(columns.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    columns = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    n = len(columns) // 2
+    return np.cumsum(columns[:n], dtype=np.uint32), columns[n:].astype(np.int64)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+#: gives the phrases of a shard, some at a time, from the hashes of its words (0 for the border) and of its list
+Gather = Callable[[np.ndarray, np.ndarray, Index], Iterator[Intervals]]
+
+
+def frequent_keys(indexes: DataFrame, gather: Gather, least: int, bucket_bits: int) -> DataFrame:
+    """key: prefixes (32 + bucket_bits bits) of the hashes of phrases that, all with one prefix together, occur `least` times.
+
+    A shard sums its phrases by prefix and sends those of a bucket in one packed row, counts over `least` as `least`.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+    shift = np.uint64(32 - bucket_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                words = pc.split_pattern(batch.column(1), " ").flatten()
-                each = [words.take(pa.array(np.arange(k, len(words), size))) for k in range(size)]
-                keys = phrase_keys(text_hashes(batch.column(0)), [text_hashes(x) for x in each])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], schema=schema)
+            for i in range(batch.num_rows):
+                known, name, index = _opened(batch, i)[2:]
+                keys, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+                for found in gather(known, name, index):
+                    keys.append(phrase_keys(name, [known[c] for c in found.words.T]) >> shift)
+                    counts.append(found.count)
+                keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
+                bucket = (keys >> np.uint64(32)).astype(np.int32)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                low, counts = keys.astype(np.uint32), np.minimum(counts, least)
+                data = [_packed(low[x:y], counts[x:y]) for x, y in zip(cuts, np.append(cuts[1:], len(bucket)))]
+                del index
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(data, pa.binary())], schema=schema)
+                release()
 
-    return key_filter(settle(phrases.select("list_key", "phrase").mapInArrow(run, "key long")))
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpacked(x.as_py()) for batch in batches for x in batch.column(1)]
+        low, counts = _summed(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]))
+        often = low[counts >= least].astype(np.int64) | key[0].as_py() << 32
+        yield pa.RecordBatch.from_arrays([pa.array(often)], names=["key"])
+
+    packed = indexes.select("list_key", "words", "before", "after").mapInArrow(run, "bucket int, data binary")
+    return packed.groupBy("bucket").applyInArrow(add, "key long")
 
 
 def frequent_phrases(indexes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -300,31 +360,49 @@ def frequent_phrases(indexes: DataFrame, least: int) -> tuple[DataFrame, DataFra
     context = indexes.sparkSession.sparkContext
     often = F.col("n") >= least
     words = settle(word_totals(indexes).where(often))
-    word_bits = context.broadcast(_filter_of(words, 1))
+    word_bits = context.broadcast(_word_filter(words))
+    total = indexes.agg(F.sum("n_words")).first()[0] or 0
+    bucket_bits = min(max((total // BUCKET_WORDS).bit_length(), 4), 24)
+    shift = np.uint64(32 - bucket_bits)
+
+    def hashed(known: np.ndarray, name: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        return phrase_keys(name, [known[c] for c in columns.T]) >> shift
 
-    def count_pairs(known: np.ndarray, name: np.ndarray, index: Index) -> Iterator[Intervals]:
+    def pairs(known: np.ndarray, name: np.ndarray, index: Index) -> Iterator[Intervals]:
         wanted = passes(word_bits.value, phrase_keys(name, [known]))
         wanted[0] = False
         for some in index.single(np.flatnonzero(wanted)).parts(PART_ROWS):
             found = index.extend(some, 0)
             yield found.take(wanted[found.words[:, 0]])
 
-    pairs = settle(phrase_counts(indexes, count_pairs).where(often))
-    pair_bits = context.broadcast(_filter_of(pairs, 2))
+    pair_bits = context.broadcast(key_filter(settle(frequent_keys(indexes, pairs, least, bucket_bits))))
 
-    def count_longer(known: np.ndarray, name: np.ndarray, index: Index) -> Iterator[Intervals]:
+    def longer(known: np.ndarray, name: np.ndarray, index: Index) -> Iterator[Intervals]:
+        for found in all_sizes(known, name, index):
+            if found.words.shape[1] > 2:
+                yield found
+
+    def all_sizes(known: np.ndarray, name: np.ndarray, index: Index) -> Iterator[Intervals]:
         def often_at(found: Intervals, k: int) -> Intervals:
-            keys = phrase_keys(name, [known[found.words[:, k]], known[found.words[:, k + 1]]])
-            return found.take(passes(pair_bits.value, keys))
+            return found.take(passes(pair_bits.value, hashed(known, name, found.words[:, k : k + 2])))
 
-        for some in count_pairs(known, name, index):
-            triples = often_at(index.extend(often_at(some, 0), 0), 0)
+        for some in pairs(known, name, index):
+            some = often_at(some, 0)
+            yield some
+            triples = often_at(index.extend(some, 0), 0)
             yield triples
             yield often_at(index.extend(triples, 1), 2)
 
-    longer = settle(phrase_counts(indexes, count_longer).where(often))
-    sized = F.size(F.split("phrase", " "))
-    return words, pairs.union(longer).withColumn("n_words", sized)
+    longer_bits = context.broadcast(key_filter(settle(frequent_keys(indexes, longer, least, bucket_bits))))
+
+    def chosen(known: np.ndarray, name: np.ndarray, index: Index) -> Iterator[Intervals]:
+        for found in all_sizes(known, name, index):
+            if found.words.shape[1] > 2:
+                found = found.take(passes(longer_bits.value, hashed(known, name, found.words)))
+            yield found
+
+    phrases = phrase_counts(indexes, chosen).where(often)
+    return words, phrases.withColumn("n_words", F.size(F.split("phrase", " ")))
 
 
 def _score(a: str, l: str, r: str) -> Column:

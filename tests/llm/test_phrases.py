@@ -137,3 +137,15 @@ def test_filter_holds_all_its_keys(spark):
     others = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000).view(np.uint64)
     assert passes(bits, others).mean() < 0.1
     assert not passes(key_filter(spark.createDataFrame([], "key long")), others).any()
+
+
+def test_packed_counts_come_back():
+    from rankmill.llm.phrases import _packed, _unpacked
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 4000):
+        low = np.unique(rng.integers(0, 2**32, n).astype(np.uint32))
+        counts = rng.integers(1, 31, len(low))
+        got, got_counts = _unpacked(_packed(low, counts))
+        assert (got == low).all() and (got_counts == counts).all()
+    assert len(_packed(low, np.ones(len(low), dtype=np.int64))) < 4 * len(low)
