@@ -23,7 +23,6 @@ from rankmill.llm.words import LOWER, bounds, byte_table, hashes, pieces
 BUCKETS = 1 << 16
 BLOCK = 1 << 12
 SWITCH = 12.0
-OPENING = 0.1  # words share of a language that opens an article and names it
 FLOOR = -6.0  # the least a word can count against a language
 UNKNOWN = "und"
 SCORED_BYTES = 1 << 20
@@ -215,10 +214,6 @@ def article_languages(model: Model, data: np.ndarray, offsets: np.ndarray, switc
     votes = np.bincount(text_of * k + path, minlength=n * k).reshape(n, k)
     best = votes.argmax(1)  # of equal ones the first by name
     n_words = np.diff(of_text)
-    # where an article holds two languages for long, the one it opens with names it
-    place = np.flatnonzero(votes[text_of, path] >= OPENING * n_words[text_of])
-    texts, first = np.unique(text_of[place], return_index=True)
-    best[texts] = path[place[first]]
     share = votes[np.arange(n), best] / np.maximum(n_words, 1)
     return best, share, n_words, path, of_text
 
@@ -268,8 +263,7 @@ def label_articles(articles: DataFrame, model: Model, *, switch: float = SWITCH,
     row id, lang_pred, score (share of the words on that language's spans, 0 to
     1) and, with `spans`, spans (start, end in words of letters, lang). Null
     content, content without a letter, and everything under a model that learned
-    nothing is `und` with score 0. The language is the first one on the path that holds a share of OPENING of the
-    words, else the one with the most words, of equal ones the first by name.
+    nothing is `und` with score 0. The language is the one with the most words on the path, of equal ones the first by name.
     Repeated rows stay; an empty table gives an empty result. Row by row: nothing
     is shuffled, memory is bounded by the longest article.
     """
