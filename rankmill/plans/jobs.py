@@ -117,11 +117,12 @@ def ingest_pages(
     left, _ = mutations.delete_key(state, missing, CHARACTER_KEY)
     final = mutations.upsert_latest(left, dated.filter(alive).drop("_gone_at"), order_by=newest)
 
-    gone = state.select(*RANKING_KEY).union(dated.filter(~alive).select(*RANKING_KEY)).distinct()
+    held = state.select(*RANKING_KEY).join(missing, CHARACTER_KEY, "left_semi")  # few names, so the rest isn't made distinct
+    gone = held.select(*RANKING_KEY).union(dated.filter(~alive).select(*RANKING_KEY)).distinct()
     audit = sinks.audit_rows(mutations.deleted_names(gone, missing), as_of)
 
     given = batch.select(*RANKING_KEY, F.col("page_seq").alias("batch_id"), F.col("retrieved_at").alias("batch_time"))
-    saved = mutations.upsert_latest(state, batch, order_by=newest)  # as it was before names were removed
+    saved = windows.first_per_key(batch, RANKING_KEY, newest)  # what the upsert puts under the batch's keys, before names are removed
     report = joins.reconcile_saved(given, saved)
     return final, report, audit, quarantine
 
