@@ -167,3 +167,13 @@ def test_a_family_packs_to_a_fraction():
     core = rng.integers(-(2**63), 2**63 - 1, 1000)
     sets = [np.unique(np.concatenate([np.delete(core, rng.integers(0, 1000, 6)), rng.integers(0, 2**40, 6)])) for _ in range(400)]
     assert len(packed_sets(np.arange(400), np.ones(400, dtype=int), sets)) < sum(s.nbytes for s in sets) / 20
+
+
+def test_columns_of_any_names_stay(spark):
+    from rankmill.llm.jaccard_join import one_per_group
+
+    rows = [(1, "a b c d e f g", 10, 11, "x", 12), (1, "a b c d e f g", 10, 11, "x", 12), (2, "q r s t u v", 20, 21, "y", 22), (3, None, 30, 31, None, 32)]
+    frame = spark.createDataFrame(rows, "id long, body string, _row_key int, _number int, given string, `a.b` int")
+    got = one_per_group(frame, "id", "body")
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2], rows[3]]

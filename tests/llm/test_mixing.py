@@ -46,3 +46,13 @@ def test_empty_and_wordless(spark):
     assert mix_lists(articles(spark, []).limit(0)).count() == 0
     got = mix_lists(articles(spark, [(1, None, "a"), (2, " ", "b")])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_columns_of_any_names_stay(spark):
+    from rankmill.llm.mixing import mixed_rows
+
+    rows = [(k, "w " * (k + 1), "s", -k, str(k), k) for k in range(6)]
+    frame = spark.createDataFrame(rows, "id long, body string, source string, _mix_round int, given string, size int")
+    got = mixed_rows(frame, "id", "body", "source")
+    assert got.columns == frame.columns
+    assert set(map(tuple, got.collect())) == set(rows) and got.count() > 6

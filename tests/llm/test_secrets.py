@@ -2,10 +2,13 @@ import base64
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 from math import log2
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from rankmill.llm.secrets import KINDS, WINDOW, Scanner, high_windows, secret_spans
 from rankmill.llm.words import pieces
@@ -97,3 +100,33 @@ def test_log_lines(spark):
     ]
     assert secret_spans(spark.createDataFrame([], "line_no long, line string")).count() == 0
     assert KINDS[:3] == ("assign", "access", "hex") and hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_long_texts_take_time_in_proportion():
+    """Ten MB of checksums with secrets between them, and a run that the allow-list matches everywhere."""
+    import time
+
+    rng = random.Random(12)
+    line = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(64)) + " " + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    lines = [line() for _ in range(2000)]
+    text = "\n".join(lines * 48).encode()
+    assert len(text) > 10_000_000
+    started = time.perf_counter()
+    data = np.frombuffer(text, dtype=np.uint8)
+    found = Scanner().scan(data, np.array([0, len(data)]))[0]
+    assert sum(k == 2 for _, k, _ in found) == 2000 * 48 and sum(k == 3 for _, k, _ in found) > 0
+    run = np.frombuffer(b"x1" + b"x" * 1_000_000 + b"/" + b"example" * 50_000, dtype=np.uint8)
+    Scanner().scan(run, np.array([0, len(run)]))
+    assert time.perf_counter() - started < 300
+
+
+@pytest.mark.parametrize("seed", range(50))
+def test_covered_spans_match_brute_force(seed):
+    from rankmill.llm.secrets import _Covered
+
+    rng = random.Random(seed)
+    spans = [(s, 0, s + rng.randrange(1, 9)) for s in (rng.randrange(30) for _ in range(rng.randrange(9)))]
+    covered = _Covered(spans)
+    for x in range(32):
+        for y in range(x + 1, 34):
+            assert covered.hold(x, y) == any(s <= x and y <= e for s, _, e in spans)

@@ -48,3 +48,25 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "http://a.org", day(1), None)], CAPTURES)
     assert filter_captures(captures, entries).count() == 0
     assert [r["blocked"] for r in filter_captures(some, entries).collect()] == [False]
+
+
+def test_a_very_long_address_makes_no_more_patterns_than_the_lists_have(spark):
+    long = "http://" + "a." * 2000 + "b.org/" + "/".join(f"s{k}" for k in range(50_000))
+    captures = spark.createDataFrame([(1, long, day(5), "x"), (2, "http://b.org/s0/s1/s2", day(5), "x")], CAPTURES)
+    entries = [("l", "prefix", "b.org/s0/s1", "block", day(1)), ("l", "domain", "b.org", "block", day(1))]
+    found = filter_captures(captures, spark.createDataFrame(entries, ENTRIES)).collect()
+    assert sorted((r["page_id"], r["n_active"]) for r in found) == [(1, 1), (2, 2)]
+
+
+def test_bounded_patterns_are_those_the_lists_can_match(spark):
+    frame = spark.createDataFrame([("http://x.y.a.org/1/2/3",)], "url string")
+    got = frame.select(patterns_of(F.col("url"), 2, 3, 1)).first()[0]
+    assert [tuple(x) for x in got] == [("host", "x.y.a.org"), ("domain", "y.a.org"), ("domain", "a.org"), ("prefix", "x.y.a.org/1")]
+
+
+def test_columns_of_any_names_stay(spark):
+    rows = [(1, "http://a.org/", day(5), 7, 8, 9, "s", 1)]
+    names = "page_id long, url string, fetched_at timestamp_ntz, _url int, _at int, at int, given string, `a.b` int"
+    entries = spark.createDataFrame([("l", "host", "a.org", "block", day(1))], ENTRIES)
+    got = filter_captures(spark.createDataFrame(rows, names), entries).collect()
+    assert [tuple(r) for r in got] == [(*rows[0], 1, "l:host:a.org:block", True)]
