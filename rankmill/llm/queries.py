@@ -38,4 +38,5 @@ ORACLES = {
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_quality_rules": repetition.OP10_SQL,
     "op11_phrases": phrases.OP11_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
