@@ -177,3 +177,11 @@ def test_columns_of_any_names_stay(spark):
     got = one_per_group(frame, "id", "body")
     assert got.columns == frame.columns
     assert sorted(map(tuple, got.collect())) == [rows[0], rows[2], rows[3]]
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(120_000)]
+    near = [*words[:50_000], "changed", *words[50_001:]]
+    rows = [(1, " ".join(words)), (2, "\n".join(near)), (3, " ".join(words[:60_000])), (4, "short one")]
+    got = {r["id"]: (r["component_id"], r["n_links"]) for r in join_articles(spark.createDataFrame(rows, "id long, content string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}

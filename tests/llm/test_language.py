@@ -61,3 +61,11 @@ def test_held_out_accuracy(spark):
     rows = op3_language(spark, sf_dir).where("held_out").join(truth, "doc_id").collect()
     assert len(rows) > 150 and HELD_OUT == 2
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_one_very_long_text(spark):
+    learned = spark.createDataFrame(corpus(random.Random(5), 300), "id long, content string, lang string")
+    text = " ".join(["le la de et un"] * 20_000 + ["the of and in"] * 5_000)
+    got = label_articles(spark.createDataFrame([(1, text)], "id long, content string"), learn_languages(learned), spans=True).first()
+    assert (got["lang_pred"], round(got["score"], 3)) == ("fr", 0.833)
+    assert [tuple(s) for s in got["spans"]] == [(0, 100_000, "fr"), (100_000, 120_000, "en")]

@@ -56,3 +56,10 @@ def test_columns_of_any_names_stay(spark):
     got = mixed_rows(frame, "id", "body", "source")
     assert got.columns == frame.columns
     assert set(map(tuple, got.collect())) == set(rows) and got.count() > 6
+
+
+def test_one_very_long_text(spark):
+    rows = [(1, "word " * 500_000, "a"), (2, "few words", "b")]
+    got = {r["id"]: (r["size"], r["taken"]) for r in mix_lists(articles(spark, rows)).collect()}
+    assert got[1][0] == 500_000 and got[2][0] == 2
+    assert abs(sum(t for _, t in got.values()) - 1.5 * 500_002) < 4

@@ -76,3 +76,12 @@ def test_articles(spark):
         (3, 90, True, False), (4, 161, True, False),
     ]
     assert quality_rules(spark.createDataFrame([], "id long, content string")).count() == 0
+
+
+def test_one_very_long_text(spark):
+    words = [f"w{i * 7919 % 1_000_003}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, *words[:200_000]])), (3, "x" * 2_000_000)]
+    got = {r["id"]: r for r in quality_rules(spark.createDataFrame(rows, "id long, content string")).collect()}
+    assert (got[1]["n_words"], got[1]["n_repeat_words"], got[1]["kept"]) == (300_000, 0, True)
+    assert (got[2]["n_words"], got[2]["n_repeat_words"], got[2]["longest_repeat"]) == (500_000, 400_000, 200_000)
+    assert (got[3]["n_words"], got[3]["word_chars"]) == (1, 2_000_000)
