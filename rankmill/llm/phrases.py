@@ -172,11 +172,20 @@ def phrase_keys(list_hash: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return key
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, compressed."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int32)
+
+
 INDEX = "list_key string, n_words long, words array<string>, counts binary, before binary, after binary"
 
 
 def shard_indexes(articles: DataFrame, *, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A written table of indexes, one row per shard: list_key, n_words, words, counts, and the two transforms (32-bit numbers).
+    """A written table of indexes, one row per shard: list_key, n_words, words, counts, and the two transforms (32-bit numbers, compressed).
 
     articles: `list_key`, `content`. Long texts are cut at marks, so memory is bounded by a shard and the longest piece.
     """
@@ -191,9 +200,9 @@ def shard_indexes(articles: DataFrame, *, shard_words: int = SHARD_WORDS) -> Dat
             "list_key": [name],
             "n_words": [shard.n_words],
             "words": [[w.decode("utf-8", "replace") for w in shard.words]],
-            "counts": [counts.astype("<i4").tobytes()],
-            "before": [transform(sequence, LONGEST).astype("<i4").tobytes()],
-            "after": [transform(sequence[::-1].copy(), LONGEST).astype("<i4").tobytes()],
+            "counts": [_squeezed(counts)],
+            "before": [_squeezed(transform(sequence, LONGEST))],
+            "after": [_squeezed(transform(sequence[::-1].copy(), LONGEST))],
         }
         del sequence
         release()
@@ -201,7 +210,7 @@ def shard_indexes(articles: DataFrame, *, shard_words: int = SHARD_WORDS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_shards: dict[str, Shard] = {}
-        for batch in batches:
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
             names = batch.column(0).dictionary_encode()
             for k, name in enumerate(names.dictionary.to_pylist()):
                 texts = batch.column(1).filter(pc.equal(names.indices, k))
@@ -269,7 +278,7 @@ def word_totals(indexes: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 words = batch.column(1)[i].values
-                n = np.frombuffer(batch.column(2)[i].as_buffer(), dtype="<i4").astype(np.int64)
+                n = _unsqueezed(batch.column(2)[i].as_py()).astype(np.int64)
                 name = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(words), dtype=np.int8)))
                 yield pa.RecordBatch.from_arrays([name, words, pa.array(n)], schema=schema)
 
@@ -292,21 +301,20 @@ def _opened(batch: pa.RecordBatch, i: int) -> tuple[str, pa.Array, np.ndarray, n
     """A row of list_key, words, before, after: the list's name, the words, the hashes of the words and of the name, the index."""
     name = batch.column(0)[i].as_py()
     words = batch.column(1)[i].values
-    before = tuple(np.frombuffer(batch.column(c)[i].as_buffer(), dtype="<i4") for c in (2, 3))
+    before = tuple(_unsqueezed(batch.column(c)[i].as_py()) for c in (2, 3))
     known = np.concatenate([np.zeros(1, dtype=np.uint64), text_hashes(words)])
     return name, words, known, text_hashes(pa.array([name])), Index(before, len(words))
 
 
 def _packed(low: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending 32-bit numbers and their counts: differences, byte by byte, compressed."""
-    columns = np.concatenate([np.diff(low, prepend=np.uint32(0)), counts]).astype("<u4")
-    return zstandard.compress(columns.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    return _squeezed(np.concatenate([np.diff(low, prepend=np.uint32(0)), counts]))
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    columns = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    columns = _unsqueezed(data)
     n = len(columns) // 2
-    return np.cumsum(columns[:n], dtype=np.uint32), columns[n:].astype(np.int64)
+    return np.cumsum(columns[:n].view(np.uint32), dtype=np.uint32), columns[n:].astype(np.int64)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
