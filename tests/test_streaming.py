@@ -295,3 +295,17 @@ def test_rows_without_a_time_reach_the_streams(spark):
     stream = stream_queries.stream_of(SimpleNamespace(spark=spark, table=lambda name: pages), "pages")
     got = runner.collect_append(stream, "without_a_time").collect()
     assert sorted((r["page_id"] or 0, r["html"]) for r in got) == sorted((k or 0, html) for k, html in rows)
+
+
+def test_slices_of_many_files_come_one_at_a_time(spark):
+    rows = spark.range(1, 601).selectExpr("id AS page_id", "'x' AS html").repartition(4)
+    stream = stream_queries.stream_of(SimpleNamespace(spark=spark, table=lambda name: rows), "pages")
+    seen = []
+
+    def step(batch, batch_id):
+        seen.append((batch.agg(F.min("page_id"), F.max("page_id"), F.count("page_id")).first(), len(batch.inputFiles())))
+
+    runner.finish(runner.start_steps(stream, work_path(spark, "sliced"), runner.AVAILABLE_NOW, step))
+    spans = [tuple(span) for span, _ in seen]
+    assert len(spans) == 3 and sum(n for _, _, n in spans) == 600
+    assert all(before[1] < after[0] for before, after in zip(spans, spans[1:]))
