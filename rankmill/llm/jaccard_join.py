@@ -39,7 +39,7 @@ from rankmill.session import settle
 SHINGLE, PERCENT = 5, 80
 SKETCH_BITS = 18
 LONGEST = 40
-BLOCK_SETS = 1500
+BLOCK_SETS = 600
 PACK_ROWS = 400_000  # prefix shingles of a shuffle bucket
 
 
