@@ -219,7 +219,7 @@ def shard_indexes(articles: DataFrame, *, shard_words: int = SHARD_WORDS) -> Dat
                     shard.add(data, offsets)
                     if shard.n_words >= shard_words:
                         yield indexed(name, open_shards.pop(name))
-                    elif sum(x.n_words for x in open_shards.values()) >= 2 * shard_words:  # many lists in one task
+                    elif sum(x.n_words for x in open_shards.values()) >= 3 * shard_words:  # many lists in one task
                         name_of_most = max(open_shards, key=lambda x: open_shards[x].n_words)
                         yield indexed(name_of_most, open_shards.pop(name_of_most))
         for name, shard in open_shards.items():
@@ -243,31 +243,34 @@ def cut_texts(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray
             first = last
 
 
-COUNTS = "list_key string, phrase string, n long, n_left long, n_right long"
+COUNTS = "list_key string, phrase string, n long, n_first long, n_last long"
 
 
 def phrase_counts(indexes: DataFrame, gather: Gather) -> DataFrame:
     """Phrases with their numbers of occurrences, and of those with a word before and after, summed across shards."""
-    schema = pa.schema([("list_key", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("n_left", pa.int64()), ("n_right", pa.int64())])
+    schema = pa.schema([("list_key", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("n_first", pa.int64()), ("n_last", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, words, known, name_hash, index = _opened(batch, i)
                 for found in gather(known, name_hash, index):
-                    left, right = index.neighbours(found, 0), index.neighbours(found, 1)
+                    # sent as the occurrences without a neighbour: mostly zeros, which take no room in a shuffle
+                    first, last = (found.count - index.neighbours(found, side) for side in (0, 1))
                     for a in range(0, len(found.count), 50_000):
                         some = slice(a, a + 50_000)
                         texts = [words.take(pa.array(column - 1)) for column in found.words[some].T]
                         phrase = pc.binary_join_element_wise(*texts, " ")
                         columns = [pa.array([name]).take(pa.array(np.zeros(len(phrase), dtype=np.int8))), phrase]
-                        columns += [pa.array(x[some].astype(np.int64)) for x in (found.count, left, right)]
+                        columns += [pa.array(x[some].astype(np.int64)) for x in (found.count, first, last)]
                         yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 del index
                 release()
 
     found = indexes.select("list_key", "words", "before", "after").mapInArrow(run, COUNTS)
-    return found.groupBy("list_key", "phrase").agg(*(F.sum(x).alias(x) for x in ("n", "n_left", "n_right")))
+    summed = found.groupBy("list_key", "phrase").agg(*(F.sum(x).alias(x) for x in ("n", "n_first", "n_last")))
+    n_left, n_right = F.col("n") - F.col("n_first"), F.col("n") - F.col("n_last")
+    return summed.select("list_key", "phrase", "n", n_left.alias("n_left"), n_right.alias("n_right"))
 
 
 def word_totals(indexes: DataFrame) -> DataFrame:
@@ -364,7 +367,7 @@ def frequent_keys(indexes: DataFrame, gather: Gather, least: int, bucket_bits: i
 
 
 def frequent_phrases(indexes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(words, phrases of 2 to LONGEST words) that occur at least `least` times in a list; columns of COUNTS and n_words."""
+    """(words, phrases of 2 to LONGEST words) that occur at least `least` times in a list, as phrase_counts gives them, with n_words."""
     context = indexes.sparkSession.sparkContext
     often = F.col("n") >= least
     words = settle(word_totals(indexes).where(often))
